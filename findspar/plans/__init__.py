@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from findspar.plans import answers, events, indexing, retrieval, texts
+
+MODULES = (texts, retrieval, indexing, answers, events)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
