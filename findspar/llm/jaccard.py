@@ -46,7 +46,7 @@ from findspar.llm._frames import narrow, written
 
 SHINGLE = 5
 FLUSH = 3_000_000  # pairs that a task holds before it packs them
-PER_PARTITION = 2_000_000  # pairs that a reducer takes, about
+PER_PARTITION = 4_000_000  # pairs that a reducer takes, about
 ALL_PAIRS = 48  # prefix lists up to this long are filtered pair by pair, longer ones chained
 GROUP_SHINGLES = 3_000_000  # shingles that a block of a large group holds, about
 PIVOTS = 16
@@ -98,10 +98,13 @@ def _blobs(keys: np.ndarray, bucket: np.ndarray, make) -> Iterator[tuple[int, by
         yield int(keys[bucket[a]]), make(a, b)
 
 
-def _by_node(nodes: np.ndarray, *of_entry: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Header of distinct nodes, each entry's place in it, and for each further array its value per node."""
-    distinct, at, inverse = np.unique(nodes, return_index=True, return_inverse=True)
-    return (distinct, inverse, *[x[at] for x in of_entry])
+def _entries(token: np.ndarray, number: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, *rest: np.ndarray) -> bytes:
+    """A block of entries in order of token: gaps of tokens, places in a header of nodes (as gaps, with sizes), further values.
+
+    `number` counts in `nodes`, which must be sorted.
+    """
+    own, inverse = np.unique(number, return_inverse=True)
+    return _pack(np.diff(token, prepend=np.uint64(0)), inverse, np.diff(nodes[own], prepend=np.uint64(0)), sizes[own], *rest)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -132,19 +135,16 @@ def shingle_blocks(texts: DataFrame, keys: np.ndarray) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if shingles:
-                token = np.concatenate(shingles) >> np.uint64(64 - BITS)
-                size = np.array([s for _, s in nodes], np.int64)
-                node = np.repeat(np.array([x for x, _ in nodes], np.int64).view(np.uint64), size)
+                names, sizes = np.array([x for x, _ in nodes], np.int64).view(np.uint64), np.array([s for _, s in nodes], np.int64)
+                by_name = np.argsort(names)
+                token = np.concatenate([shingles[i] for i in by_name]) >> np.uint64(64 - BITS)
+                shingles.clear()
+                names, sizes = names[by_name], sizes[by_name]
+                number = np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
                 order = np.argsort(token)
-                token, node, size = token[order], node[order], np.repeat(size, size)[order]
-
-                def make(a: int, b: int) -> bytes:
-                    distinct, inverse, sizes = _by_node(node[a:b], size[a:b])
-                    return _pack(np.diff(token[a:b], prepend=np.uint64(0)), inverse, distinct, sizes)
-
-                for pair in _blobs(keys, (token * n) >> np.uint64(BITS), make):
+                token, number = token[order], number[order]
+                for pair in _blobs(keys, (token * n) >> np.uint64(BITS), lambda a, b: _entries(token[a:b], number[a:b], names, sizes)):
                     yield _batch([pair], BLOCK)
-                shingles.clear()
                 nodes.clear()
                 held = 0
 
@@ -167,17 +167,28 @@ def shingle_blocks(texts: DataFrame, keys: np.ndarray) -> DataFrame:
 
 
 def _read_pairs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """Entries (shingle, node, value of the node, ...) of all blocks of a partition."""
-    columns: list[list[np.ndarray]] = []
+    """Entries (shingle, number of its node, ...) of all blocks of a partition, then the nodes by number, and their sizes."""
+    columns: list[list[np.ndarray]] = [[], []]
+    heads, head_sizes, held = [], [], 0
     for batch in batches:
         for data in batch.column("block"):
             gaps, inverse, distinct, sizes, *rest = _unpack(data.as_py())
-            inverse = inverse.astype(np.int64)
-            values = [np.cumsum(gaps, dtype=np.uint64), distinct[inverse], sizes[inverse], *rest]
-            columns = columns or [[] for _ in values]
+            values = [np.cumsum(gaps, dtype=np.uint64), inverse.astype(np.uint32) + np.uint32(held), *[r.astype(np.uint32) for r in rest]]
+            held += len(distinct)
+            heads.append(np.cumsum(distinct, dtype=np.uint64))
+            head_sizes.append(sizes.astype(np.int64))
+            columns += [[] for _ in values[len(columns) :]]
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
-    return tuple(np.concatenate(c) for c in columns) if columns else (np.zeros(0, np.uint64),) * 4
+    if not heads:
+        return (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    nodes, at, number = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
+    out = []
+    for column in columns:  # each list is freed as soon as it's joined
+        out.append(np.concatenate(column))
+        column.clear()
+    out[1] = number.astype(np.uint32)[out[1]]
+    return (*out, nodes, np.concatenate(head_sizes)[at])
 
 
 def repeated_blocks(blocks: DataFrame, keys: np.ndarray) -> DataFrame:
@@ -185,34 +196,30 @@ def repeated_blocks(blocks: DataFrame, keys: np.ndarray) -> DataFrame:
     n = np.uint64(len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, size = _read_pairs(batches)[:3]
+        token, number, *_, nodes, sizes = _read_pairs(batches)
         if not len(token):
             return
         order = np.argsort(token, kind="stable")
-        token, node, size = token[order], node[order], size[order]
+        token, number = token[order], number[order]
+        del order
         twin = np.concatenate([token[1:] == token[:-1], [False]])
         twin[1:] |= twin[:-1].copy()
-        token, node, size = token[twin], node[twin], size[twin]
+        token, number = token[twin], number[twin]
         # one entry per shingle and node (a node can come from several tasks)
-        order = np.lexsort((node, token))
-        token, node, size = token[order], node[order], size[order]
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, size = token[fresh], node[fresh], size[fresh]
+        order = np.lexsort((number, token))
+        token, number = token[order], number[order]
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (number[1:] != number[:-1])
+        token, number = token[first], number[first]
         group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1 if len(token) else np.zeros(0, np.int64)
         count = np.bincount(group)[group] if len(token) else group
         keep = count > 1
-        token, node, size, count = token[keep], node[keep], size[keep], count[keep]
-        bucket = w.mix64(node) % n
+        token, number, count = token[keep], number[keep], count[keep]
+        bucket = (w.mix64(nodes) % n).astype(np.int64)[number]
         order = np.lexsort((token, bucket))
-        token, node, size, count, bucket = token[order], node[order], size[order], count[order], bucket[order]
-
-        def make(a: int, b: int) -> bytes:
-            distinct, inverse, sizes = _by_node(node[a:b], size[a:b])
-            return _pack(np.diff(token[a:b], prepend=np.uint64(0)), inverse, distinct, sizes, count[a:b])
-
+        token, number, count, bucket = token[order], number[order], count[order], bucket[order]
         if len(token):
-            for pair in _blobs(keys, bucket.astype(np.int64), make):
+            for pair in _blobs(keys, bucket, lambda a, b: _entries(token[a:b], number[a:b], nodes, sizes, count[a:b])):
                 yield _batch([pair], BLOCK)
 
     return blocks.repartition(len(keys), "key").mapInArrow(run, BLOCK_DDL)
@@ -222,27 +229,26 @@ NODE = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.int64()
 NODE_DDL = "node bigint, n bigint, prefix bigint, shingles binary"
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    """n - ceil(0.75 n) + 1, and one more in case two shingles of a set share their 48 bits."""
-    return n - (3 * n + 3) // 4 + 2
-
-
 def prefixes(blocks: DataFrame, partitions: int) -> DataFrame:
-    """Step 3: nodes whose prefix holds repeated shingles; all their repeated shingles, rarest first, of which `prefix` belong to the prefix."""
+    """Step 3: nodes whose prefix holds repeated shingles; all their repeated shingles, rarest first, of which `prefix` belong to the prefix.
+
+    The prefix has n - ceil(0.75 n) + 1 shingles, and one more in case two shingles of a set share their 48 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, size, *rest = _read_pairs(batches)
+        token, number, count, nodes, sizes = _read_pairs(batches)
         if not len(token):
             return
-        order = np.lexsort((token, rest[0], node))
-        token, node, size = token[order], node[order], size[order].astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+        order = np.lexsort((token, count, number))
+        token, number = token[order], number[order]
+        edges = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
+        names = nodes.view(np.int64)
         rows = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            n = int(size[a])
-            own = int(prefix_size(np.array(n))) - max(0, n - (b - a))
+            n = int(sizes[number[a]])
+            own = n - (3 * n + 3) // 4 + 2 - max(0, n - (b - a))
             if own > 0:
-                rows.append((int(node[a : a + 1].view(np.int64)[0]), n, min(own, b - a), token[a:b].tobytes()))
+                rows.append((int(names[number[a]]), n, min(own, b - a), token[a:b].tobytes()))
             if len(rows) >= 5000:
                 yield _batch(rows, NODE)
                 rows = []
@@ -284,16 +290,13 @@ def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
             nonlocal held
             if token:
                 t = np.concatenate(token)
-                count = [len(x) for x in token]
-                x, s, p = np.repeat(np.array(node, np.int64).view(np.uint64), count), np.repeat(np.array(size, np.int64), count), np.concatenate(place)
+                names, at = np.unique(np.array(node, np.int64).view(np.uint64), return_inverse=True)
+                sizes = np.zeros(len(names), np.int64)
+                sizes[at] = size
+                number, p = np.repeat(at, [len(x) for x in token]), np.concatenate(place)
                 order = np.argsort(t)
-                t, x, s, p = t[order], x[order], s[order], p[order]
-
-                def make(a: int, b: int) -> bytes:
-                    distinct, inverse, sizes = _by_node(x[a:b], s[a:b])
-                    return _pack(np.diff(t[a:b], prepend=np.uint64(0)), inverse, distinct, sizes, p[a:b])
-
-                for pair in _blobs(keys, (t * many) >> np.uint64(BITS), make):
+                t, number, p = t[order], number[order], p[order]
+                for pair in _blobs(keys, (t * many) >> np.uint64(BITS), lambda a, b: _entries(t[a:b], number[a:b], names, sizes, p[a:b])):
                     yield _batch([pair], BLOCK)
                 for x_ in (token, node, size, place):
                     x_.clear()
@@ -313,12 +316,12 @@ def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
         yield from flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, size, *rest = _read_pairs(batches)
+        token, number, place, nodes, sizes = _read_pairs(batches)
         if not len(token):
             return
-        size, place = size.astype(np.int64), rest[0].astype(np.int64)
-        order = np.lexsort((node, size, token))
-        token, node, size, place = token[order], node[order], size[order], place[order]
+        order = np.lexsort((number, sizes[number], token))
+        token, number, place = token[order], number[order].astype(np.int64), place[order].astype(np.int64)
+        size = sizes[number]
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         length = np.diff(edges)
         left, right = [], []
@@ -339,10 +342,9 @@ def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
             left.append(i[fits])
             right.append(j[fits])
         if left:
-            distinct, inverse = np.unique(node, return_inverse=True)
-            label = union_find(inverse[np.concatenate(left)], inverse[np.concatenate(right)], len(distinct))
-            on = label != np.arange(len(distinct))  # a spanning star for each component of this range
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[on].view(np.int64)), pa.array(distinct[label[on]].view(np.int64))], schema=EDGE)
+            label = union_find(number[np.concatenate(left)], number[np.concatenate(right)], len(nodes))
+            on = label != np.arange(len(nodes))  # a spanning star for each component of this range
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[on].view(np.int64)), pa.array(nodes[label[on]].view(np.int64))], schema=EDGE)
 
     return nodes.mapInArrow(entries, BLOCK_DDL).repartition(len(keys), "key").mapInArrow(join, "a bigint, b bigint")
 
@@ -427,9 +429,10 @@ LINK = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("whole", pa.bool_
 
 def verify(nodes: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Step 5: (node, root, whole) of verified components; `whole` if the group was in one piece, so that the root is final."""
-    sized = nodes.join(groups, "node").select("node", "n", "shingles", "root", (F.octet_length("shingles") / 8).alias("k"))
+    sized = nodes.select("node", (F.octet_length("shingles") / 8).alias("k")).join(groups, "node")
     weight = sized.groupBy("root").agg(F.ceil(F.sum("k") / group_shingles).cast("int").alias("blocks"))
-    placed = sized.join(weight, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    where = groups.join(weight, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = nodes.select("node", "n", "shingles").join(where, "node")
     # a pair of blocks (i, j), i <= j, is one piece of work; a group of one block has one
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     work = placed.select("root", "blocks", "own", F.explode(pairs).alias("p"), "node", "n", "shingles").select("root", "blocks", "p.i", "p.j", "own", "node", "n", "shingles")
@@ -479,7 +482,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     named = written(base.mapInArrow(name, f"doc_id {id_type}, n_shingles bigint, node bigint"), "jaccard-docs")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PARTITION))
+    # few large ranges: each block names its nodes, so many small ones would name them again and again
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PER_PARTITION))
     keys = partition_keys(spark, parts)
     repeated = repeated_blocks(shingle_blocks(base.select("text"), keys), keys)
     nodes = written(prefixes(repeated, parts), "jaccard-nodes")
