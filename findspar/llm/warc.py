@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findspar.llm._frames import narrow, shared_path
+from findspar.llm._frames import narrow, shared_path, written
 
 MIN_REVISIT = 100
 MAGIC = b"\x1f\x8b\x08"
@@ -122,18 +122,21 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     packed.select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records (RECORD) of all gzip-compressed archives below `path`."""
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary()), ("valid", pa.bool_())])
-    fragments = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("fragment", pa.binary())])
+SCHEMA = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary()), ("valid", pa.bool_())])
+FRAGMENT = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("fragment", pa.binary())])
+
+
+def _table(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)]
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Whole records (RECORD), and rows with the fragments of those that a false start cut at a range's edge."""
     # lines between magics: Spark's text source scans byte ranges for the separator and finishes a range's last line beyond it
     lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-    def table(rows: list[tuple]) -> list[pa.Array]:
-        return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, member, seq, held = None, None, 0, 0
         rows: list[tuple] = []
         loose: list[tuple] = []
@@ -152,7 +155,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         def emit() -> pa.RecordBatch:
             nonlocal held
             held = 0
-            made = pa.RecordBatch.from_arrays([*[pa.concat_arrays([a, pa.nulls(len(loose), a.type)]) for a in table(rows)], *[pa.concat_arrays([pa.nulls(len(rows), f.type), pa.array([x[i] for x in loose], f.type)]) for i, f in enumerate(fragments)]], names=[*schema.names, *fragments.names])
+            made = pa.RecordBatch.from_arrays([*[pa.concat_arrays([a, pa.nulls(len(loose), a.type)]) for a in _table(rows)], *[pa.concat_arrays([pa.nulls(len(rows), f.type), pa.array([x[i] for x in loose], f.type)]) for i, f in enumerate(FRAGMENT)]], names=[*SCHEMA.names, *FRAGMENT.names])
             rows.clear()
             loose.clear()
             return made
@@ -182,25 +185,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         close()
         yield emit()
 
-    names = ", ".join(f"{f.name} {'bigint' if f.type == pa.int64() else 'binary' if f.type == pa.binary() else 'string'}" for f in fragments)
-    scanned = lines.mapInArrow(scan, f"{RECORD}, {names}")
+    names = ", ".join(f"{f.name} {'bigint' if f.type == pa.int64() else 'binary' if f.type == pa.binary() else 'string'}" for f in FRAGMENT)
+    return lines.mapInArrow(run, f"{RECORD}, {names}")
 
-    def join(batches: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+
+def rejoined(fragments: DataFrame) -> DataFrame:
+    """The records of fragments (FRAGMENT): very few rows, since chance makes some false starts in every 100 MB, and few of them at an edge."""
+
+    def run(group: pa.Table) -> pa.Table:
         found, member = [], None
-        parts = sorted((r["block"], r["seq"], r["fragment"]) for b in batches for r in b.to_pylist())
+        parts = sorted((r["block"], r["seq"], r["fragment"]) for r in group.to_pylist())
         for _, _, part in [*parts, (0, 0, MAGIC)]:
-            if opens_record(part) or part == MAGIC:
+            if part == MAGIC or opens_record(part):
                 if member is not None:
                     got = inflate(member)
                     found.append(parse(got[0]) if got and got[1] else (None, None, None, None, None, None, None, False))
                 member = part
             elif member is not None:
                 member += part
-        yield pa.RecordBatch.from_arrays(table(found), names=schema.names)
+        return pa.Table.from_arrays(_table(found), schema=SCHEMA)
+
+    return fragments.select(*FRAGMENT.names).groupBy("file").applyInArrow(run, RECORD)
 
-    # chance magics at range edges: very few rows; scanning twice costs less than keeping all payloads
-    rare = scanned.where("fragment is not null").select("file", "block", "seq", "fragment").groupBy("file").applyInArrow(lambda t: pa.Table.from_batches(join(iter([t]))), RECORD)
-    return scanned.where("fragment is null").select(*schema.names).unionByName(rare)
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The records (RECORD) of all gzip-compressed archives below `path`."""
+    scanned = scan(spark, path)  # runs twice: that costs less than keeping all payloads
+    return scanned.where("fragment is null").select(*SCHEMA.names).unionByName(rejoined(scanned.where("fragment is not null")))
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -212,11 +223,17 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     def page(column: str) -> F.Column:
         return F.nullif(F.regexp_extract(column, "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
 
-    whole = F.col("payload").isNotNull()
-    return read(pages.sparkSession, path).select(
-        page("record_id").alias("page_id"), F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("bigint").alias("payload_bytes"),
-        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"),
-    )
+    def digested(records: DataFrame) -> DataFrame:
+        whole = F.col("payload").isNotNull()
+        return records.select(
+            page("record_id").alias("page_id"), F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("bigint").alias("payload_bytes"),
+            F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"),
+            *[c for c in FRAGMENT.names if c in records.columns],
+        )
+
+    scanned = written(digested(scan(pages.sparkSession, path)), "warc-read")  # narrow: payloads have become digests
+    records, fragments = scanned.where("fragment is null").drop(*FRAGMENT.names), scanned.where("fragment is not null")
+    return records if fragments.isEmpty() else records.unionByName(digested(rejoined(fragments)))
 
 
 SQL = """
