@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findspar.functions import text as T
+from findspar.session import ensure_checkpoints
 
 THRESHOLD = (9, 10)
 MIN_CHARS = 120
@@ -60,6 +61,7 @@ def admit(signed: DataFrame, pairs: DataFrame) -> DataFrame:
     A class stands for its passages: its first member in order is decided, and
     the others repeat either that one or what it repeats.
     """
+    ensure_checkpoints(signed.sparkSession)
     first = Window.partitionBy("class").orderBy("ord", "chunk_id")
     ranked = signed.select("chunk_id", "ord", "class").withColumn("_n", F.row_number().over(first))
     heads = ranked.where("_n = 1").select("class", F.col("chunk_id").alias("head"), "ord")

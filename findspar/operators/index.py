@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findspar.operators import dedup
+from findspar.session import ensure_checkpoints
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -72,7 +73,8 @@ def sync(chunks: DataFrame, duplicates: DataFrame, fresh: DataFrame) -> tuple[Da
     Kept passages stand before all candidates; a document's new passages come
     next, in their order, then orphaned copies in other documents.
     """
-    plan = sync_plan(chunks, fresh)
+    ensure_checkpoints(chunks.sparkSession)
+    plan = sync_plan(chunks, fresh).checkpoint()
     ids = {a: plan.where(F.col("action") == a).select("chunk_id") for a in ("add", "keep", "remove")}
     columns = chunks.columns
     stay = delete(chunks, ids["remove"], "chunk_id")
@@ -81,14 +83,17 @@ def sync(chunks: DataFrame, duplicates: DataFrame, fresh: DataFrame) -> tuple[Da
     new = fresh.join(ids["add"], "chunk_id", "left_semi").select(*columns)
     order = [F.lit(0), F.lit(1), F.lit(2)]
     every = refreshed.withColumn("_turn", order[0]).unionByName(new.withColumn("_turn", order[1])).unionByName(homeless.withColumn("_turn", order[2]))
+    every = every.checkpoint()
     turn = F.struct(F.col("_turn"), F.when(F.col("_turn") > 0, F.col("doc_id").cast("string")), F.when(F.col("_turn") > 0, F.col("chunk_index")))
     signed = dedup.signatures(every, order=turn)
-    decided = dedup.admit(signed, dedup.class_pairs(signed)).where("duplicate_of is not null")
+    decided = dedup.admit(signed, dedup.class_pairs(signed)).where("duplicate_of is not null").checkpoint()
     candidates = every.where("_turn > 0").drop("_turn")
     skipped = candidates.join(decided, "chunk_id")
     added = candidates.join(decided.select("chunk_id"), "chunk_id", "left_anti")
     old = duplicates.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").join(homeless.select("chunk_id"), "chunk_id", "left_anti")
-    return refreshed.unionByName(added.select(*columns)), old.unionByName(skipped.select(*columns, "duplicate_of", F.round("similarity", 4).alias("similarity")))
+    kept = every.where("_turn = 0").select(*columns).unionByName(added.select(*columns))
+    # checkpoints cut the lineage: a sync often follows another one
+    return kept.checkpoint(), old.unionByName(skipped.select(*columns, "duplicate_of", F.round("similarity", 4).alias("similarity"))).checkpoint()
 
 
 def check(chunks: DataFrame, vectors: DataFrame, duplicates: DataFrame) -> DataFrame:

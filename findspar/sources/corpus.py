@@ -27,7 +27,7 @@ def listed(spark: SparkSession, root: str, manifest: DataFrame | None = None) ->
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    files = files.withColumn("source", F.regexp_extract("path", F.lit(rf"^(?:\w+:/*)?/*{_quoted(base)}/(.*)$"), 1)).select("source", "content", "length")
+    files = files.withColumn("source", F.regexp_extract("path", rf"^(?:\w+:/*)?/*{_quoted(base)}/(.*)$", 1)).select("source", "content", "length")
     if manifest is None:
         return files.where(F.lower("source").rlike(r"\.(md|mdx|txt|html|htm|pdf)$"))
     missing = manifest.select(F.col("path").alias("source")).join(files.select("source"), "source", "left_anti").limit(5).collect()
