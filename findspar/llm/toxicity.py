@@ -32,7 +32,7 @@ from findspar.llm._frames import add_struct, crc_residue, fresh, narrow
 
 BUCKETS = 1 << 18
 FACTORS = 4
-MAX_TRAIN = 20_000
+MAX_TRAIN = 10_000
 MIN_ROWS = 4
 MIN_G2 = 10.8  # chance 0.001 for a term without a signal
 #: Stems are the first so many bytes of longer words: they carry over to inflected forms that training never saw.
@@ -71,11 +71,14 @@ def terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield key & (BUCKETS - 1), np.searchsorted(key >> 18, np.arange(len(first)))
 
 
-def informative(flat: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Terms of at least MIN_ROWS rows whose likelihood-ratio statistic G2 against the label is at least MIN_G2."""
     n, positive = len(labels), labels.sum()
-    have = np.bincount(flat, minlength=BUCKETS).astype(np.float64)
-    both = np.bincount(flat, label, BUCKETS)
+    have, both = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, labels, strict=True):  # a row's terms are distinct
+        have[row] += 1
+        if label:
+            both[row] += 1
     g2 = np.zeros(BUCKETS)
     for seen, total in ((both, positive), (have - both, n - positive)):
         for observed, margin in ((seen, have), (total - seen, n - have)):
@@ -89,8 +92,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     model = Machine(float(np.log(0.1 / 0.9)), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     if not len(rows):
         return model
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    kept = informative(flat, np.repeat(labels, [len(r) for r in rows]), labels)
+    kept = informative(rows, labels)
     local = np.full(BUCKETS, -1, np.int64)
     local[kept] = np.arange(len(kept))
     packed = [x[x >= 0] for x in (local[r] for r in rows)]
@@ -148,8 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     id_type = dict(joined.dtypes)["id"]
     # one row for each id, so that repeated documents don't go beyond the sample's bound
-    rows = joined.select("id", "y", "text").mapInArrow(features, f"id {id_type}, y int, terms binary").groupBy("id", "y").agg(F.min("terms").alias("terms")).orderBy("id").select("y", "terms").collect()
-    return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["y"] for r in rows], np.float64))
+    rows = joined.select("id", "y", "text").mapInArrow(features, f"id {id_type}, y int, terms binary").groupBy("id", "y").agg(F.min("terms").alias("terms")).orderBy("id").select("y", "terms").toArrow()
+    return fit([np.frombuffer(r.as_buffer(), np.int32) for r in rows["terms"]], rows["y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "toxicity") -> tuple[DataFrame, str]:
