@@ -195,8 +195,8 @@ def rejoined(fragments: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         found, member = [], None
         parts = sorted((r["block"], r["seq"], r["fragment"]) for r in group.to_pylist())
-        for _, _, part in [*parts, (0, 0, MAGIC)]:
-            if part == MAGIC or opens_record(part):
+        for _, _, part in [*parts, (0, 0, None)]:
+            if part is None or opens_record(part):
                 if member is not None:
                     got = inflate(member)
                     found.append(parse(got[0]) if got and got[1] else (None, None, None, None, None, None, None, False))
