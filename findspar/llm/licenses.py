@@ -102,7 +102,7 @@ def rules() -> list[Rule]:
     out = []
 
     def add(label: str, kind: str, pattern: str, needs: str) -> None:
-        flexible = re.sub(r"(?<![\[\\\w-]) (?![?\])-])", r"\\s+", pattern)
+        flexible = _any_blanks(pattern)
         # a|b in `needs` means that either word will do: one rule for each
         for one in _alternatives(needs):
             out.append(Rule(label, kind, frozenset(one), re.compile(rf"(?<!\w){flexible}")))
@@ -125,6 +125,15 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: PRIORITY[r.kind])
 
 
+def _any_blanks(pattern: str) -> str:
+    """The pattern with each blank outside of brackets as any run of white space (an optional one: as one of any kind)."""
+    out, inside = [], False
+    for c, following in zip(pattern, [*pattern[1:], ""], strict=True):
+        inside = c == "[" or (inside and c != "]")
+        out.append(c if c != " " or inside else r"\s" if following == "?" else r"\s+")
+    return "".join(out)
+
+
 def _host_word(url: str) -> str:
     """The keyword of an address: its site's name, a word of its own in any text that holds the address."""
     host = url.split("/")[0].replace("(?:joinup\\.ec\\.)?", "").split("\\.")
