@@ -49,6 +49,7 @@ FLUSH = 3_000_000  # pairs that a task holds before it packs them
 PER_PARTITION = 4_000_000  # pairs that a reducer takes, about
 ALL_PAIRS = 48  # prefix lists up to this long are filtered pair by pair, longer ones chained
 GROUP_SHINGLES = 3_000_000  # shingles that a block of a large group holds, about
+EDGES_PER_FILE = 500_000
 PIVOTS = 16
 BITS = 48
 
@@ -351,20 +352,20 @@ def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
 
 def connected(edges: DataFrame, what: str) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large-star and small-star steps."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
 
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def keep(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
+        """df as a table of few files (its size is about that of the step before), and its state: count and hash of the rows."""
+        df = written(df if rows is None else df.coalesce(1 + rows // EDGES_PER_FILE), what)
+        return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    state = mark(now)
+    now, state = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = written(small, what)
-        after = mark(now)
+        now, after = keep(small, state[0])
         if after == state:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
