@@ -15,10 +15,12 @@ from findspar.functions import text as T
 from findspar.operators import dedup, index
 from findspar.plans import _sql as S
 from findspar.plans.texts import docs, fixed_chunks
+from findspar.session import ensure_checkpoints
 
 
 def _signed(spark, sf) -> DataFrame:
-    return dedup.signatures(docs(spark, sf), "doc_id", "text")
+    ensure_checkpoints(spark)
+    return dedup.signatures(docs(spark, sf), "doc_id", "text").checkpoint()  # used several times
 
 
 def shingle_pairs(spark, sf):

@@ -15,14 +15,16 @@ def questions(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _posted(spark, sf, collection: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _posted(spark, sf, collection: str | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     d = docs(spark, sf)
     by = None if collection is None else F.col(collection)
-    return search.postings(d, "doc_id", "text", by), search.corpus_statistics(d, "text", by)
+    only = None if asked is None else search.asked_tokens(asked)
+    return search.postings(d, "doc_id", "text", by, only), search.corpus_statistics(d, "text", by)
 
 
-def _sparse(spark, sf) -> DataFrame:
-    return search.sparse(questions(spark, sf), *_posted(spark, sf))
+def _sparse(spark, sf, collection: str | None = None) -> DataFrame:
+    asked = questions(spark, sf)
+    return search.sparse(asked, *_posted(spark, sf, collection, asked), by_collection=collection is not None)
 
 
 def _dense(spark, sf) -> DataFrame:
@@ -45,7 +47,7 @@ def sparse_topk(spark, sf):
 
 
 def sparse_topk_collection(spark, sf):
-    return _scored(search.sparse(questions(spark, sf), *_posted(spark, sf, "lang"), by_collection=True), "collection")
+    return _scored(_sparse(spark, sf, "lang"), "collection")
 
 
 def dense_topk(spark, sf):
@@ -98,7 +100,7 @@ def merge_rewritten(spark, sf):
     half = F.floor(F.size(words) / 2).cast("int")
     parts = q.select("query_id", F.lit(0).alias("part"), F.array_join(F.slice(words, F.lit(1), half), " ").alias("text")).union(q.select("query_id", F.lit(1), F.array_join(F.slice(words, half + 1, F.size(words)), " "))).union(q.select("query_id", F.lit(2), "text"))
     asked = parts.select((F.col("query_id") * 3 + F.col("part")).alias("query_id"), "text")
-    ranked = search.sparse(asked, *_posted(spark, sf)).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).alias("part"), "chunk_id", "rank", F.col("score").alias("rerank_score"))
+    ranked = search.sparse(asked, *_posted(spark, sf, None, asked)).select(F.floor(F.col("query_id") / 3).alias("query_id"), (F.col("query_id") % 3).alias("part"), "chunk_id", "rank", F.col("score").alias("rerank_score"))
     merged = search.merge_rewritten(ranked.withColumn("is_original", F.col("part") == 2))
     return merged.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("score"), "leads", F.col("rank").cast("bigint").alias("rank"))
 

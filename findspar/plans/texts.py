@@ -14,8 +14,19 @@ from findspar.sources import html
 NAMED = ("src0", "src1")
 
 
+#: Below so many bytes an input may be one row group in one task; spreading it over the cores costs less than that.
+SMALL_INPUT = 64 << 20
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table; a small one is dealt evenly over the cores, a large one is read as it lies."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_INPUT
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return table(spark, sf, "documents")
 
 
 def path_of() -> F.Column:
@@ -78,7 +89,7 @@ def repeated_lines(spark, sf):
 
 
 def html_sections(spark, sf):
-    found = html.sections(spark.read.parquet(f"{sf}/pages.parquet"))
+    found = html.sections(table(spark, sf, "pages"))
     return found.select("page_id", F.posexplode("sections").alias("section_no", "s")).select("page_id", "section_no", "s.heading", "s.text")
 
 
