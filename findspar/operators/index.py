@@ -129,3 +129,30 @@ def embed_misses(texts: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
     """Distinct keyed texts that the embedding cache lacks: each is sent to the model once."""
     keyed = texts.withColumn("key", key)
     return keyed.groupBy("key").agg(F.first("text").alias("text")).join(cache.select("key"), "key", "left_anti")
+
+
+def also_appears_in(duplicates: DataFrame, chunk_id: str) -> DataFrame:
+    """Where else a passage's text occurs."""
+    return duplicates.where(F.col("duplicate_of") == chunk_id).orderBy("source", "chunk_index")
+
+
+def stored_vectors(chunks: DataFrame, cache: DataFrame, store: DataFrame, key: Column) -> DataFrame:
+    """(chunk_id, vector, origin) of passages: from the cache by key, else from the store by id, else null (an audit's business)."""
+    keyed = chunks.select("chunk_id", key.alias("key"))
+    joined = keyed.join(cache.select("key", F.col("vector").alias("cached")), "key", "left").join(store.select("chunk_id", F.col("vector").alias("kept")), "chunk_id", "left")
+    origin = F.when(F.col("cached").isNotNull(), "cache").when(F.col("kept").isNotNull(), "store").otherwise("missing")
+    return joined.select("chunk_id", F.coalesce("cached", "kept").alias("vector"), origin.alias("origin"))
+
+
+def repair(chunks: DataFrame, vectors: DataFrame, duplicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages to embed, vectors that stay, documents to sync again): what `check` reports, put right."""
+    lost = duplicates.join(chunks.select(F.col("chunk_id").alias("duplicate_of")), "duplicate_of", "left_anti").select("doc_id").distinct()
+    return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti"), vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), lost
+
+
+def same_model(vectors: DataFrame, model: str) -> DataFrame:
+    """The vectors, if all are of the model; a mixture is refused."""
+    other = vectors.where(F.col("model") != model).select("model").limit(1).collect()
+    if other:
+        raise ValueError(f"the index was built with {other[0]['model']!r}, not {model!r}")
+    return vectors

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from findspar.plans import answers, events, indexing, retrieval, texts
+from findspar.plans import answers, events, indexing, replies, retrieval, texts
 
-MODULES = (texts, retrieval, indexing, answers, events)
+MODULES = (texts, retrieval, indexing, answers, replies, events)
 
 
 def queries() -> dict:
