@@ -198,3 +198,28 @@ def test_empty_tables(spark):
     assert search.sparse(q, search.postings(docs, "doc_id", "text"), search.corpus_statistics(docs, "text")).count() == 0
     signed = dedup.signatures(docs, "doc_id", "text")
     assert dedup.admit(signed, dedup.class_pairs(signed)).count() == 0
+
+
+def test_hybrid_degrades(spark):
+    q = spark.createDataFrame([(1, "red fox")], "query_id int, text string")
+    found = spark.createDataFrame([(1, "a", 2.0, 1), (1, "b", 1.0, 2)], "query_id int, chunk_id string, score double, rank int")
+    p = spark.createDataFrame([("a", "blue whale"), ("b", "a red fox")], "chunk_id string, passage string")
+    got = search.hybrid(q, None, found, p).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["b", "a"] and got[0]["degraded"] == ["dense_search_unavailable"]
+    plain = search.hybrid(q, None, found, p, scorer=None).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in plain] == ["a", "b"] and "rerank_unavailable" in plain[0]["degraded"]
+    assert [r["query_id"] for r in search.to_rewrite(search.hybrid(q, found, found, p), 7.0).collect()] == [1]
+    with pytest.raises(ValueError):
+        search.hybrid(q, None, None, p)
+
+
+def test_repair_and_model_guard(spark):
+    chunks = spark.createDataFrame([("a", "d1"), ("b", "d1")], "chunk_id string, doc_id string")
+    vectors = spark.createDataFrame([("b", "m"), ("x", "m")], "chunk_id string, model string")
+    copies = spark.createDataFrame([("c", "d2", "gone"), ("d", "d3", "a")], "chunk_id string, doc_id string, duplicate_of string")
+    assert {(r["problem"], r["chunk_id"]) for r in index.check(chunks, vectors, copies).collect()} == {("missing_vector", "a"), ("stray_vector", "x"), ("lost_original", "c")}
+    embed, stay, again = index.repair(chunks, vectors, copies)
+    assert [r["chunk_id"] for r in embed.collect()] == ["a"] and [r["chunk_id"] for r in stay.collect()] == ["b"] and [r["doc_id"] for r in again.collect()] == ["d2"]
+    assert index.same_model(vectors, "m").count() == 2
+    with pytest.raises(ValueError):
+        index.same_model(vectors, "other")

@@ -110,3 +110,21 @@ def test_stream_limiter(spark, tmp_path):
     q.awaitTermination()
     got = {r["event_id"]: r["admitted"] for r in spark.table("limited").collect()}
     assert [got[i] for i in range(6)] == [True, True, False, False, True, True]
+
+
+def test_sinks(spark, tmp_path):
+    from findspar.sources import sinks
+
+    files = spark.createDataFrame([("a.md", bytearray(b"# H\nx")), ("b.txt", bytearray(b" "))], "source string, content binary")
+    parsed = corpus.documents(files)
+    sinks.processed_json(parsed, str(tmp_path / "json"))
+    assert [r["source"] for r in spark.read.json(str(tmp_path / "json")).collect()] == ["a.md"]
+    assert [r["source"] for r in sinks.new_raw(files, parsed.where("source = 'a.md'")).collect()] == ["b.txt"]
+    sinks.append_lines(files.select("source"), str(tmp_path / "lines"))
+    sinks.append_lines(files.select("source"), str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 4
+    try:
+        sinks.new_raw(spark.createDataFrame([("../x", bytearray(b""))], "source string, content binary"), parsed)
+        raise AssertionError
+    except ValueError as e:
+        assert "root" in str(e)
