@@ -39,14 +39,15 @@ def add_struct(df: DataFrame, text: str, fields: str, fn: Callable[[pa.Array], l
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; another root only where that is unset, as in local runs.
+
+    Nothing here deletes it: results are lazy, so their tables must outlive the call.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
-    if not root:
-        root = "/tmp/findspar-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = root or "/tmp/findspar-checkpoints"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

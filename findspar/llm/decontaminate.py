@@ -21,8 +21,6 @@ benchmark hits nothing.  Extra columns pass through whatever their names.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -287,10 +285,6 @@ def digest(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     )
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Pipeline form: documents with two or more items go, and so do those with no words outside their hits; others lose the hit spans."""
     columns = docs.columns
