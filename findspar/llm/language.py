@@ -50,7 +50,7 @@ def _symbols() -> np.ndarray:
     """Code point -> 16-bit symbol: 0 for what isn't a letter, else the lower-case letter (beyond the BMP: its low bits)."""
     if not _fold:
         table = np.zeros(0x110000, np.uint16)
-        for i in range(0x30000):
+        for i in range(0x33480):  # no letters beyond
             c = chr(i)
             if c.isalpha():
                 table[i] = ord(c.lower()[0]) & 0xFFFF or 1
