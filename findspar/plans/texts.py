@@ -9,20 +9,14 @@ from pyspark.sql.window import Window
 from findspar.functions import text as T
 from findspar.operators import chunking
 from findspar.plans import _sql as S
+from findspar.session import spread_small
 from findspar.sources import html
 
 NAMED = ("src0", "src1")
 
 
-#: Below so many bytes an input may be one row group in one task; spreading it over the cores costs less than that.
-SMALL_INPUT = 64 << 20
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table; a small one is dealt evenly over the cores, a large one is read as it lies."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_INPUT
-    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+    return spread_small(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:

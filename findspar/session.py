@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CHECKPOINTS = "/tmp/findspar-checkpoints"
 
+#: A single file below so many bytes is often one row group, so one task; dealing it over the cores costs less than that.
+SMALL_FILE = 64 << 20
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go where spark.checkpoint.dir says; only where nothing is set (local runs) a folder is chosen here."""
@@ -19,3 +22,11 @@ def build(app: str = "findspar", master: str | None = None) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.sql.parquet.filterPushdown", "true").getOrCreate()
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table of one small file dealt evenly over the cores; any other as it lies."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SMALL_FILE and len(df.inputFiles()) == 1:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
