@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from findspar.session import spread_small
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or a variant that clashes with no column of df (names compare without case)."""
@@ -65,4 +67,4 @@ def crc_residue(column: str, modulus: int) -> F.Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
