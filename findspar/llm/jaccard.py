@@ -12,8 +12,8 @@
    edges.  A long list is not expanded into pairs: sorted by set size, neighbours
    within the length filter are chained, which joins whatever could link.
 5. Connected candidates come together once (large groups in pairs of blocks of
-   bounded size).  There each node that isn't yet connected to the largest
-   component is held against all others it isn't connected to: the suffix
+   bounded size).  There nodes are held against all others they aren't connected to,
+   until those left are all in one component: the suffix
    filter (sizes of the sets' parts between fixed pivots bound the overlap), then
    the exact overlap.  Each pair is verified at most once.
 6. Labels of components spread by alternating large-star and small-star steps, all
@@ -375,8 +375,10 @@ def connected(edges: DataFrame, what: str) -> DataFrame:
 def verified(nodes: list[int], sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
     """Component label of each node under exact links; with `side`, only links between different sides are looked for.
 
-    Nodes of the largest component so far are passed over: any link that joins two
-    components has an end outside it, and that end is held against all others.
+    A node that has been held against all others outside its component is settled:
+    none of its links can be missed any more.  Nodes of what is the largest component
+    at the moment are passed over; passes over those left follow until they are all
+    in the same component, so that a link between two components had a settled end.
     """
     m = len(nodes)
     label = np.arange(m)
@@ -390,34 +392,39 @@ def verified(nodes: list[int], sizes: np.ndarray, tokens: list[np.ndarray], side
     np.add.at(parts, (owner, part), 1)
     count = np.ones(m, np.int64)
     biggest = 0
-    for x in np.lexsort((nodes, -sizes)).tolist():
-        if label[x] == biggest and count[biggest] > 1:
-            continue
-        other = (label != label[x]) & (4 * np.minimum(sizes, sizes[x]) >= 3 * np.maximum(sizes, sizes[x]))
-        if side is not None:
-            other &= side != side[x]
-        rivals = np.flatnonzero(other)
-        if not len(rivals):
-            continue
-        need = -(-3 * (sizes[rivals] + sizes[x]) // 7)
-        rivals = rivals[np.minimum(parts[rivals], parts[x]).sum(1) >= need]  # suffix filter
-        if not len(rivals):
-            continue
-        if len(rivals) <= 4:
-            linked = [r for r in rivals.tolist() if _links(len(np.intersect1d(tokens[r], tokens[x], assume_unique=True)), sizes[r], sizes[x])]
-        else:
-            a, b = np.searchsorted(flat, tokens[x]), np.searchsorted(flat, tokens[x], "right")
-            times = b - a
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            shared = np.bincount(owner[at], minlength=m)[rivals]
-            linked = rivals[_links(shared, sizes[rivals], sizes[x])].tolist()
-        for r in linked:
-            if label[r] != label[x]:
-                keep, gone = label[x], label[r]
-                count[keep] += count[gone]
-                label[label == gone] = keep
-        if count[label[x]] >= count[biggest]:
-            biggest = label[x]
+    settled = np.zeros(m, bool)
+    waiting = np.lexsort((nodes, -sizes))
+    while (label[waiting] != biggest).any():
+        for x in waiting.tolist():
+            if label[x] == biggest and count[biggest] > 1:
+                continue
+            settled[x] = True
+            other = ~settled & (label != label[x]) & (4 * np.minimum(sizes, sizes[x]) >= 3 * np.maximum(sizes, sizes[x]))
+            if side is not None:
+                other &= side != side[x]
+            rivals = np.flatnonzero(other)
+            if not len(rivals):
+                continue
+            need = -(-3 * (sizes[rivals] + sizes[x]) // 7)
+            rivals = rivals[np.minimum(parts[rivals], parts[x]).sum(1) >= need]  # suffix filter
+            if not len(rivals):
+                continue
+            if len(rivals) <= 4:
+                linked = [r for r in rivals.tolist() if _links(len(np.intersect1d(tokens[r], tokens[x], assume_unique=True)), sizes[r], sizes[x])]
+            else:
+                a, b = np.searchsorted(flat, tokens[x]), np.searchsorted(flat, tokens[x], "right")
+                times = b - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                shared = np.bincount(owner[at], minlength=m)[rivals]
+                linked = rivals[_links(shared, sizes[rivals], sizes[x])].tolist()
+            for r in linked:
+                if label[r] != label[x]:
+                    keep, gone = label[x], label[r]
+                    count[keep] += count[gone]
+                    label[label == gone] = keep
+            if count[label[x]] >= count[biggest]:
+                biggest = label[x]
+        waiting = waiting[~settled[waiting]]
     return label
 
 

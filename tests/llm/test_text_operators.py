@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -226,6 +227,36 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 5, 6, 9] and len(kept.columns) == 6
 
 
+def edited_versions(n, start=0):
+    """Sets of 100 shingles of which only successive ones link."""
+    return [np.arange(start + 13 * i, start + 13 * i + 100, dtype=np.uint64) for i in range(n)]
+
+
+def permuted_components(tokens, names, side=None):
+    label = jaccard.verified(names, np.full(len(tokens), 100), tokens, side).tolist()
+    groups = {frozenset(i for i in range(len(tokens)) if label[i] == own) for own in label}
+    return groups
+
+
+def test_components_do_not_depend_on_the_order_of_nodes():
+    chain = edited_versions(4)
+    for names in itertools.permutations(range(4)):
+        assert permuted_components(chain, list(names)) == {frozenset(range(4))}
+    # two stars: leaves differ from their hub and more from each other; the hubs link
+    hub = np.arange(1000, 1100, dtype=np.uint64)
+    second = np.concatenate([hub[14:], np.arange(9000, 9014, dtype=np.uint64)])
+    leaf = lambda base, k: np.sort(np.concatenate([np.delete(base, np.arange(20 + 12 * k, 32 + 12 * k)), np.arange(20_000 + 100 * base[-1] + 50 * k, 20_000 + 100 * base[-1] + 50 * k + 12, dtype=np.uint64)]))
+    stars = [hub, second, *[leaf(hub, k) for k in range(3)], *[leaf(second, k) for k in range(3)]]
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        assert permuted_components(stars, rng.permutation(8).tolist()) == {frozenset(range(8))}
+        assert permuted_components([*edited_versions(7), *edited_versions(5, 5000)], rng.permutation(12).tolist()) == {frozenset(range(7)), frozenset(range(7, 12))}
+    # across two blocks only links between the blocks count: a chain that alternates is whole
+    sides = np.array([0, 1, 0, 1, 0, 1, 0])
+    for _ in range(100):
+        assert permuted_components(edited_versions(7), rng.permutation(7).tolist(), sides) == {frozenset(range(7))}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=25))
 def test_union_find(edges):
