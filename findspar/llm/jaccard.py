@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findspar.llm import _words as w
-from findspar.llm._frames import narrow, written
+from findspar.llm._frames import add_struct, fresh, narrow, written
 
 SHINGLE = 5
 FLUSH = 3_000_000  # pairs that a task holds before it packs them
@@ -477,8 +477,8 @@ def verify(nodes: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHIN
     return work.mapInArrow(run, "node bigint, root bigint, whole boolean")
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document row."""
+def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, node, root, component_id of every document row; node and root (the component's node) are null for rows without words."""
     spark = docs.sparkSession
     base = narrow(docs, doc_id=doc_id, text=text)
     id_type = dict(base.dtypes)["doc_id"]
@@ -500,10 +500,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     roots = links.where("whole").select("node", "root")
     if not links.where("not whole").isEmpty():
         roots = roots.union(connected(links.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-blocks"))
-    labelled = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n_shingles", "root")
+    labelled = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n_shingles", "node", "root")
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", "root", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document row."""
+    return rooted(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -511,18 +516,29 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pipeline form: of each component one document stays, the one whose id is the component's label; rows that repeat that id stay once.
+    """Pipeline form: of each component one document stays, the one whose id is the component's label; of its rows with that id the one with the smallest text.
 
-    Documents without words are components of their own and all stay.
+    Documents without words are components of their own and all stay.  So do rows
+    that share an id, or have none, and don't link: they are told apart by their text's node.
     """
     columns = docs.columns
-    kept = link(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept")), "left_semi")
-    again = stay.groupBy(doc_id).count().where("count > 1").limit(1)
-    if again.isEmpty():
+    found = rooted(docs, doc_id, text)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        stay = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept")), "left_semi")
         return stay.select(*[F.col(f"`{c}`") for c in columns])
-    row = Window.partitionBy(doc_id).orderBy(F.col(f"`{text}`"))
-    return stay.withColumn("_row", F.row_number().over(row)).where("_row = 1").select(*[F.col(f"`{c}`") for c in columns])
+
+    def name(column: pa.Array) -> list[pa.Array]:
+        return [pa.array([node_of(s) if len(s) else None for s in sets(column)], pa.int64())]
+
+    key = fresh(docs, "_key")
+    rows = add_struct(docs, text, "node bigint", name, key)
+    # an id and a text's node name the same component in both tables
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("node").alias("_node"), F.col("root").alias("_root")).distinct()
+    stay = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept")) & F.col(f"{key}.node").eqNullSafe(F.col("_node")))
+    row = F.row_number().over(Window.partitionBy("_root").orderBy(F.col(f"`{text}`")))
+    one = stay.where("_root is not null").withColumn("_row", row).where("_row = 1")
+    return one.select(*[F.col(f"`{c}`") for c in columns]).union(stay.where("_root is null").select(*[F.col(f"`{c}`") for c in columns]))
 
 
 SQL = r"""

@@ -257,6 +257,16 @@ def test_components_do_not_depend_on_the_order_of_nodes():
         assert permuted_components(edited_versions(7), rng.permutation(7).tolist(), sides) == {frozenset(range(7))}
 
 
+def test_rows_that_share_an_id_or_have_none_stay_unless_they_link(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(None, "red apples fall"), (None, "blue rivers run"), (None, "blue rivers run"), (None, None), (None, ""), (7, "first text here"), (7, "second text there"), (3, "first text here"), (8, ""), (8, None), (9, f"{long} a"), (9, f"{long} b"), (5, "alone")]
+    want = [(3, "first text here"), (5, "alone"), (7, "second text there"), (8, ""), (8, None), (9, f"{long} a"), (None, ""), (None, "blue rivers run"), (None, "red apples fall"), (None, None)]
+    kept = jaccard.keep_one(docs(spark, rows, True).withColumn("_key", F.lit(1)))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr) and len(kept.columns) == 7
+    # one null id: no id repeats
+    assert sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs(spark, [(None, "x y"), (2, "z"), (1, "z")])).collect()), key=repr) == [(1, "z"), (None, "x y")]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=25))
 def test_union_find(edges):
