@@ -7,9 +7,10 @@ payload.  Files go through Spark's own writer, so any store that Spark can write
 holds them.  That writer puts a separator after every row; a zero byte serves,
 since a gzip member of less than 16 MB ends with one: the member is written
 without its last byte and the separator completes it.  (Larger members are
-followed by one byte of zero padding, which gzip readers skip.)
+followed by one byte of zero padding, which gzip readers skip.)  The files are then
+renamed to *.warc.gz.
 
-Reading.  Spark splits a file into byte ranges.  Inside its range a task scans for
+Reading.  Spark splits a file into byte ranges, whatever its name (`UNDECODED`).  Inside its range a task scans for
 the gzip magic and owns the members that start there, reading past the range's end
 to finish the last one.  Compressed data can hold the magic by chance, so a
 candidate counts only if its header decodes and its first inflated bytes open a WARC
@@ -39,6 +40,10 @@ from findspar.llm._frames import narrow, shared_path, written
 MIN_REVISIT = 100
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 4
+#: Keeps Spark's text source from decompressing *.gz, which it could not split.  Hadoop looks for the codec under the
+#: greatest registered suffix, read backwards, that sorts before the file's name: for "x.gz" that is now ".!.gz", which
+#: doesn't fit, so no codec is used.  The option has two names, since Spark's Hadoop is shaded.
+UNDECODED = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"} | {f"{x}io.compress.passthrough.extension": ".!.gz" for x in ("", "org.apache.hadoop.shaded.")}
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length bigint, payload binary, valid boolean"
 
@@ -80,6 +85,29 @@ def opens_record(member: bytes) -> bool:
     return got is not None and got[0].startswith(b"WARC/")
 
 
+def undecided(member: bytes) -> bool:
+    """Whether the bytes are too few to tell if they start a record: chance can put a magic among a member's first bytes."""
+    if len(member) >= 4096 or (len(member) > 3 and member[3] & 0xE0):
+        return False
+    got = inflate(member, 8)
+    return got is not None and not got[1] and len(got[0]) < 5 and b"WARC/".startswith(got[0])
+
+
+def sorted_out(held: list[bytes], piece: bytes) -> list[tuple[bytes, bool]]:
+    """What is known with one more piece, in order: (bytes, whether they start a record); `held` keeps the pieces that aren't decided."""
+    held.append(piece)
+    for i in range(len(held)):
+        start = b"".join(held[i:])
+        if opens_record(start):
+            out = [*((x, False) for x in held[:i]), (start, True)]
+            held.clear()
+            return out
+    out = []
+    while held and not undecided(b"".join(held)):
+        out.append((held.pop(0), False))
+    return out
+
+
 def parse(data: bytes) -> tuple:
     """The fields of RECORD from a record's bytes."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -98,7 +126,7 @@ def parse(data: bytes) -> tuple:
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Archive files (one per task) below `path`."""
+    """Archive files (one per task, *.warc.gz) below `path`."""
     rows = narrow(pages, page_id=page_id, url=url, html=html).withColumn("html", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     first = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
@@ -120,6 +148,13 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
     packed = marked.select(F.col("page_id").cast("string"), "url", "html", "digest", F.col("refers_to").cast("string")).mapInArrow(pack, "member binary")
     packed.select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and not store.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name.removesuffix('.txt')}.warc.gz")):
+            raise OSError(f"cannot rename {name} in {path}")
 
 
 SCHEMA = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary()), ("valid", pa.bool_())])
@@ -133,11 +168,12 @@ def _table(rows: list[tuple]) -> list[pa.Array]:
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Whole records (RECORD), and rows with the fragments of those that a false start cut at a range's edge."""
     # lines between magics: Spark's text source scans byte ranges for the separator and finishes a range's last line beyond it
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    lines = spark.read.options(**UNDECODED).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, member, seq, held = None, None, 0, 0
+        short: list[bytes] = []
         rows: list[tuple] = []
         loose: list[tuple] = []
 
@@ -152,6 +188,15 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                     loose.append((*where, seq, member))
                 member = None
 
+        def leave() -> None:
+            """The end of a range; what isn't decided there is for the second step, as is a member that it might belong to."""
+            nonlocal seq
+            close()
+            for x in short:
+                seq += 1
+                loose.append((*where, seq, x))
+            short.clear()
+
         def emit() -> pa.RecordBatch:
             nonlocal held
             held = 0
@@ -166,23 +211,25 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                 piece = batch.column(0)[i].as_py()
                 opening = at != where
                 if opening:
-                    close()
+                    leave()
                     where, seq = at, 0
                     if at[1] == 0:  # what stands before a file's first magic isn't a member
+                        if piece.startswith(b"WARC/") and at[0].lower().endswith(".gz"):
+                            raise ValueError(f"{at[0]} was decompressed before it got here")
                         continue
-                candidate = MAGIC + piece
-                if opens_record(candidate):
-                    close()
-                    member = candidate
-                    seq += 1
-                elif member is not None:
-                    member += candidate
-                else:  # the member that this continues starts in an earlier range
-                    seq += 1
-                    loose.append((*where, seq, candidate))
+                for part, opens in sorted_out(short, MAGIC + piece):
+                    if opens:
+                        close()
+                        member = part
+                        seq += 1
+                    elif member is not None:
+                        member += part
+                    else:  # the member that this continues starts in an earlier range
+                        seq += 1
+                        loose.append((*where, seq, part))
                 if held > 16 << 20:
                     yield emit()
-        close()
+        leave()
         yield emit()
 
     names = ", ".join(f"{f.name} {'bigint' if f.type == pa.int64() else 'binary' if f.type == pa.binary() else 'string'}" for f in FRAGMENT)
@@ -193,10 +240,11 @@ def rejoined(fragments: DataFrame) -> DataFrame:
     """The records of fragments (FRAGMENT): very few rows, since chance makes some false starts in every 100 MB, and few of them at an edge."""
 
     def run(group: pa.Table) -> pa.Table:
-        found, member = [], None
+        found, member, short = [], None, []
         parts = sorted((r["block"], r["seq"], r["fragment"]) for r in group.to_pylist())
-        for _, _, part in [*parts, (0, 0, None)]:
-            if part is None or opens_record(part):
+        known = [x for _, _, part in parts for x in sorted_out(short, part)]
+        for part, opens in [*known, *((x, False) for x in short), (None, True)]:
+            if opens:
                 if member is not None:
                     got = inflate(member)
                     found.append(parse(got[0]) if got and got[1] else (None, None, None, None, None, None, None, False))

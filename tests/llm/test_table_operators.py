@@ -172,6 +172,49 @@ def test_warc_files_are_plain_gzip_and_survive_false_starts(spark, tmp_path, mon
     assert data.count(b"WARC/1.1\r\n") == len(pages()) and data.startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_archives_are_read_whatever_their_name(spark, tmp_path):
+    rows = [(str(i), bytes([i]) * 50 + b"payload") for i in range(40)]
+    data = b"".join(warc.compress(warc.record(i, None, payload, hashlib.sha256(payload).hexdigest(), None)) for i, payload in rows)
+    names = ["a.warc.gz", "b.WARC.GZ", "c!.gz", "d.warc", "e-0.gz", "ä.warc.gz"]
+    for name in names:
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    want = sorted((f"<urn:page:{i}>", payload, True) for i, payload in rows for _ in names)
+    for split in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            parts = warc.scan(spark, str(tmp_path / "in" / "a.warc.gz")).rdd.getNumPartitions()
+            got = sorted((r["record_id"], bytes(r["payload"]), r["valid"]) for r in warc.read(spark, str(tmp_path / "in")).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+            spark.conf.set("spark.sql.files.openCostInBytes", "4m")
+        assert got == want and (split == "128m" or parts > 4)
+    warc.write(spark.createDataFrame(pages(), PAGES).coalesce(2), str(tmp_path / "out"))
+    written = [p.name for p in (tmp_path / "out").glob("part-*")]
+    assert written and all(name.endswith(".warc.gz") for name in written)
+    assert warc.read(spark, str(tmp_path / "out")).where("valid").count() == len(pages())
+
+
+def test_warc_members_whose_first_bytes_hold_a_magic(spark, tmp_path):
+    """Too little stands before that magic to tell that a record starts there."""
+    members = []
+    for i in range(30):
+        packed = warc.compress(warc.record(str(i), None, bytes([i]) * 90, hashlib.sha256(bytes([i]) * 90).hexdigest(), None))
+        members.append(packed[:3] + b"\x08" + packed[4:10] + b"\x1f\x8b\x08" * (i % 3) + b"name\0" + packed[10:])
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    assert gzip.decompress(b"".join(members)).count(b"WARC/1.1\r\n") == 30
+    for split in (*(f"{n}b" for n in (64, 201, 333)), "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            got = sorted((r["record_id"], r["valid"]) for r in warc.read(spark, str(tmp_path)).coalesce(4).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+            spark.conf.set("spark.sql.files.openCostInBytes", "4m")
+        assert got == sorted((f"<urn:page:{i}>", True) for i in range(30)), split
+
+
 def test_warc_of_nothing(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
