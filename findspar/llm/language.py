@@ -13,9 +13,9 @@ The model is broadcast.  Its size is checked: while it has over `MAX_GRAMS` gram
 those of the lowest counts are left out (a count cut-off, as is usual for language
 models); the counts before the cut cover every training document.
 
-Rejection is calibrated: per language, on at most about `CALIBRATION` training
-documents, the threshold is the 99.9th percentile of the cross-entropy plus
-`MARGIN` nats, and short texts get `SHORT` / sqrt(length) more.
+Rejection is calibrated: per language, over all its training documents, the
+threshold is the 99.9th percentile of the cross-entropy (in steps of 1 / `STEPS` nats,
+rounded up) plus `MARGIN` nats, and short texts get `SHORT` / sqrt(length) more.
 
 Defined results: null texts and texts without a letter are `und`, with score 0,
 and rejected; without any training row every text is `und`.  Equal cross-entropies go
@@ -38,7 +38,7 @@ from findspar.llm._frames import add_struct, crc_residue, fresh, narrow
 
 ORDER = 4
 MAX_GRAMS = 3_000_000
-CALIBRATION = 4_000
+STEPS = 1_000
 MARGIN, SHORT = 0.5, 6.0
 FLUSH = 2_000_000
 FIELDS = "lang string, score double, entropy double, rejected boolean, n_chars bigint"
@@ -285,11 +285,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return calibrate(train, model)
 
 
-def calibrate(train: DataFrame, model: Model, size: int = CALIBRATION) -> Model:
-    """Thresholds from a hash sample of about `size` training rows; only their entropies, less the short-text allowance, reach the driver."""
-    rows = train.count()
-    part = train.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < F.lit(1 + 1_000_000 * size // max(1, rows)))
-    sent = part.sparkSession.sparkContext.broadcast(model)
+def calibrate(train: DataFrame, model: Model) -> Model:
+    """Thresholds from all training rows: their entropies, less the short-text allowance, are counted by steps, and one number per language reaches the driver."""
+    sent = train.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +296,8 @@ def calibrate(train: DataFrame, model: Model, size: int = CALIBRATION) -> Model:
             on = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(own[on], pa.int64()), pa.array((entropy[np.arange(len(own)), own] - SHORT / np.sqrt(np.maximum(n, 1)))[on])], names=["lang", "h"])
 
-    found = part.select("lang", "text").mapInArrow(measure, "lang bigint, h double").groupBy("lang").agg(F.percentile("h", F.lit(0.999)).alias("h")).collect()
+    steps = train.select("lang", "text").mapInArrow(measure, "lang bigint, h double").groupBy("lang", F.ceil(F.col("h") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    found = steps.groupBy("lang").agg((F.percentile("step", F.lit(0.999), F.col("n")) / STEPS).alias("h")).collect()
     model.limit = np.full(len(model.langs), np.inf)
     for r in found:
         model.limit[r["lang"]] = r["h"] + MARGIN

@@ -384,6 +384,19 @@ def test_language_holds_out(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.98
 
 
+def test_thresholds_are_percentiles_of_all_training_rows(spark):
+    rng = np.random.default_rng(4)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(12))
+    rows = [(i, text("abcdefgh"), "aa") for i in range(6000)] + [(6000 + i, text("stuvwxyz"), "rare") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(d, held=9)
+    assert model.langs == ["aa", "rare"]
+    for own, lang in enumerate(model.langs):
+        entropy, n = model.entropy(pa.array([t for _, t, x in rows if x == lang]))
+        want = np.quantile(entropy[:, own] - language.SHORT / np.sqrt(n), 0.999) + language.MARGIN
+        assert want - 1e-9 <= model.limit[own] <= want + 2 / language.STEPS
+
+
 def test_grams_cut_off_keeps_the_bound(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.learn(d, max_grams=2000)
