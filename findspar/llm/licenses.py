@@ -2,8 +2,9 @@
 
 Two layers.  The base layer finds three fixed phrases by their words.  The method
 layer is an ordered list of some hundreds of signature regexes, generated below
-from families, versions and wordings.  A rule runs on a text only if all its
-keywords are among the text's words, so most texts run no regex at all.  Every
+from families, versions and wordings.  A rule runs on a text only if the
+lower-cased text contains all its keywords, which every match of its regex contains
+(as parts of words too: "“MIT", "FreeBSD", "©2019"), so that most regexes don't run.  Every
 match is an interval; matches are taken in order of priority, then length, then
 position, and a match inside an interval that is already taken is suppressed, so
 "GNU Lesser General Public License v3" doesn't count as a plain mention of the GPL
@@ -43,24 +44,24 @@ class Rule:
     regex: re.Pattern
 
 
-# Fixed values: (label, SPDX stem, name as a regex, the words it needs, versions, address as a regex).
+# Fixed values: (label, SPDX stem, name as a regex, the strings it needs, versions, address as a regex).
 FAMILIES = (
     ("agpl", "agpl", r"(?:gnu )?affero general public licen[sc]e", "affero public", ("1.0", "3.0"), r"gnu\.org/licenses/agpl"),
     ("lgpl", "lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "general public", ("2.0", "2.1", "3.0"), r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("gpl", "gpl", r"(?:gnu )?general public licen[sc]e", "general public", ("1.0", "2.0", "3.0"), r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
     ("gfdl", "gfdl", r"(?:gnu )?free documentation licen[sc]e", "free documentation", ("1.1", "1.2", "1.3"), r"gnu\.org/licenses/(?:old-licenses/)?fdl"),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", "apache", ("1.0", "1.1", "2.0"), r"apache\.org/licenses"),
-    ("mit", "mit", r"(?:mit|expat) licen[sc]e", "mit", (), r"opensource\.org/licenses/mit"),
-    ("bsd-2-clause", "bsd-2-clause", r"(?:bsd 2[- ]clause|simplified bsd|freebsd) licen[sc]e", "bsd", (), r"opensource\.org/licenses/bsd-2-clause"),
-    ("bsd-3-clause", "bsd-3-clause", r"(?:bsd 3[- ]clause|new bsd|modified bsd) licen[sc]e", "bsd", (), r"opensource\.org/licenses/bsd-3-clause"),
-    ("bsd-4-clause", "bsd-4-clause", r"(?:bsd 4[- ]clause|original bsd) licen[sc]e", "bsd", (), r"spdx\.org/licenses/bsd-4-clause"),
-    ("bsd", "bsd", r"bsd(?:-style)? licen[sc]e", "bsd", (), r"opensource\.org/licenses/bsd"),
+    ("mit", "mit", r"(?:mit|expat) licen[sc]e", "mit|expat licen", (), r"opensource\.org/licenses/mit"),
+    ("bsd-2-clause", "bsd-2-clause", r"(?:bsd 2[- ]clause|simplified bsd|freebsd) licen[sc]e", "bsd licen", (), r"opensource\.org/licenses/bsd-2-clause"),
+    ("bsd-3-clause", "bsd-3-clause", r"(?:bsd 3[- ]clause|new bsd|modified bsd) licen[sc]e", "bsd licen", (), r"opensource\.org/licenses/bsd-3-clause"),
+    ("bsd-4-clause", "bsd-4-clause", r"(?:bsd 4[- ]clause|original bsd) licen[sc]e", "bsd licen", (), r"spdx\.org/licenses/bsd-4-clause"),
+    ("bsd", "bsd", r"bsd(?:-style)? licen[sc]e", "bsd licen", (), r"opensource\.org/licenses/bsd"),
     ("mpl", "mpl", r"mozilla public licen[sc]e", "mozilla", ("1.0", "1.1", "2.0"), r"mozilla\.org/(?:en-us/)?mpl"),
     ("epl", "epl", r"eclipse public licen[sc]e", "eclipse", ("1.0", "2.0"), r"eclipse\.org/legal/epl"),
     ("eupl", "eupl", r"european union public licen[sc]e", "european public", ("1.0", "1.1", "1.2"), r"(?:joinup\.ec\.)?europa\.eu/[\w/-]*eupl"),
     ("cddl", "cddl", r"common development and distribution licen[sc]e", "development distribution", ("1.0", "1.1"), r"opensource\.org/licenses/cddl"),
     ("cpl", "cpl", r"common public licen[sc]e", "common public", ("1.0",), r"opensource\.org/licenses/cpl"),
-    ("isc", "isc", r"isc licen[sc]e", "isc", (), r"opensource\.org/licenses/isc"),
+    ("isc", "isc", r"isc licen[sc]e", "isc licen", (), r"opensource\.org/licenses/isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib", (), r"opensource\.org/licenses/zlib"),
     ("boost", "bsl", r"boost software licen[sc]e", "boost", ("1.0",), r"boost\.org/license"),
     ("artistic", "artistic", r"artistic licen[sc]e", "artistic", ("1.0", "2.0"), r"opensource\.org/licenses/artistic"),
@@ -69,7 +70,7 @@ FAMILIES = (
     ("unlicense", "unlicense", r"the unlicense", "unlicense", (), r"unlicense\.org"),
     ("wtfpl", "wtfpl", r"do what the f\w+ you want to public licen[sc]e", "want public", ("2.0",), r"wtfpl\.net"),
     ("public-domain", "cc0", r"(?:dedicated to|released into|placed in|in) the public domain", "public domain", (), r"creativecommons\.org/publicdomain"),
-    ("cc0", "cc0", r"(?:creative commons )?(?:cc ?0|zero)(?: universal)?", "cc0", ("1.0",), r"creativecommons\.org/publicdomain/zero"),
+    ("cc0", "cc0", r"(?:(?:creative commons )?cc ?0|creative commons zero)(?: universal)?", "cc|commons 0|zero", ("1.0",), r"creativecommons\.org/publicdomain/zero"),
     ("cc-by-nc-nd", "cc-by-nc-nd", r"(?:cc|creative commons)[ -](?:by|attribution)[ -]n(?:c|on-?commercial)[ -]n(?:d|o-?deriv\w*)", "cc|commons", ("2.0", "2.5", "3.0", "4.0"), r"creativecommons\.org/licenses/by-nc-nd"),
     ("cc-by-nc-sa", "cc-by-nc-sa", r"(?:cc|creative commons)[ -](?:by|attribution)[ -]n(?:c|on-?commercial)[ -]s(?:a|hare-?alike)", "cc|commons", ("2.0", "2.5", "3.0", "4.0"), r"creativecommons\.org/licenses/by-nc-sa"),
     ("cc-by-nc", "cc-by-nc", r"(?:cc|creative commons)[ -](?:by|attribution)[ -]n(?:c|on-?commercial)", "cc|commons", ("2.0", "2.5", "3.0", "4.0"), r"creativecommons\.org/licenses/by-nc"),
@@ -90,8 +91,8 @@ NOTICES = (
 # Statements that name no license family.
 STATEMENTS = (
     ("reserved", "notice", r"all rights (?:are )?reserved", "rights reserved"),
-    ("copyright", "mention", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d", "copyright|©"),
-    ("no-redistribution", "notice", r"(?:may|must) not be (?:reproduced|copied|redistributed)", "not be"),
+    ("copyright", "mention", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d", "copyright|(c)|©"),
+    ("no-redistribution", "notice", r"(?:may|must) not be (?:reproduced|copied|redistributed)", "not reproduced|copied|redistributed"),
     ("permissive", "notice", r"permission is hereby granted,? free of charge", "permission hereby granted"),
     ("permissive", "notice", r"redistribution and use in source and binary forms", "redistribution source binary"),
 )
@@ -103,7 +104,7 @@ def rules() -> list[Rule]:
 
     def add(label: str, kind: str, pattern: str, needs: str) -> None:
         flexible = _any_blanks(pattern)
-        # a|b in `needs` means that either word will do: one rule for each
+        # a|b in `needs` means that either string will do: one rule for each
         for one in _alternatives(needs):
             out.append(Rule(label, kind, frozenset(one), re.compile(rf"(?<!\w){flexible}")))
 
@@ -135,7 +136,7 @@ def _any_blanks(pattern: str) -> str:
 
 
 def _host_word(url: str) -> str:
-    """The keyword of an address: its site's name, a word of its own in any text that holds the address."""
+    """The keyword of an address: its site's name."""
     host = url.split("/")[0].replace("(?:joinup\\.ec\\.)?", "").split("\\.")
     return host[-2] if len(host) > 1 else host[0]
 
@@ -153,16 +154,14 @@ def _hash(word: str) -> np.uint64:
 
 
 class Scanner:
-    """Rules and phrases as word hashes; built once in each worker."""
+    """Rules, and phrases as word hashes; built once in each worker."""
 
     _own: Scanner | None = None
 
     def __init__(self) -> None:
         self.rules = rules()
-        words = sorted({k for r in self.rules for k in r.keywords})
-        hashed = np.array([_hash(x) for x in words], np.uint64)
-        order = np.argsort(hashed)
-        self.keys, self.words = hashed[order], [words[i] for i in order]
+        self.words = sorted({k for r in self.rules for k in r.keywords})
+        self.chosen: dict[tuple[str, ...], list[int]] = {}  # rules by the keywords that a text contains
         self.phrases = [(label, [_hash(x) for x in phrase.split()]) for phrase, label in BASE.items()]
 
     @classmethod
@@ -170,12 +169,17 @@ class Scanner:
         cls._own = cls._own or cls()
         return cls._own
 
-    def detect(self, text: str, present: set[str]) -> list[tuple[int, int, int]]:
-        """(rule, start, end) of the detections that stand: none lies inside one that was taken before it."""
+    def detect(self, text: str) -> list[tuple[int, int, int]]:
+        """(rule, start, end) of the detections that stand in a lower-cased text: none lies inside one that was taken before it."""
+        present = tuple(k for k in self.words if k in text)
+        if present not in self.chosen:
+            if len(self.chosen) > 5000:
+                self.chosen.clear()
+            self.chosen[present] = [i for i, r in enumerate(self.rules) if r.keywords <= set(present)]
         found = []
-        for i, r in enumerate(self.rules):
-            if r.keywords <= present:
-                found += [(m.start(), -m.end(), PRIORITY[r.kind], i) for m in r.regex.finditer(text)]
+        for i in self.chosen[present]:
+            r = self.rules[i]
+            found += [(m.start(), -m.end(), PRIORITY[r.kind], i) for m in r.regex.finditer(text)]
         return resolve(found)
 
     def scan(self, column: pa.Array) -> list[list]:
@@ -198,18 +202,10 @@ class Scanner:
             places: dict[int, list[tuple[int, int]]] = {}
             for s, r, i in zip(starts, row, label, strict=True):
                 places.setdefault(r, []).append((s - int(first[r]), i))
-            slot = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-            known = np.flatnonzero(self.keys[slot] == hashed)
-            seen: dict[int, set[str]] = {}
-            pairs = np.unique(np.stack([np.searchsorted(first, known, "right") - 1, slot[known]], 1), axis=0)
-            for r, k in pairs.tolist():
-                seen.setdefault(r, set()).add(self.words[k])
             for r in range(n):
                 base = sorted(places.get(r, []))
                 names = sorted({self.phrases[i][0] for _, i in base})
-                kept = []
-                if r in seen and any(x.keywords <= seen[r] for x in self.rules):
-                    kept = self.detect((texts[at + r].as_py() or "").lower(), seen[r])
+                kept = self.detect((texts[at + r].as_py() or "").lower())
                 doubt = (1 - CERTAINTY["base"]) ** len(names)
                 best: dict[str, float] = {}
                 for rule, _, _ in kept:

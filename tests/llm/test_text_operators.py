@@ -117,6 +117,19 @@ def test_licenses(spark):
     assert licenses.digest(docs(spark, [])).count() == 0
 
 
+def test_keywords_of_licenses_lose_no_match(spark):
+    rows = {"(c) 2019 Acme": "copyright", "©2019 Acme": "copyright", "the Expat License": "mit", "“MIT License”": "mit", "FreeBSD License": "bsd-2-clause", "Creative Commons Zero": "cc0", "CC 0 universal": "cc0", "in the public\u00a0domain": "public-domain", "a zero": ""}
+    got = {r["doc_id"]: r["labels"] for r in licenses.digest(docs(spark, list(enumerate(rows)))).collect()}
+    assert list(rows.values()) == [got[i] for i in range(len(rows))]
+    # rules without their keywords find nothing more
+    own = licenses.Scanner.get()
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text in [*rows, *texts]:
+        text = (text or "").lower()
+        every = licenses.resolve([(m.start(), -m.end(), licenses.PRIORITY[r.kind], i) for i, r in enumerate(own.rules) for m in r.regex.finditer(text)])
+        assert [(own.rules[i].label, a, b) for i, a, b in own.detect(text)] == [(own.rules[i].label, a, b) for i, a, b in every]
+
+
 def test_license_base_is_that_of_brute_force(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: tuple(r[1:6]) for r in licenses.digest(table).collect()}
