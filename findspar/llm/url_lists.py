@@ -28,8 +28,6 @@ from pyspark.sql.window import Window
 from findspar.llm._frames import narrow
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
-#: Hosts of more labels are looked up by this many of their last ones.
-MAX_LABELS = 12
 
 
 def host_of(url: str) -> F.Column:
@@ -41,9 +39,8 @@ def host_of(url: str) -> F.Column:
 def suffixes(host: str) -> F.Column:
     """The host and its parent domains down to two labels (a host of one label: itself)."""
     labels = F.split(host, r"\.")
-    least = F.greatest(F.lit(1), F.size(labels) - MAX_LABELS + 1)
     last = F.greatest(F.size(labels) - 1, F.lit(1))
-    return F.transform(F.sequence(F.least(least, last), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

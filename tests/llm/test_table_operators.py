@@ -252,6 +252,14 @@ def test_url_lists_are_those_of_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_hosts_of_many_labels_are_looked_up_whole(spark):
+    host = ".".join(f"l{i}" for i in range(40)) + ".example.org"
+    captures = spark.createDataFrame([(1, f"http://{host}/"), (2, f"http://x.{host}/"), (3, "http://l39.example.org/")], "id bigint, url string").withColumn("on", F.lit("2024-02-01").cast("date"))
+    entries = spark.createDataFrame([(host, "add", "spam")], "domain string, action string, category string").withColumn("day", F.lit("2024-01-01").cast("date"))
+    got = {r["capture_id"]: r["matched_domain"] for r in url_lists.evaluate(captures, entries, "id", "url", "on").collect()}
+    assert got == {1: host, 2: host, 3: None}
+
+
 @pytest.mark.parametrize(("module", "tables", "sql"), [(topk, ["embeddings"], topk.SQL), (mixing, ["documents"], mixing.SQL.replace("{docs}", "documents")), (warc, ["pages"], warc.SQL), (url_lists, ["pages"], url_lists.SQL)])
 def test_same_rows_as_sql(module, tables, sql, spark, sf):
     run = module.round_trip if module is warc else module.digest
