@@ -3,9 +3,10 @@
 score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>) over the distinct
 terms of a text.  Terms are words and word
 stems.  The pair part learns what no additive model can, such as an
-insult next to a group mention.  Weights are learned by AdaGrad with
-soft-thresholding, so that terms without a signal keep exactly nothing and a long
-clean text doesn't drift away from a short one.
+insult next to a group mention.  Terms get weights if they tell something about the
+label alone or next to another term (`selected`); the weights are learned by AdaGrad
+with soft-thresholding, so that terms without a signal keep exactly nothing and a
+long clean text doesn't drift away from a short one.
 
 Fitting uses a sample of at most `MAX_TRAIN` labelled rows (chosen by a hash of the
 id), which the driver reads as term numbers; its size doesn't grow with the corpus.
@@ -35,10 +36,12 @@ FACTORS = 4
 MAX_TRAIN = 10_000
 MIN_ROWS = 4
 MIN_G2 = 10.8  # chance 0.001 for a term without a signal
+MIN_PAIR_G2 = 60.0  # far beyond chance: millions of pairs are tried, and near copies of a text agree in many
+LEADING, FREQUENT = 256, 1024
 #: Stems are the first so many bytes of longer words: they carry over to inflected forms that training never saw.
 STEMS = (4, 5, 6, 7)
-EPOCHS, BATCH, RATE = 8, 128, 0.15
-L1, PAIR_L1 = 5e-4, 2e-4
+EPOCHS, BATCH, RATE = 8, 128, 0.4
+L1, PAIR_L1 = 4e-4, 2e-4
 FIELDS = "score double, predicted int"
 
 
@@ -71,28 +74,77 @@ def terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield key & (BUCKETS - 1), np.searchsorted(key >> 18, np.arange(len(first)))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Terms of at least MIN_ROWS rows whose likelihood-ratio statistic G2 against the label is at least MIN_G2."""
-    n, positive = len(labels), labels.sum()
-    have, both = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row, label in zip(rows, labels, strict=True):  # a row's terms are distinct
-        have[row] += 1
-        if label:
-            both[row] += 1
-    g2 = np.zeros(BUCKETS)
+def g2(both: np.ndarray, have: np.ndarray, positive: np.ndarray | float, n: np.ndarray | float) -> np.ndarray:
+    """Likelihood-ratio statistics of terms against the label: `have` of n rows hold the term, `both` of the `positive` ones."""
+    out = np.zeros(np.shape(have))
     for seen, total in ((both, positive), (have - both, n - positive)):
         for observed, margin in ((seen, have), (total - seen, n - have)):
-            expected = np.maximum(margin * total / n, 1e-12)
-            g2 += 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / expected), 0)
-    return np.flatnonzero((have >= MIN_ROWS) & (g2 >= MIN_G2))
+            expected = np.maximum(margin * total / np.maximum(n, 1), 1e-12)
+            out += 2 * np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / expected), 0)
+    return out
+
+
+def selected(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms that get weights: those of at least MIN_ROWS rows that tell something about the label, alone or next to another term.
+
+    Alone: G2 of at least MIN_G2.  Next to another: G2 of at least MIN_PAIR_G2 among
+    the rows that hold one of the LEADING terms with the highest G2; or, among the
+    FREQUENT most frequent terms, whatever their own G2, among the rows with another
+    of them.  So both terms of a pair stay even if each says nothing alone.
+    Rows that repeat count once.
+    """
+    once = {(hash(row.tobytes()), label): i for i, (row, label) in enumerate(zip(rows, labels.tolist(), strict=True))}
+    kept = sorted(once.values())
+    rows, labels = [rows[i] for i in kept], labels[kept]
+    n, positive = len(rows), float(labels.sum())
+    term = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    support = np.bincount(term, minlength=BUCKETS)
+    names = np.flatnonzero(support >= MIN_ROWS)
+    if not len(names):
+        return names
+    local = np.full(BUCKETS, -1, np.int32)
+    local[names] = np.arange(len(names))
+    term = local[term]
+    term, row = term[term >= 0], row[term >= 0]
+    first = np.searchsorted(row, np.arange(n + 1))
+    m, have = len(names), support[names].astype(np.float64)
+    alone = g2(np.bincount(term[(labels > 0)[row]], minlength=m), have, positive, n)
+    keep = alone >= MIN_G2
+
+    by_term = row[np.argsort(term)]
+    at = np.concatenate([[0], np.cumsum(support[names])])
+    for lead in np.argsort(-alone, kind="stable")[:LEADING].tolist():
+        holders = by_term[at[lead] : at[lead + 1]]
+        if not keep[lead] or len(holders) < 2 * MIN_ROWS:
+            continue
+        seen, toxic = np.zeros(m), np.zeros(m)
+        for group in np.array_split(holders, 1 + len(holders) // 500):  # bounds what is held at a time
+            beside = np.concatenate([term[first[r] : first[r + 1]] for r in group.tolist()])
+            seen += np.bincount(beside, minlength=m)
+            toxic += np.bincount(beside, np.repeat(labels[group], first[group + 1] - first[group]), m)
+        keep |= (seen >= MIN_ROWS) & (g2(toxic, seen, labels[holders].sum(), len(holders)) >= MIN_PAIR_G2)
+
+    common = np.argsort(-have, kind="stable")[:FREQUENT]
+    place = np.full(m, -1, np.int32)
+    place[common] = np.arange(len(common))
+    on = place[term] >= 0
+    holds = np.zeros((n, len(common)), np.float32)
+    holds[row[on], place[term[on]]] = 1
+    together = holds.T @ holds
+    holds[labels == 0] = 0
+    toxic = holds.T @ holds
+    pair = g2(toxic, together, np.diag(toxic)[:, None], np.diag(together)[:, None])
+    keep[common] |= ((pair >= MIN_PAIR_G2) & (np.diag(together)[:, None] >= 2 * MIN_ROWS)).any(0)
+    return names[keep]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """AdaGrad over mini-batches; rows hold distinct terms.  Terms without a measurable signal are left out."""
+    """AdaGrad over mini-batches of the `selected` terms; rows hold distinct terms."""
     model = Machine(float(np.log(0.1 / 0.9)), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     if not len(rows):
         return model
-    kept = informative(rows, labels)
+    kept = selected(rows, labels)
     local = np.full(BUCKETS, -1, np.int64)
     local[kept] = np.arange(len(kept))
     packed = [x[x >= 0] for x in (local[r] for r in rows)]

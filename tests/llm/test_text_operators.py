@@ -168,6 +168,28 @@ def test_factorization_machine_learns_a_pair(spark):
     assert model.factor[i] @ model.factor[j] > 0.5
 
 
+def test_factorization_machine_learns_a_pair_without_marginals():
+    """Label 1 if both of two words are there, or none: neither tells anything alone, so a linear model stays at chance."""
+    rng = np.random.default_rng(3)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    texts = [" ".join([f"filler{x}" for x in rng.integers(400, size=8)] + ["one"] * int(i) + ["two"] * int(j)) for i, j in zip(a, b, strict=True)]
+    rows = [t[f[i] : f[i + 1]] for t, f in toxicity.terms(pa.array(texts)) for i in range(len(f) - 1)]
+    y = (a == b).astype(float)
+    model = toxicity.fit(rows[:3000], y[:3000])
+    margin = model.raw(np.concatenate(rows[3000:]), np.concatenate([[0], np.cumsum([len(r) for r in rows[3000:]])]))
+    assert ((margin >= 0) == (y[3000:] == 1)).mean() > 0.99
+
+
+def test_factorization_machine_score_is_its_formula():
+    """raw() against the sum over all pairs."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Machine(0.3, rng.normal(size=toxicity.BUCKETS).astype(np.float32), rng.normal(size=(toxicity.BUCKETS, toxicity.FACTORS)).astype(np.float32))
+    rows = [rng.choice(toxicity.BUCKETS, n, replace=False) for n in (0, 1, 2, 17)]
+    want = [0.3 + sum(model.weight[i].astype(float) for i in r) + sum(model.factor[i].astype(float) @ model.factor[j].astype(float) for k, i in enumerate(r) for j in r[k + 1 :]) for r in rows]
+    got = model.raw(np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    assert got == pytest.approx(np.array(want), rel=1e-5)
+
+
 def test_toxicity_edges(spark, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = [(1, None), (2, ""), (3, LONG), (None, "x"), (5, "a"), (5, "a")]
