@@ -9,16 +9,21 @@ a uniform floor.  The model is stored as arrays sorted by a 64-bit hash of the g
 and read by binary search inside slots of the hash's leading bits.  A text gets the language of the
 lowest cross-entropy per character.
 
-The model is broadcast.  Its size is checked: while it has over `MAX_GRAMS` grams,
-those of the lowest counts are left out (a count cut-off, as is usual for language
-models); the counts before the cut cover every training document.
-
-Rejection is calibrated: per language, over all its training documents, the
-threshold is the 99.9th percentile of the cross-entropy (in steps of 1 / `STEPS` nats,
+Every gram of every training document is in the model, so it grows with the corpus.
+Orders 1 and 2 (pairs of symbols) are in every part of it; orders 3 and 4 are dealt
+over as many parts as `PART_CELLS` asks for, by a hash of a gram's two middle symbols,
+which all look-ups of that gram, its lower orders and their contexts have in common.
+A part is built from its grams alone, broadcast, and adds up what it knows of every
+document; the sums of further parts are added in passes over tables in the shared
+folder.  The result doesn't depend on the number of parts, and neither driver nor
+executors hold more than one.
+
+Documents are measured once, and written.  From that table rejection is calibrated:
+per language, over all its training documents, the threshold is the 99.9th percentile of the cross-entropy (in steps of 1 / `STEPS` nats,
 rounded up) plus `MARGIN` nats, and short texts get `SHORT` / sqrt(length) more.
 
 Defined results: null texts and texts without a letter are `und`, with score 0,
-and rejected; without any training row every text is `und`.  Equal cross-entropies go
+and rejected; without any training row every text is `und` and rejected.  Equal cross-entropies go
 to the language that sorts first.  Repeated rows repeat their result; null ids aren't used for
 training.
 """
@@ -34,14 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findspar.llm import _words as w
-from findspar.llm._frames import add_struct, crc_residue, fresh, narrow
+from findspar.llm._frames import add_struct, crc_residue, fresh, narrow, written
 
 ORDER = 4
-MAX_GRAMS = 3_000_000
+PART_CELLS = 8_000_000  # grams x languages of a part
 STEPS = 1_000
 MARGIN, SHORT = 0.5, 6.0
 FLUSH = 2_000_000
-FIELDS = "lang string, score double, entropy double, rejected boolean, n_chars bigint"
+SUMS = "total array<double>, n bigint"
+LEHMER, MERSENNE = 48271, 2147483647
 
 _fold: list[np.ndarray] = []
 
@@ -150,13 +156,28 @@ def _group(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return distinct, np.stack([np.bincount(inverse, values[:, j], len(distinct)) for j in range(values.shape[1])], 1)
 
 
+def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The part that knows a gram, from its two middle symbols."""
+    middle = (gram >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+    return (middle % np.uint64(MERSENNE) * np.uint64(LEHMER) % np.uint64(MERSENNE) % np.uint64(parts)).astype(np.int64)
+
+
+def part_column(gram: F.Column, parts: int) -> F.Column:
+    """The same in Spark's expressions."""
+    middle = F.shiftrightunsigned(gram, 16).bitwiseAND(F.lit(0xFFFFFFFF))
+    return middle % MERSENNE * LEHMER % MERSENNE % parts
+
+
 @dataclass
 class Model:
+    """One of `parts` parts: what it knows of grams that belong to it."""
+
     langs: list[str]
     by_order: list[Table]  # log probabilities of seen grams; order 1 first
     back_off: list[Table]  # log weights of the lower order after a context; order 2 first
     floor: np.ndarray  # log probability of a symbol never seen
-    limit: np.ndarray | None = None
+    part: int = 0
+    parts: int = 1
 
     def log_prob(self, gram: np.ndarray) -> np.ndarray:
         """One row of natural log probabilities per gram, a column per language."""
@@ -177,50 +198,72 @@ class Model:
         out[at] += self.floor
         return out
 
-    def entropy(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (rows x languages), and numbers of characters of texts with letters, else 0."""
+    def sums(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of log probabilities over this part's grams (rows x languages), and numbers of characters of texts with letters, else 0."""
         rows, sizes = [], []
         for _, _, symbol, first in letters(column):
             gram, begin = grams(symbol, first)
-            count = np.diff(begin)
-            lettered = w.per_row((symbol > 0).astype(np.int64), first)
-            count = np.where(lettered > 0, count, 0)
-            total = w.per_row(self.log_prob(gram).astype(np.float64), begin)
-            rows.append(-total / np.maximum(count, 1)[:, None])
-            sizes.append(count)
+            lettered = w.per_row((symbol > 0).astype(np.int64), first) > 0
+            sizes.append(np.where(lettered, np.diff(begin), 0))
+            if self.parts > 1:
+                own = part_of(gram, self.parts) == self.part
+                gram, begin = gram[own], np.concatenate([[0], np.cumsum(own)])[begin]
+            rows.append(w.per_row(self.log_prob(gram).astype(np.float64), begin))
         if not rows:
             return np.zeros((0, len(self.langs))), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(sizes)
 
 
-def build(langs: list[str], gram: np.ndarray, count: np.ndarray) -> Model:
-    """count: grams x languages.  Interpolated Kneser-Ney; all languages share the set of grams."""
-    mask = [np.uint64((1 << 16 * k) - 1) for k in range(ORDER + 1)]
-    tables: list[tuple[np.ndarray, np.ndarray]] = [(gram, count.astype(np.float64))]
-    for order in range(ORDER - 1, 0, -1):
-        upper, c = tables[0]
-        tables.insert(0, _group(upper & mask[order], (c > 0).astype(np.float64)))  # in how many distinct contexts
-    symbols = len(tables[0][0]) + 1
-    floor = np.full(len(langs), 1 / symbols)
-    by_order, back_off = [], []
-    lower_keys, lower = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
-    for order in range(1, ORDER + 1):
-        keys, c = tables[order - 1]
-        ones, twos = (c == 1).sum(0), (c == 2).sum(0)
-        discount = np.clip(np.where(ones + twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5), 0.1, 0.95)
-        context, total = _group(keys >> np.uint64(16), c)
-        _, kinds = _group(keys >> np.uint64(16), (c > 0).astype(np.float64))
-        at = np.searchsorted(context, keys >> np.uint64(16))
-        spare = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        below = np.broadcast_to(floor, c.shape) if order == 1 else lower[np.searchsorted(lower_keys, keys & mask[order - 1])]
-        p = np.maximum(c - discount, 0) / np.maximum(total[at], 1) + spare[at] * below
-        by_order.append(Table.of(keys, np.log(p).astype(np.float32)))
-        if order == 1:
-            floor_log = np.log(spare[0] * floor).astype(np.float32) if len(spare) else np.log(floor).astype(np.float32)
-        else:
-            back_off.append(Table.of(context, np.log(spare).astype(np.float32)))
-        lower_keys, lower = keys, p
-    return Model(langs, by_order, back_off, floor_log)
+def discounts(ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    return np.clip(np.where(ones + twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5), 0.1, 0.95)
+
+
+def interpolated(keys: np.ndarray, c: np.ndarray, discount: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of the grams, their contexts, and each context's weight of the lower order."""
+    context, total = _group(keys >> np.uint64(16), c)
+    _, kinds = _group(keys >> np.uint64(16), (c > 0).astype(np.float64))
+    at = np.searchsorted(context, keys >> np.uint64(16))
+    spare = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+    return np.maximum(c - discount, 0) / np.maximum(total[at], 1) + spare[at] * below, context, spare
+
+
+@dataclass
+class Lower:
+    """Orders 1 and 2, which every part holds, from counts of pairs (how many symbols stand before each), and the discounts of orders 3 and 4."""
+
+    langs: list[str]
+    keys: np.ndarray  # sorted pairs
+    count: np.ndarray  # pairs x languages
+    higher: list[np.ndarray]  # discounts
+
+    def part(self, gram: np.ndarray, count: np.ndarray, part: int = 0, parts: int = 1) -> Model:
+        """The part of the model that knows the given 4-grams (sorted; grams x languages)."""
+        mask = [np.uint64((1 << 16 * k) - 1) for k in range(ORDER + 1)]
+        continued = (self.count > 0).astype(np.float64)
+        tables = [_group(self.keys & mask[1], continued), (self.keys, self.count), _group(gram & mask[3], (count > 0).astype(np.float64)), (gram, count.astype(np.float64))]
+        discount = [discounts((c == 1).sum(0), (c == 2).sum(0)) for _, c in tables[:2]] + self.higher
+        floor = np.full(len(self.langs), 1 / (len(tables[0][0]) + 1))
+        by_order, back_off = [], []
+        lower_keys, lower = np.zeros(1, np.uint64), floor[None, :]
+        for order, ((keys, c), d) in enumerate(zip(tables, discount, strict=True), 1):
+            below = lower[np.searchsorted(lower_keys, keys & mask[order - 1])] if order > 1 else np.broadcast_to(floor, c.shape)
+            p, context, spare = interpolated(keys, c, d, below)
+            by_order.append(Table.of(keys, np.log(p).astype(np.float32)))
+            if order > 1:
+                back_off.append(Table.of(context, np.log(spare).astype(np.float32)))
+            elif len(spare):
+                floor = spare[0] * floor
+            lower_keys, lower = keys, p
+        return Model(self.langs, by_order, back_off, np.log(floor).astype(np.float32), part, parts)
+
+
+def build(langs: list[str], gram: np.ndarray, count: np.ndarray, parts: int = 1) -> list[Model]:
+    """All parts of the model of counts (grams x languages, sorted by gram)."""
+    third, c3 = _group(gram & np.uint64((1 << 48) - 1), (count > 0).astype(np.float64))
+    second, c2 = _group(third & np.uint64((1 << 32) - 1), (c3 > 0).astype(np.float64))
+    lower = Lower(langs, second, c2, [discounts((c == 1).sum(0), (c == 2).sum(0)) for c in (c3, count)])
+    own = part_of(gram, parts)
+    return [lower.part(gram[own == p], count[own == p], p, parts) for p in range(parts)]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -260,81 +303,131 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, max_grams: int = MAX_GRAMS) -> Model | None:
-    """Count, cut to the size bound, build, and calibrate the rejection."""
-    train = narrow(docs, id=doc_id, text=text, lang=lang).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_residue("id", folds) != held))
-    train = train.withColumn("lang", F.col("lang").cast("string"))
-    table = counts(train.select("lang", "text")).persist()
-    try:
-        # how many grams have a count of 1, 2, 4, ...: a few rows, whatever the corpus
-        sizes = {r["p"]: r["n"] for r in table.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("n")).collect()}
-        least = 0
-        while sum(n for p, n in sizes.items() if p >= least) > max_grams:
-            least += 1
-        rows = table.where(F.col("n") >= F.lit(1 << least)).select("lang", "gram", "n").toArrow()
-    finally:
-        table.unpersist()
-    if not rows.num_rows:
-        return None
-    names = rows["lang"].to_numpy(zero_copy_only=False)
-    langs = sorted(set(names.tolist()))
+@dataclass
+class Learned:
+    """A model by parts, each of which is built when it is asked for."""
+
+    langs: list[str]
+    table: DataFrame  # lang, gram, n
+    lower: Lower | None
+    parts: int
+
+    def part(self, p: int) -> Model:
+        own = F.array_position(F.array(*[F.lit(x) for x in self.langs]), F.col("lang")) - 1
+        rows = self.table.where(part_column(F.col("gram"), self.parts) == p).select(own.cast("int").alias("lang"), "gram", "n").toArrow()
+        return self.lower.part(*_matrix(rows, len(self.langs)), p, self.parts)
+
+
+def _matrix(rows: pa.Table, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted grams, counts by gram and language) from rows (lang, gram, n)."""
     gram, inverse = np.unique(rows["gram"].to_numpy().view(np.uint64), return_inverse=True)
-    matrix = np.zeros((len(gram), len(langs)))
-    matrix[inverse, np.searchsorted(np.array(langs, object), names)] = rows["n"].to_numpy()
-    model = build(langs, gram, matrix)
-    return calibrate(train, model)
+    matrix = np.zeros((len(gram), langs))
+    matrix[inverse, rows["lang"].to_numpy()] = rows["n"].to_numpy()
+    return gram, matrix
+
+
+def in_training(doc_id: str, lang: str, folds: int, held: int) -> F.Column:
+    return F.col(f"`{lang}`").isNotNull() & F.coalesce(crc_residue(doc_id, folds) != held, F.lit(False))
+
+
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, part_cells: int = PART_CELLS) -> Learned:
+    """Counts of all grams of the training documents, as a table, and what the parts of the model share."""
+    train = narrow(docs, id=doc_id, text=text, lang=lang).where(F.col("text").isNotNull() & in_training("id", "lang", folds, held))
+    table = written(counts(train.select(F.col("lang").cast("string").alias("lang"), "text")), "language-grams")
+    ones, twos = F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")
+    fourth = {r["lang"]: r for r in table.groupBy("lang").agg(ones, twos, F.count("*").alias("n")).collect()}  # a row per language
+    langs = sorted(fourth)
+    if not langs:
+        return Learned([], table, None, 1)
+    lower = lambda bits: F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)).alias("gram")
+    third = table.groupBy("lang", lower(48)).agg(F.count("*").alias("n"))
+    own = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("lang")
+    pairs = third.groupBy("lang", lower(32)).agg(F.count("*").alias("n"), ones, twos).select(own, "gram", "n", "ones", "twos").toArrow()  # pairs of symbols
+    keys, count = _matrix(pairs, len(langs))
+    of_third = [np.bincount(pairs["lang"].to_numpy(), pairs[x].to_numpy(), len(langs)) for x in ("ones", "twos")]
+    of_fourth = [np.array([float(fourth[x][k]) for x in langs]) for k in ("ones", "twos")]
+    parts = -(-sum(r["n"] for r in fourth.values()) * len(langs) // part_cells)
+    return Learned(langs, table, Lower(langs, keys, count, [discounts(*of_third), discounts(*of_fourth)]), max(1, parts))
+
+
+def score(docs: DataFrame, model: Learned, text: str = "text", name: str = "language") -> tuple[DataFrame, str]:
+    """docs with a struct column of SUMS (log probabilities by language, number of characters), and its name."""
+    name = fresh(docs, name)
+    if not model.langs:
+        return docs.withColumn(name, F.struct(F.array().cast("array<double>").alias("total"), F.lit(0).cast("bigint").alias("n"))), name
+    for p in range(model.parts):
+        sent = docs.sparkSession.sparkContext.broadcast(model.part(p))
 
+        def run(column: pa.Array, sent=sent) -> list[pa.Array]:
+            total, n = sent.value.sums(column)
+            offsets = pa.array(np.arange(len(total) + 1) * total.shape[1], pa.int32())
+            return [pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1))), pa.array(n)]
 
-def calibrate(train: DataFrame, model: Model) -> Model:
-    """Thresholds from all training rows: their entropies, less the short-text allowance, are counted by steps, and one number per language reaches the driver."""
-    sent = train.sparkSession.sparkContext.broadcast(model)
+        if not p:
+            docs = add_struct(docs, text, SUMS, run, name)
+            continue
+        more = fresh(docs, f"{name}_more")
+        docs = add_struct(written(docs, "language-sums"), text, SUMS, run, more)
+        total = F.zip_with(F.col(f"`{name}`.total"), F.col(f"`{more}`.total"), lambda a, b: a + b)
+        docs = docs.withColumn(name, F.struct(total.alias("total"), F.col(f"`{name}`.n").alias("n"))).drop(more)
+    return docs, name
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entropy, n = sent.value.entropy(batch.column("text"))
-            own = np.searchsorted(np.array(sent.value.langs, object), np.array(batch.column("lang").to_pylist(), object))
-            on = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(own[on], pa.int64()), pa.array((entropy[np.arange(len(own)), own] - SHORT / np.sqrt(np.maximum(n, 1)))[on])], names=["lang", "h"])
 
-    steps = train.select("lang", "text").mapInArrow(measure, "lang bigint, h double").groupBy("lang", F.ceil(F.col("h") * STEPS).alias("step")).agg(F.count("*").alias("n"))
-    found = steps.groupBy("lang").agg((F.percentile("step", F.lit(0.999), F.col("n")) / STEPS).alias("h")).collect()
-    model.limit = np.full(len(model.langs), np.inf)
-    for r in found:
-        model.limit[r["lang"]] = r["h"] + MARGIN
-    return model
+def _entropy(name: str) -> tuple[F.Column, F.Column]:
+    """Cross-entropies per character by language, and the allowance of a text's length."""
+    n = F.greatest(F.col(f"`{name}`.n"), F.lit(1))
+    return F.transform(F.col(f"`{name}`.total"), lambda x: -x / n), F.lit(SHORT) / F.sqrt(n.cast("double"))
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", name: str = "language") -> tuple[DataFrame, str]:
-    """docs with a struct column of FIELDS, and its name.  score is the posterior of the language under equal priors, by SHARP characters' evidence."""
-    name = fresh(docs, name)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(column: pa.Array) -> list[pa.Array]:
-        own = sent.value
-        if own is None:
-            n = len(column)
-            return [pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n)), pa.nulls(n, pa.float64()), pa.array(np.ones(n, bool)), pa.array(np.zeros(n, np.int64))]
-        entropy, n = own.entropy(column)
-        best = entropy.argmin(1) if len(n) else np.zeros(0, np.int64)
-        lowest = entropy[np.arange(len(n)), best]
-        score = 1 / np.exp(-np.clip((entropy - lowest[:, None]) * np.minimum(n, 20)[:, None], 0, 700)).sum(1)
-        known = n > 0
-        limit = own.limit if own.limit is not None else np.full(len(own.langs), np.inf)
-        rejected = ~known | (lowest - SHORT / np.sqrt(np.maximum(n, 1)) > limit[best])
-        labels = np.where(known, np.array(own.langs, object)[best], "und")
-        return [pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(lowest, mask=~known), pa.array(rejected), pa.array(n)]
-
-    return add_struct(docs, text, FIELDS, run, name), name
-
-
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def calibrate(scored: DataFrame, name: str, langs: list[str], doc_id: str = "doc_id", lang: str = "lang", folds: int = 4, held: int = 2) -> list[float]:
+    """Thresholds from all training rows: their entropies, less the short-text allowance, are counted by steps, and one number per language reaches the driver."""
+    entropy, allowance = _entropy(name)
+    own = F.get(entropy, F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col(f"`{lang}`").cast("string")).cast("int") - 1)
+    rows = scored.where((F.col(f"`{name}`.n") > 0) & in_training(doc_id, lang, folds, held)).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.ceil((own - allowance) * STEPS).alias("step"))
+    found = rows.groupBy("lang", "step").agg(F.count("*").alias("n")).groupBy("lang").agg((F.percentile("step", F.lit(0.999), F.col("n")) / STEPS).alias("h")).collect()
+    by_lang = {r["lang"]: r["h"] + MARGIN for r in found}
+    return [by_lang.get(x, float("inf")) for x in langs]
+
+
+def decided(name: str, langs: list[str], limits: list[float]) -> dict[str, F.Column]:
+    """lang, score, entropy and rejected from the column of SUMS.
+
+    score is the posterior of the language under equal priors, by the evidence of 20
+    characters at most.
+    """
+    entropy, allowance = _entropy(name)
+    n = F.col(f"`{name}`.n")
+    known = (n > 0) & F.lit(bool(langs))
+    lowest = F.array_min(entropy)
+    best = F.array_position(entropy, lowest).cast("int") - 1
+    weight = F.aggregate(entropy, F.lit(0.0), lambda total, x: total + F.exp(-F.least((x - lowest) * F.least(n, F.lit(20)), F.lit(700.0))))
+    limit = F.get(F.array(*[F.lit(x) for x in limits]).cast("array<double>"), best)
+    return {
+        "lang": F.when(known, F.get(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), best)).otherwise("und"),
+        "score": F.when(known, 1 / weight).otherwise(0.0),
+        "entropy": F.when(known, lowest),
+        "rejected": ~known | F.coalesce(lowest - allowance > limit, F.lit(False)),
+    }
+
+
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", part_cells: int = PART_CELLS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and whether the text is rejected, of every document row."""
-    found, name = identify(narrow(docs, doc_id=doc_id, text=text), learn(docs, doc_id, text, lang))
-    return found.select("doc_id", F.coalesce(crc_residue("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col(f"{name}.lang").alias("lang_pred"), f"{name}.score", f"{name}.entropy", f"{name}.rejected")
+    base = narrow(docs, doc_id=doc_id, text=text, lang=lang)
+    model = learn(base, part_cells=part_cells)
+    scored, name = score(base, model)
+    scored = written(scored.select("doc_id", "lang", name), "language-sums")
+    found = decided(name, model.langs, calibrate(scored, name, model.langs))
+    return scored.select(
+        "doc_id", F.coalesce(crc_residue("doc_id", 4) == 2, F.lit(False)).alias("held_out"), found["lang"].alias("lang_pred"), found["score"].alias("score"),
+        found["entropy"].alias("entropy"), found["rejected"].alias("rejected"),
+    )
 
 
 def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Pipeline form: documents whose language is rejected go."""
     columns = docs.columns
-    found, name = identify(docs, learn(docs, doc_id, text, lang), text)
-    return found.where(~F.col(f"{name}.rejected")).select(*[F.col(f"`{c}`") for c in columns])
+    model = learn(docs, doc_id, text, lang)
+    scored, name = score(docs, model, text)
+    scored = written(scored, "language-sums")
+    found = decided(name, model.langs, calibrate(scored, name, model.langs, doc_id, lang))
+    return scored.where(~found["rejected"]).select(*[F.col(f"`{c}`") for c in columns])

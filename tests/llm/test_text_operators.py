@@ -387,7 +387,8 @@ def test_kneser_ney_is_that_of_the_textbook():
         code, _ = language.grams(symbol, first)
         grams.update(code.tolist())
     keys = np.array(sorted(grams), np.uint64)
-    model = language.build(["x"], keys, np.array([[grams[k]] for k in keys.tolist()], float))
+    model, = language.build(["x"], keys, np.array([[grams[k]] for k in keys.tolist()], float))
+    parts = language.build(["x"], keys, np.array([[grams[k]] for k in keys.tolist()], float), 3)
     as_tuple = lambda k: tuple((k >> 16 * i) & 0xFFFF for i in (3, 2, 1, 0))
     p = kneser_ney(Counter({as_tuple(k): n for k, n in grams.items()}), 4)
     vocabulary = len({k & 0xFFFF for k in grams}) + 1
@@ -396,6 +397,10 @@ def test_kneser_ney_is_that_of_the_textbook():
         asked = language.grams(symbol, first)[0]
     want = [np.log(p(as_tuple(k), 4, vocabulary)) for k in asked.tolist()]
     assert np.allclose(model.log_prob(asked)[:, 0], want, atol=1e-4)
+    own = language.part_of(asked, 3)
+    assert len(set(own.tolist())) == 3
+    for p, part in enumerate(parts):
+        assert np.allclose(part.log_prob(asked[own == p])[:, 0], np.array(want)[own == p], atol=1e-4)
 
 
 def test_language_edges(spark):
@@ -426,16 +431,25 @@ def test_thresholds_are_percentiles_of_all_training_rows(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language.learn(d, held=9)
     assert model.langs == ["aa", "rare"]
+    scored, name = language.score(d, model)
+    limits = language.calibrate(scored, name, model.langs, held=9)
+    got = scored.select("lang", f"{name}.*").collect()
     for own, lang in enumerate(model.langs):
-        entropy, n = model.entropy(pa.array([t for _, t, x in rows if x == lang]))
-        want = np.quantile(entropy[:, own] - language.SHORT / np.sqrt(n), 0.999) + language.MARGIN
-        assert want - 1e-9 <= model.limit[own] <= want + 2 / language.STEPS
+        want = np.quantile([-r["total"][own] / r["n"] - language.SHORT / np.sqrt(r["n"]) for r in got if r["lang"] == lang], 0.999) + language.MARGIN
+        assert want - 1e-9 <= limits[own] <= want + 2 / language.STEPS
 
 
-def test_grams_cut_off_keeps_the_bound(spark):
+def test_number_of_language_parts_changes_nothing(spark):
+    """Also every training gram is in some part: no cut by count or size."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = language.learn(d, max_grams=2000)
-    assert len(model.by_order[-1].keys) <= 2000
+    model = language.learn(d, part_cells=20_000)
+    assert model.parts > 2
+    held = sum(len(model.part(p).by_order[-1].keys) for p in range(model.parts))
+    assert held == model.table.select("gram").distinct().count()
+    one, many = ({r["doc_id"]: r for r in language.digest(d, part_cells=n).collect()} for n in (language.PART_CELLS, 20_000))
+    for i, r in one.items():
+        assert (r["lang_pred"], r["rejected"], r["held_out"]) == (many[i]["lang_pred"], many[i]["rejected"], many[i]["held_out"])
+        assert r["score"] == pytest.approx(many[i]["score"]) and r["entropy"] == pytest.approx(many[i]["entropy"])
 
 
 @pytest.mark.parametrize("module", [decontaminate, jaccard])
