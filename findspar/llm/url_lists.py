@@ -97,7 +97,7 @@ WITH c AS (
          DATE '2024-01-01' + ((page_id * 37 % 366 + 366) % 366)::INTEGER AS fetched_on
   FROM pages
 ), x AS (
-  SELECT host, unnest(list_transform(range(greatest(1, len(l) - 11), greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.'))) AS domain
+  SELECT host, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.'))) AS domain
   FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM c WHERE host IS NOT NULL)
 ), h AS (
   SELECT domain, ('0x' || substr(md5(domain), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT domain FROM x)
