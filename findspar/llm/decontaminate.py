@@ -9,9 +9,10 @@ once through wavelet ranks; occurrences are located by walking to the next
 sampled suffix; overlapping occurrences merge into removal spans.
 
 Nothing is shuffled: documents meet the benchmark where they are read.  The
-benchmark travels with the task in blocks of at most `BLOCK_BYTES` of text; a
-larger benchmark takes one pass per block, each written to the shared folder
-before the next, so neither driver nor tasks ever hold more than one block.
+benchmark is broadcast in blocks of about `BLOCK_BYTES` of text, as arrays of about
+20 bytes a word; a larger benchmark takes one pass per block, each written to the
+shared folder before the next, so neither driver nor tasks ever hold more than one
+block.  Phrases are told apart by 64-bit hashes of their words.
 
 Defined results: a null or wordless text has no words and no hits; null item
 ids or texts give no phrases; rows of one item id pool their phrases; each
@@ -31,34 +32,36 @@ from findspar.llm._frames import add_struct, fresh, narrow, written
 
 WINDOW = 8
 SAMPLE = 16
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 24 << 20
 FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:bigint,last:bigint>>, cuts array<struct<start:bigint,end:bigint>>"
 
 
 class Phrases:
-    """All distinct phrases of a benchmark block, as numbers of the block's vocabulary."""
+    """All distinct phrases of a benchmark block: places in its sequence of word numbers, about 20 bytes a word."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW):
+    def __init__(self, ids: list[str], texts: pa.Array | list[str], window: int = WINDOW):
         self.items = sorted(set(ids))
         number = {x: i for i, x in enumerate(self.items)}
-        owner, rows = [], []
-        for at, _, hashed, first in w.words(pa.array(texts, pa.large_string()), w.ALNUM):
-            for r in range(len(first) - 1):
-                own = hashed[first[r] : first[r + 1]]
-                size = min(window, len(own))
-                for k in range(len(own) - size + 1 if size else 0):
-                    rows.append(tuple(own[k : k + size].tolist()))
-                    owner.append(number[ids[at + r]])
-        self.vocabulary = np.unique(np.array([x for r in rows for x in r], np.uint64))
-        distinct = {x: i for i, x in enumerate(dict.fromkeys(rows))}
-        pairs = np.unique(np.array([(distinct[r], o) for r, o in zip(rows, owner, strict=True)], np.int64).reshape(-1, 2), axis=0)
-        self.item_of = pairs[:, 1]
-        self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
-        self.sizes = np.array([len(r) for r in distinct], np.int64)
+        hashed, first, names, held = [], [np.zeros(1, np.int64)], [], 0
+        for _, _, own, begin in w.words(pa.array(texts, pa.large_string()), w.ALNUM):
+            hashed.append(own)
+            names.append(w.shingles(own, begin, window)[0])
+            first.append(begin[1:] + held)
+            held += len(own)
+        hashed, first, names = (np.concatenate([*x, np.zeros(0, x[0].dtype)]) if x else np.zeros(0, np.uint64) for x in (hashed, first, names))
+        many = np.diff(first)
+        windows = np.where(many >= window, many - window + 1, np.minimum(many, 1))
+        start = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows).astype(np.int64) + np.arange(len(names)) if len(names) else np.zeros(0, np.int64)
+        distinct, at, inverse = np.unique(names, return_index=True, return_inverse=True)
+        owner = np.repeat(np.array([number[x] for x in ids], np.int64), windows)
+        pairs = np.unique(inverse * np.int64(len(self.items) or 1) + owner)
+        self.item_of = (pairs % (len(self.items) or 1)).astype(np.int32)
+        self.item_from = np.searchsorted(pairs // (len(self.items) or 1), np.arange(len(distinct) + 1)).astype(np.int32)
+        self.sizes = np.minimum(np.repeat(many, windows), window)[at].astype(np.int32)
         self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
-        flat = np.searchsorted(self.vocabulary, np.array([x for r in distinct for x in r], np.uint64)) + 2
-        self.symbols = flat.astype(np.int64)  # 0 ends the sequence, 1 separates runs
-        self.from_ = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.vocabulary = np.unique(hashed)
+        self.symbols = (np.searchsorted(self.vocabulary, hashed) + 2).astype(np.int32)  # 0 ends the sequence, 1 separates runs
+        self.from_ = start[at].astype(np.int32)
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
@@ -126,8 +129,11 @@ class FMIndex:
         for k in range(1, int(sizes.max(initial=0)) + 1):
             on = np.flatnonzero(sizes[live] >= k)
             c = symbols[from_[live[on]] + sizes[live[on]] - k]
-            lo[on] = self.before[c] + self.tree.rank(c, lo[on])
-            hi[on] = self.before[c] + self.tree.rank(c, hi[on])
+            if k == 1:  # most phrases end here, without a walk through the tree
+                lo[on], hi[on] = self.before[c], self.before[c] + self.counts[c]
+            else:
+                lo[on] = self.before[c] + self.tree.rank(c, lo[on])
+                hi[on] = self.before[c] + self.tree.rank(c, hi[on])
             keep = lo < hi
             live, lo, hi = live[keep], lo[keep], hi[keep]
         return live, lo, hi
@@ -227,12 +233,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     name = fresh(docs, name)
     for b in range(blocks):
-        rows = items.where(block == b).collect()  # at most about block_bytes
-        phrases = Phrases([r["id"] for r in rows], [r["text"] for r in rows], window)
+        rows = items.where(block == b).toArrow()  # at most about block_bytes
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(rows["id"].to_pylist(), rows["text"].combine_chunks().cast(pa.large_string()), window))
         schema = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct({"first": pa.int64(), "last": pa.int64()})), "cuts": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))}
 
-        def scan(column: pa.Array, phrases: Phrases = phrases, schema: dict = schema) -> list[pa.Array]:
-            return [pa.array(x, t) for x, t in zip(_scan(column, phrases), schema.values(), strict=True)]
+        def scan(column: pa.Array, sent=sent, schema: dict = schema) -> list[pa.Array]:
+            return [pa.array(x, t) for x, t in zip(_scan(column, sent.value), schema.values(), strict=True)]
 
         if b == 0:
             docs = add_struct(docs, text, FIELDS, scan, name)
