@@ -264,3 +264,22 @@ def test_hosts_of_many_labels_are_looked_up_whole(spark):
 def test_same_rows_as_sql(module, tables, sql, spark, sf):
     run = module.round_trip if module is warc else module.digest
     assert_same(run(*[spark.read.parquet(f"{sf}/{t}.parquet") for t in tables]), connect(sf), sql)
+
+
+def test_topk_in_small_blocks_with_repeated_ids(spark, monkeypatch):
+    """Many rounds, annuli dealt over several blocks and query groups; rows that share a query id have ranks of their own."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "WIDEN", 2)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 4) / 4]) for i in range(400)] + [(50, [0.5, -0.25, 0.0, 0.75])] + [(900 + i, [0.25] * 4) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in topk.search(frame, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    as_int = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = {}
+    for q, v in {(i, tuple(v.tolist())) for i, v in as_int if i % 10 == 0}:
+        best = sorted((-int(np.dot(v, w)), i) for i, w in as_int if i != q)[:5]
+        want.setdefault(q, []).extend((k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and len(got[50]) == 10
