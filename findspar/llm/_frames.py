@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findspar.session import spread_small
+from findspar.session import LOCAL_CHECKPOINTS, spread_small
+
+_made: list[str] = []  # folders that this process made, oldest first
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -43,14 +45,20 @@ def add_struct(df: DataFrame, text: str, fields: str, fn: Callable[[pa.Array], l
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; another root only where that is unset, as in local runs.
 
-    Nothing here deletes it: results are lazy, so their tables must outlive the call.
+    Results are lazy, so the tables that they read must outlive the call; what is no
+    longer read goes through `discard` or `release`.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
-    root = root or "/tmp/findspar-checkpoints"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = LOCAL_CHECKPOINTS
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -61,6 +69,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by `written` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if any(path.endswith(own.rsplit("/", 1)[-1]) for own in _made):
+                _delete(df.sparkSession, path)
+
+
+def made() -> int:
+    """How many folders were made so far, for `release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Deletes the folders made since then, but not those that the kept tables read."""
+    stay = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}
+    for path in [p for p in _made[since:] if p.rsplit("/", 1)[-1] not in stay]:
+        _delete(spark, path)
+        _made.remove(path)
+
+
 def crc_residue(column: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo `modulus`; null ids give null."""
     return F.crc32(F.col(f"`{column}`").cast("string").cast("binary")) % modulus

@@ -4,7 +4,12 @@
 2. Shingles are counted exactly.  A task packs its (shingle, node) pairs by range
    of shingles into compressed blocks; the shuffle moves those blocks, a few bytes
    per pair, and a range's reducer knows how many nodes hold each shingle.
-   Shingles of one node can link nothing and go no further.
+   Shingles of one node can link nothing and go no further.  Shingles that the first
+   pass over the texts saw in a large share of the documents (boilerplate; found by
+   counting them in `BUCKETS` buckets) don't go to a range's reducer, which would
+   hold them all, but straight to their nodes, with their bucket's count.  The order
+   of step 3 needs one count for each shingle, the same for every node, not an exact
+   one.
 3. By node: shingles in the order (count, shingle), rarest first.  Two sets that
    link share a shingle among the first n - ceil(0.75 n) + 1; the ones of count 1
    stand in front, so most nodes have none left there and drop out.
@@ -36,13 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findspar.llm import _words as w
-from findspar.llm._frames import add_struct, fresh, narrow, written
+from findspar.llm._frames import add_struct, discard, fresh, narrow, written
 
 SHINGLE = 5
 FLUSH = 3_000_000  # pairs that a task holds before it packs them
@@ -52,6 +58,10 @@ GROUP_SHINGLES = 3_000_000  # shingles that a block of a large group holds, abou
 EDGES_PER_FILE = 500_000
 PIVOTS = 16
 BITS = 48
+BUCKETS = 1 << 20  # for finding frequent shingles
+FREQUENT_DOCS, FREQUENT_SHARE = 20_000, 0.001  # a frequent shingle's bucket holds so many, and such a share, of the documents
+LOCALLY = 64  # documents of a task that make a bucket worth reporting
+HUBS = 256
 
 
 def sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -94,6 +104,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _blobs(keys: np.ndarray, bucket: np.ndarray, make) -> Iterator[tuple[int, bytes]]:
     """(key, block) per bucket; bucket must be sorted."""
+    if not len(bucket):
+        return
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(keys[bucket[a]]), make(a, b)
@@ -114,6 +126,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 BLOCK = pa.schema([("key", pa.int64()), ("block", pa.binary())])
 BLOCK_DDL = "key bigint, block binary"
+MARKED = pa.schema([*BLOCK, ("ready", pa.bool_())])
 
 
 def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
@@ -123,8 +136,29 @@ def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
     return np.array([found.get(p, p) for p in range(n)], np.int64)
 
 
-def shingle_blocks(texts: DataFrame, keys: np.ndarray) -> DataFrame:
-    """Step 2, first half: blocks of (shingle, node) by range of shingles."""
+def bucket_of(token: np.ndarray) -> np.ndarray:
+    """The bucket of a shingle's 48 bits."""
+    return (token >> np.uint64(BITS - 20)).astype(np.int64)
+
+
+class Frequent:
+    """Buckets of frequent shingles, sorted, with their counts: at most 1 / FREQUENT_SHARE of them for each shingle of an average document."""
+
+    def __init__(self, buckets: list[int], counts: list[int]):
+        order = np.argsort(np.array(buckets, np.int64))
+        self.buckets, self.counts = np.array(buckets, np.int64)[order], np.minimum(np.array(counts, np.int64)[order], (1 << 32) - 1)
+
+    def count(self, token: np.ndarray) -> np.ndarray:
+        """The counts of frequent shingles, 0 for others."""
+        if not len(self.buckets):
+            return np.zeros(len(token), np.int64)
+        own = bucket_of(token)
+        at = np.minimum(np.searchsorted(self.buckets, own), len(self.buckets) - 1)
+        return np.where(self.buckets[at] == own, self.counts[at], 0)
+
+
+def shingle_blocks(texts: DataFrame, keys: np.ndarray, frequent: Frequent) -> DataFrame:
+    """Step 2, first half: blocks of (shingle, node) by range of shingles; of frequent shingles (shingle, node, count) by node."""
     n = np.uint64(len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +178,17 @@ def shingle_blocks(texts: DataFrame, keys: np.ndarray) -> DataFrame:
                 number = np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
                 order = np.argsort(token)
                 token, number = token[order], number[order]
+                count = frequent.count(token)
+                if count.any():
+                    bucket = (w.mix64(names) % n).astype(np.int64)[number]
+                    on = np.flatnonzero(count)
+                    on = on[np.lexsort((token[on], bucket[on]))]
+                    ft, fn, fc = token[on], number[on], count[on]
+                    for pair in _blobs(keys, bucket[on], lambda a, b: _entries(ft[a:b], fn[a:b], names, sizes, fc[a:b])):
+                        yield _batch([(*pair, True)], MARKED)
+                    token, number = token[count == 0], number[count == 0]
                 for pair in _blobs(keys, (token * n) >> np.uint64(BITS), lambda a, b: _entries(token[a:b], number[a:b], names, sizes)):
-                    yield _batch([pair], BLOCK)
+                    yield _batch([(*pair, False)], MARKED)
                 nodes.clear()
                 held = 0
 
@@ -164,7 +207,7 @@ def shingle_blocks(texts: DataFrame, keys: np.ndarray) -> DataFrame:
                 seen.clear()
         yield from flush()
 
-    return texts.mapInArrow(run, BLOCK_DDL)
+    return texts.mapInArrow(run, f"{BLOCK_DDL}, ready boolean")
 
 
 def _read_pairs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
@@ -193,11 +236,18 @@ def _read_pairs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
 
 
 def repeated_blocks(blocks: DataFrame, keys: np.ndarray) -> DataFrame:
-    """Step 2, second half: shingles of two nodes or more with their counts, in blocks by node."""
+    """Step 2, second half: shingles of two nodes or more with their counts, in blocks by node; blocks of frequent ones pass through."""
     n = np.uint64(len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, number, *_, nodes, sizes = _read_pairs(batches)
+        held = []
+        for batch in batches:
+            ready = batch.column("ready")
+            if ready.true_count:
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(ready) for k in range(2)], schema=BLOCK)
+            held.append(batch.filter(pc.invert(ready)))
+        token, number, *_, nodes, sizes = _read_pairs(held)
+        held.clear()
         if not len(token):
             return
         order = np.argsort(token, kind="stable")
@@ -242,6 +292,9 @@ def prefixes(blocks: DataFrame, partitions: int) -> DataFrame:
             return
         order = np.lexsort((token, count, number))
         token, number = token[order], number[order]
+        # a node's frequent shingles can come from several tasks
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (number[1:] != number[:-1])])
+        token, number = token[once], number[once]
         edges = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
         names = nodes.view(np.int64)
         rows = []
@@ -279,10 +332,33 @@ def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
+def hub_edges(token: np.ndarray, node: int, size: int) -> list[tuple[int, int]]:
+    """Edges from a node to the hubs of its frequent prefix shingles, and from those to the shingle's own hub, for its size class and the next.
+
+    Two sets that link differ in size by at most 4 / 3, so they share a class.
+    """
+    level = int(np.log(size) / np.log(4 / 3))
+    salt = int(w.mix64(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(HUBS))
+    out = []
+    for k in (level, level + 1):
+        top = w.mix64(token * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+        low = w.mix64(top + np.uint64(salt + 1))
+        out += [(node, h) for h in low.view(np.int64).tolist()] + list(zip(low.view(np.int64).tolist(), top.view(np.int64).tolist(), strict=True))
+    return out
+
+
+def candidate_edges(nodes: DataFrame, keys: np.ndarray, frequent: Frequent) -> DataFrame:
     """Step 4: edges (a, b) that connect all nodes which could link."""
     many = np.uint64(len(keys))
 
+    def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for node, n, own, data in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                token = np.frombuffer(data, np.uint64)[:own]
+                found.update(hub_edges(token[frequent.count(token) > 0], node, n))
+            yield _batch(sorted(found), EDGE)
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, node, size, place = [], [], [], []
         held = 0
@@ -307,11 +383,12 @@ def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
             for i in range(batch.num_rows):
                 one, n, own, data = (batch.column(k)[i].as_py() for k in range(4))
                 tokens = np.frombuffer(data, np.uint64)
-                token.append(tokens[:own])
+                on = np.flatnonzero(frequent.count(tokens[:own]) == 0)
+                token.append(tokens[on])
                 node.append(one)
                 size.append(n)
-                place.append(max(0, n - len(tokens)) + np.arange(own))
-                held += own
+                place.append(max(0, n - len(tokens)) + on)
+                held += len(on)
                 if held >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -347,7 +424,8 @@ def candidate_edges(nodes: DataFrame, keys: np.ndarray) -> DataFrame:
             on = label != np.arange(len(nodes))  # a spanning star for each component of this range
             yield pa.RecordBatch.from_arrays([pa.array(nodes[on].view(np.int64)), pa.array(nodes[label[on]].view(np.int64))], schema=EDGE)
 
-    return nodes.mapInArrow(entries, BLOCK_DDL).repartition(len(keys), "key").mapInArrow(join, "a bigint, b bigint")
+    joined = nodes.mapInArrow(entries, BLOCK_DDL).repartition(len(keys), "key").mapInArrow(join, "a bigint, b bigint")
+    return joined.union(nodes.mapInArrow(hubs, "a bigint, b bigint")) if len(frequent.buckets) else joined
 
 
 def connected(edges: DataFrame, what: str) -> DataFrame:
@@ -365,7 +443,9 @@ def connected(edges: DataFrame, what: str) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        before = now
         now, after = keep(small, state[0])
+        discard(before)
         if after == state:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -477,38 +557,56 @@ def verify(nodes: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHIN
     return work.mapInArrow(run, "node bigint, root bigint, whole boolean")
 
 
-def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_docs: int = FREQUENT_DOCS, locally: int = LOCALLY) -> DataFrame:
     """doc_id, n_shingles, node, root, component_id of every document row; node and root (the component's node) are null for rows without words."""
     spark = docs.sparkSession
     base = narrow(docs, doc_id=doc_id, text=text)
     id_type = dict(base.dtypes)["doc_id"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total, rows = np.zeros(BUCKETS, np.int32), 0, 0
         for batch in batches:
-            own = [(len(s), node_of(s) if len(s) else None) for s in sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    named = written(base.mapInArrow(name, f"doc_id {id_type}, n_shingles bigint, node bigint"), "jaccard-docs")
-    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+            own = []
+            for s in sets(batch.column("text")):
+                own.append((len(s), node_of(s) if len(s) else None))
+                np.add.at(seen, bucket_of(s >> np.uint64(64 - BITS)), 1)
+                total += len(s)
+            rows, kind = rows + len(own), batch.schema.field("doc_id").type
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64()), pa.nulls(len(own), pa.int64())], names=["doc_id", "n_shingles", "node", "bucket"])
+        # buckets that stand out in this task: a frequent shingle does in most
+        often = np.flatnonzero(seen >= max(locally, 4 * total / BUCKETS, rows * FREQUENT_SHARE))
+        if len(often):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.array(seen[often].astype(np.int64)), pa.nulls(len(often), pa.int64()), pa.array(often)], names=["doc_id", "n_shingles", "node", "bucket"])
+
+    passed = written(base.mapInArrow(name, f"doc_id {id_type}, n_shingles bigint, node bigint, bucket bigint"), "jaccard-docs")
+    named = passed.where("bucket is null").select("doc_id", "n_shingles", "node")
+    size = named.agg(F.sum("n_shingles").alias("total"), F.count("*").alias("rows")).first()
+    total = size["total"] or 0
+    often = passed.where("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= max(frequent_docs, FREQUENT_SHARE * size["rows"])).collect()
+    frequent = Frequent([r["bucket"] for r in often], [r["n"] for r in often])
     # few large ranges: each block names its nodes, so many small ones would name them again and again
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PER_PARTITION))
     keys = partition_keys(spark, parts)
-    repeated = repeated_blocks(shingle_blocks(base.select("text"), keys), keys)
+    repeated = repeated_blocks(shingle_blocks(base.select("text"), keys, frequent), keys)
     nodes = written(prefixes(repeated, parts), "jaccard-nodes")
-    groups = connected(candidate_edges(nodes, keys), "jaccard-candidates")
+    groups = connected(candidate_edges(nodes, keys, frequent), "jaccard-candidates")
     links = written(verify(nodes, groups), "jaccard-links")
+    discard(nodes, groups)
     roots = links.where("whole").select("node", "root")
     if not links.where("not whole").isEmpty():
         roots = roots.union(connected(links.where("not whole").select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-blocks"))
-    labelled = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n_shingles", "node", "root")
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = labelled.join(least, "root", "left")
+    # labels by node first: copies of one text are aggregated before the shuffle, and large components are split by adaptive execution
+    own = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
+    own = written(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-own")
+    least = written(own.groupBy("root").agg(F.min("own").alias("least")), "jaccard-least")
+    label = written(own.select("node", "root").join(least, "root"), "jaccard-labels")
+    out = named.join(label, "node", "left")
     return out.select("doc_id", "n_shingles", "node", "root", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **frequent: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
-    return rooted(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+    return rooted(docs, doc_id, text, **frequent).select("doc_id", "n_shingles", "component_id")
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -524,21 +622,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     columns = docs.columns
     found = rooted(docs, doc_id, text)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        stay = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept")), "left_semi")
-        return stay.select(*[F.col(f"`{c}`") for c in columns])
+    own = lambda df: df.select(*[F.col(f"`{c}`") for c in columns])
+    key, id_, node, root, row = (fresh(docs, x) for x in ("_key", "_kept", "_node", "_root", "_row"))
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return own(docs.join(kept.select(F.col("doc_id").alias(id_)), F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)), "left_semi"))
 
     def name(column: pa.Array) -> list[pa.Array]:
         return [pa.array([node_of(s) if len(s) else None for s in sets(column)], pa.int64())]
 
-    key = fresh(docs, "_key")
     rows = add_struct(docs, text, "node bigint", name, key)
     # an id and a text's node name the same component in both tables
-    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("node").alias("_node"), F.col("root").alias("_root")).distinct()
-    stay = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept")) & F.col(f"{key}.node").eqNullSafe(F.col("_node")))
-    row = F.row_number().over(Window.partitionBy("_root").orderBy(F.col(f"`{text}`")))
-    one = stay.where("_root is not null").withColumn("_row", row).where("_row = 1")
-    return one.select(*[F.col(f"`{c}`") for c in columns]).union(stay.where("_root is null").select(*[F.col(f"`{c}`") for c in columns]))
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("node").alias(node), F.col("root").alias(root)).distinct()
+    stay = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & F.col(f"{key}.node").eqNullSafe(F.col(node)))
+    first = F.row_number().over(Window.partitionBy(root).orderBy(F.col(f"`{text}`")))
+    one = stay.where(F.col(root).isNotNull()).withColumn(row, first).where(F.col(row) == 1)
+    return own(one).union(own(stay.where(F.col(root).isNull())))
 
 
 SQL = r"""

@@ -247,8 +247,9 @@ def test_jaccard_join_is_that_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PER_PARTITION", 3000)
     d = docs(spark, rows)
     keys = jaccard.partition_keys(spark, 7)
-    nodes = jaccard.prefixes(jaccard.repeated_blocks(jaccard.shingle_blocks(d.select("text"), keys), keys), 7).cache()
-    groups = jaccard.connected(jaccard.candidate_edges(nodes, keys), "t")
+    none = jaccard.Frequent([], [])
+    nodes = jaccard.prefixes(jaccard.repeated_blocks(jaccard.shingle_blocks(d.select("text"), keys, none), keys), 7).cache()
+    groups = jaccard.connected(jaccard.candidate_edges(nodes, keys, none), "t")
     whole = {(r["node"], r["root"]) for r in jaccard.verify(nodes, groups).collect()}
     parts = jaccard.verify(nodes, groups, group_shingles=800)
     assert parts.where("not whole").count() > 0
@@ -256,6 +257,31 @@ def test_jaccard_join_is_that_of_brute_force(spark, monkeypatch):
     assert {x for x in whole if x[0] != x[1]} == {x for x in split if x[0] != x[1]}
 
 
+def test_phrases_take_few_bytes():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(20_000, size=200)) for _ in range(1000)]
+    phrases = decontaminate.Phrases([str(i) for i in range(1000)], texts)
+    held = sum(x.nbytes for x in vars(phrases).values() if isinstance(x, np.ndarray))
+    assert held < 5 * sum(map(len, texts)) and len(phrases.sizes) == 1000 * 193
+
+
+def test_shingles_of_every_document_change_nothing(spark):
+    """Boilerplate in all documents, and thresholds at which nearly all shingles count as frequent."""
+    common = " ".join(f"boiler{i}" for i in range(40))
+    texts = [*near_copies(12, 1, 60, 2), *near_copies(6, 2, 200, 9), *[f"tail{i % 5}" for i in range(10)], *[f"{'more ' * i}end" for i in range(0, 60, 3)]]
+    rows = [(i, f"{common} {t}") for i, t in enumerate(texts)] + [(900, common), (901, None), (902, "")]
+    want = sorted(map(repr, brute_components(rows)))
+    for frequent_docs, locally in ((20_000, 64), (20, 1), (2, 1)):
+        assert sorted(map(repr, map(tuple, jaccard.link(docs(spark, rows), frequent_docs=frequent_docs, locally=locally).collect()))) == want
+
+
+def test_kept_columns_may_have_any_name(spark):
+    rows = [(2, "a b c d e f"), (2, "a b c d e f"), (1, "z")]
+    clash = docs(spark, rows).withColumns({c: F.lit(7) for c in ("_key", "_kept", "_node", "_root", "_row", "count", "n")})
+    kept = jaccard.keep_one(clash)
+    assert kept.columns == clash.columns and sorted((r["doc_id"], r["_row"], r["_kept"], r["count"]) for r in kept.collect()) == [(1, 7, 7, 7), (2, 7, 7, 7)]
+
+
 def test_jaccard_edges(spark):
     assert jaccard.digest(docs(spark, [])).count() == 0
     kept = jaccard.keep_one(docs(spark, [(3, "a b c"), (2, "a b c"), (2, "a b c"), (5, None), (6, ""), (9, "z")], True))
