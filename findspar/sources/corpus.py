@@ -6,6 +6,7 @@ parsed doesn't stop the others: its row has an error instead of sections.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,8 @@ def listed(spark: SparkSession, root: str, manifest: DataFrame | None = None) ->
 
     `source` is the path below root.  A manifest entry without a file is an error.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    files = files.withColumn("source", F.regexp_extract("path", rf"^(?:\w+:/*)?/*{_quoted(base)}/(.*)$", 1)).select("source", "content", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
+    files = files.withColumn("source", below(root)).select("source", "content", "length")
     if manifest is None:
         return files.where(F.lower("source").rlike(r"\.(md|mdx|txt|html|htm|pdf)$"))
     missing = manifest.select(F.col("path").alias("source")).join(files.select("source"), "source", "left_anti").limit(5).collect()
@@ -36,10 +36,10 @@ def listed(spark: SparkSession, root: str, manifest: DataFrame | None = None) ->
     return files.join(manifest.select(F.col("path").alias("source")), "source", "left_semi")
 
 
-def _quoted(path: str) -> str:
-    import re
-
-    return re.escape(re.sub(r"^\w+:/*", "", path).lstrip("/"))
+def below(root: str, path: str = "path") -> Column:
+    """A file's path below the root."""
+    base = re.escape(re.sub(r"^\w+:/*", "", root.rstrip("/")).lstrip("/"))
+    return F.regexp_extract(path, rf"^(?:\w+:/*)?/*{base}/(.*)$", 1)
 
 
 def decoded(data: bytes) -> str:

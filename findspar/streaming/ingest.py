@@ -16,10 +16,10 @@ HOUR_US = 3600 * 1_000_000
 
 
 def file_stream(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
-    """New files below root as they arrive (source, content)."""
+    """New files below root as they arrive (source, content); `source` is the path below root."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", suffix).option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_replace("path", r"^.*?([^/]+)$", "$1").alias("source"), "content")
+    return files.select(corpus.below(root).alias("source"), "content")
 
 
 def ingest(spark: SparkSession, files: DataFrame, chunks: index.VersionedTable, checkpoint: str):
@@ -59,7 +59,3 @@ def limited(requests: DataFrame, per_hour: int, delay: str = "10 minutes") -> Da
     stream = requests.withWatermark("ts", delay).select("visitor", "event_id", "ts")
     return stream.groupBy("visitor").applyInPandasWithState(step, f"visitor {kinds['visitor']}, event_id {kinds['event_id']}, admitted boolean", "taken array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
-
-def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events per type and hour, late ones up to `delay` included."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))

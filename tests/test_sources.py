@@ -89,6 +89,39 @@ def test_pdf_lines(spark):
     assert got[0]["text"] == "This is the first line\nand the second.\n\nA new paragraph that\ngoes over the page." and [r["page"] for r in got] == [1, 2, 3]
 
 
+def test_pdf_headings(spark):
+    """Wrapped headings, nesting below numbers, entry lists, captions and pages that begin after a sentence's end."""
+
+    def line(no, page, top, text, size=10.0, bold=False, x1=500.0, parts=None):
+        return ("d", no, page, 800.0, float(top), float(top + size), x1, text, size, bold, parts or [text])
+
+    rows = [
+        line(0, 1, 100, "2 Long heading that", 10.0, True), line(1, 1, 112, "wraps here", 10.0, True, 200.0), line(2, 1, 140, "Body one."),
+        line(3, 2, 100, "New page section,"), line(4, 3, 100, "same section."), line(5, 3, 130, "Note well", 10.0, True, 100.0), line(6, 3, 150, "Under note."),
+        line(7, 3, 170, "Table 3 Things", 10.0, True), line(8, 3, 190, "2.1 Deep", 10.0, True, 300.0, ["2.1", "Deep"]), line(9, 3, 220, "Glossary", 10.0, True, 90.0), line(10, 3, 235, "Term", 10.0, True, 90.0),
+        line(11, 3, 290, "Meaning."), line(12, 3, 302, "A bold sentence, which ends.", 10.0, True), line(13, 3, 400, "1.......... 7", 10.0, True),
+        line(14, 4, 100, "Big Title", 14.0, True), line(15, 4, 130, "Last."), line(16, 4, 150, "(continued on next page)"),
+    ]
+    kind = "doc_id string, line_no int, page int, page_height double, top double, bottom double, x1 double, text string, size double, bold boolean, segments array<string>"
+    got = pdf.sections(spark.createDataFrame(rows, kind), spark.createDataFrame([("d", None)], "doc_id string, title string")).orderBy("section_no").collect()
+    assert [(r["section_no"], r["heading"], r["page"]) for r in got] == [
+        (0, " > 2 Long heading that wraps here", 1), (1, " > 2 Long heading that wraps here", 2), (2, " > 2 Long heading that wraps here > Note well", 3), (3, " > Glossary > Term", 3), (4, " > Big Title", 4),
+    ]
+    assert [r["text"] for r in got] == ["Body one.", "New page section,\nsame section.", "Under note.\nTable 3 Things", "Meaning.\nA bold sentence, which ends.\n\n1.......... 7", "Last."]
+    assert pdf.sections(spark.createDataFrame([], kind), spark.createDataFrame([], "doc_id string, title string")).count() == 0
+    titles = spark.createDataFrame([("Report.docx",), (" untitled",), (" Real title ",), (None,), ("",)], "t string")
+    assert [r["t"] for r in titles.select(pdf.usable_title(F.col("t")).alias("t")).collect()] == [None, None, "Real title", None, None]
+
+
+def test_streamed_files_of_one_name_are_different_documents(spark, tmp_path):
+    for folder, text in (("a", "# H\none"), ("b", "# H\ntwo")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "readme.md").write_text(text)
+    table = index.VersionedTable(spark, str(tmp_path / "t"))
+    ingest.ingest(spark, ingest.file_stream(spark, str(tmp_path / "in")), table, str(tmp_path / "c")).awaitTermination()
+    assert sorted((r["source"], r["text"]) for r in table.read().collect()) == [("a/readme.md", "one"), ("b/readme.md", "two")]
+
+
 def test_stream_replaces_documents(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.md").write_text("# H\none")
