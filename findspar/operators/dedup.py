@@ -5,9 +5,11 @@ same facts (numbers and identifiers), and 3-word shingle sets with a Jaccard
 similarity of 0.9 or more.
 
 Pairs: equal (shingles, facts) form one class first.  Classes meet only by a
-prefix of their hashed shingles (sorted by hash, n - ceil(0.9 n) + 1 of them)
-together with the hash of their facts, within the length filter; the overlap is
-then counted on the full sets.
+prefix of their hashed shingles (n - ceil(0.9 n) + 1 of them) together with the
+hash of their facts, within the length filter; the overlap is then counted on the
+full sets.  The prefix takes the frequent hashes last (those of buckets that far more
+classes hold than the mean, such as boilerplate's), so that they bring no pairs
+together; any order will do that is the same for all.
 
 Admission is sequential by definition: a passage is kept unless it nearly
 repeats one that was kept before it.  On the pairs' graph, directed from earlier to
@@ -27,23 +29,41 @@ from findspar.session import ensure_checkpoints
 
 THRESHOLD = (9, 10)
 MIN_CHARS = 120
+BUCKETS = 1 << 18
+FREQUENT, FREQUENT_SHARE = 20, 0.001
 
 
 def signatures(passages: DataFrame, chunk_id: str = "chunk_id", text: str = "text", order: Column | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(chunk_id, ord, class, facts_key, n, hashes): what duplicates are found by; short passages are left out."""
     long = passages.where(F.length(text) >= min_chars)
-    hashes = F.array_sort(F.array_distinct(F.transform(T.shingles(F.col(text)), lambda s: F.xxhash64(s))))
+    hashes = T.shingle_hashes(F.col(text))
     facts_key = F.xxhash64(F.array_join(T.facts(F.col(text)), " "))
     rows = long.select(F.col(chunk_id).alias("chunk_id"), (F.col(chunk_id) if order is None else order).alias("ord"), hashes.alias("hashes"), facts_key.alias("facts_key"))
     return rows.withColumn("n", F.size("hashes")).withColumn("class", F.sha2(F.concat_ws(",", F.col("facts_key").cast("string"), F.transform("hashes", lambda h: h.cast("string"))), 256)).where("n > 0")
 
 
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS))
+
+
+def frequent_buckets(classes: DataFrame) -> list[int]:
+    """Buckets of hashes that far more classes hold than the mean: those of boilerplate.  At most a quarter of BUCKETS, whatever the corpus."""
+    each = classes.select(F.explode(F.transform("hashes", _bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    size = classes.agg(F.sum("n").alias("entries"), F.count("*").alias("classes")).first()
+    least = max(FREQUENT, 4 * (size["entries"] or 0) / BUCKETS, FREQUENT_SHARE * size["classes"])
+    return sorted(r["bucket"] for r in each.where(F.col("n") >= least).collect())
+
+
 def class_pairs(signed: DataFrame) -> DataFrame:
     """(class_a, class_b, similarity) of different classes that are near duplicates."""
     up, low = THRESHOLD[1], THRESHOLD[0]
-    classes = signed.groupBy("class").agg(F.first("facts_key").alias("facts_key"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    ensure_checkpoints(signed.sparkSession)
+    classes = signed.groupBy("class").agg(F.first("facts_key").alias("facts_key"), F.first("n").alias("n"), F.first("hashes").alias("hashes")).checkpoint()
     prefix = F.col("n") - F.ceil(F.col("n") * low / up).cast("int") + 1
-    entries = classes.select("class", "facts_key", "n", F.explode(F.slice("hashes", F.lit(1), prefix)).alias("h"))
+    frequent = frequent_buckets(classes)
+    common = lambda h: _bucket(h).isin(frequent)
+    ordered = F.concat(F.filter("hashes", lambda h: ~common(h)), F.filter("hashes", common)) if frequent else F.col("hashes")
+    entries = classes.select("class", "facts_key", "n", F.explode(F.slice(ordered, F.lit(1), prefix)).alias("h"))
     left, right = entries.alias("a"), entries.alias("b")
     near = (F.col("a.n") * up >= F.col("b.n") * low) & (F.col("b.n") * up >= F.col("a.n") * low)
     met = left.join(right, (F.col("a.h") == F.col("b.h")) & (F.col("a.facts_key") == F.col("b.facts_key")) & (F.col("a.class") < F.col("b.class")) & near)

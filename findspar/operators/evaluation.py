@@ -35,23 +35,48 @@ def retrieval_metrics(ranked: DataFrame, by: list[Column] | None = None) -> Data
     )
 
 
-def absent_terms(terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """Terms that no text holds: distinct term words meet the texts' words first, and only those pairs are searched."""
-    first = terms.withColumn("_w", F.element_at(T.words(F.col("term")), 1))
-    words = texts.select("text", F.explode(F.array_distinct(T.words(F.col("text")))).alias("_w"))
-    held = first.join(words, "_w").where(F.contains(F.lower("text"), F.lower("term"))).select("term").distinct()
-    return terms.join(held, "term", "left_anti")
+TERMS = 2_000
+
+
+def absent_terms(terms: DataFrame, texts: DataFrame, block: int = TERMS) -> DataFrame:
+    """Terms that no text holds, parts of words included and whatever the case.
+
+    With a `collection` in both tables only texts of a term's own collection count.
+    Terms are broadcast in blocks of `block`, one scan of the texts for each; null terms
+    are absent from nothing and don't occur.
+    """
+    own = ["collection"] if "collection" in terms.columns and "collection" in texts.columns else []
+    asked = terms.select("term", *own).where("term is not null").distinct()
+    sought = asked.withColumn("_lower", F.lower("term"))
+    lowered = texts.select(F.lower("text").alias("_text"), *[F.col(c).alias(f"_{c}") for c in own]).where("_text is not null")
+    blocks = max(1, -(-sought.count() // block))
+    held = None
+    for b in range(blocks):
+        few = F.broadcast(sought.where(F.pmod(F.xxhash64("term", *own), F.lit(blocks)) == b))
+        on = F.contains("_text", F.col("_lower"))
+        for c in own:
+            on &= F.col(c) == F.col(f"_{c}")
+        found = lowered.join(few, on).select("term", *own).distinct()
+        held = found if held is None else held.union(found)
+    return asked.join(held, ["term", *own], "left_anti")
 
 
 def leaks(questions: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs of questions (query_id, text) whose word sets have a Jaccard similarity of `least` or more: joined on shared words."""
-    words = questions.select("query_id", F.array_distinct(T.words(F.col("text"))).alias("w"))
-    each = words.select("query_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = each.toDF("id_a", "n_a", "word"), each.toDF("id_b", "n_b", "word")
-    near = (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)
-    shared = a.join(b, "word").where((F.col("id_a") < F.col("id_b")) & near).groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("k"))
-    j = F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k"))
-    return shared.where(j >= least).select("id_a", "id_b", F.round(j, 4).alias("similarity"))
+    """Pairs of questions (query_id, text) whose word sets have a Jaccard similarity of `least` or more.
+
+    Words in order of their frequency, rarest first: sets that similar share one of
+    the first n - ceil(least n) + 1, so common words bring no pairs together.
+    """
+    words = questions.select("query_id", F.array_distinct(T.words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    each = words.select("query_id", F.explode("w").alias("word"))
+    ordered = each.join(each.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o"))
+    n = F.size("o")
+    first = ordered.select("query_id", F.explode(F.slice("o", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)["word"]).alias("word"))
+    pairs = first.toDF("id_a", "word").join(first.toDF("id_b", "word"), "word").where("id_a < id_b").select("id_a", "id_b").distinct()
+    both = pairs.join(words.toDF("id_a", "a"), "id_a").join(words.toDF("id_b", "b"), "id_b")
+    shared = F.size(F.array_intersect("a", "b"))
+    j = shared / (F.size("a") + F.size("b") - shared)
+    return both.where(j >= least).select("id_a", "id_b", F.round(j, 4).alias("similarity"))
 
 
 def grade_facts(facts: DataFrame, replies: DataFrame, extra_wrong: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ def embed_misses(texts: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
     return keyed.groupBy("key").agg(F.first("text").alias("text")).join(cache.select("key"), "key", "left_anti")
 
 
-def also_appears_in(duplicates: DataFrame, chunk_id: str) -> DataFrame:
-    """Where else a passage's text occurs."""
-    return duplicates.where(F.col("duplicate_of") == chunk_id).orderBy("source", "chunk_index")
+def also_appears_in(duplicates: DataFrame, shown: DataFrame) -> DataFrame:
+    """Where else the texts of shown passages (chunk_id) occur: the copies that were skipped for them, by duplicate_of."""
+    return duplicates.join(shown.select(F.col("chunk_id").alias("duplicate_of")).distinct(), "duplicate_of", "left_semi")
 
 
 def stored_vectors(chunks: DataFrame, cache: DataFrame, store: DataFrame, key: Column) -> DataFrame:

@@ -38,6 +38,12 @@ def claims_split(spark, sf):
     return c.select("answer_id", "claim_no", "claim", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",").alias("citations"), "kind")
 
 
+def judge_batches(spark, sf):
+    """Which judge call takes which claim and cited passage: eight pairs to a call."""
+    pairs = _line_claims(spark, sf).select("answer_id", "claim_no", F.explode("citations").alias("n"))
+    return A.batches(pairs).select("answer_id", "claim_no", "n", "call")
+
+
 def _line_claims(spark, sf) -> DataFrame:
     """Each line of an answer as a claim that cites its own turn and the one before."""
     t = turns(spark, sf).where("role = 'assistant'")
@@ -158,7 +164,7 @@ def snapshot_diff(spark, sf):
     return evaluation.snapshot_diff(before, after, "doc_id", "digest")
 
 
-QUERIES = {f.__name__: f for f in (parse_citations, claims_split, claim_status, claim_counts, quote_in_passage, confidence_score, status_ladder, eval_summary, spread, judge_confusion, judge_errors, grade_facts, stratified_split, seeded_sample, snapshot_diff)}
+QUERIES = {f.__name__: f for f in (parse_citations, claims_split, judge_batches, claim_status, claim_counts, quote_in_passage, confidence_score, status_ladder, eval_summary, spread, judge_confusion, judge_errors, grade_facts, stratified_split, seeded_sample, snapshot_diff)}
 
 VERIFIED = f"""
 a AS (SELECT conv_id || '-' || turn AS answer_id, conv_id, turn, string_split(text, chr(10)) AS l FROM conversations WHERE role = 'assistant'),
@@ -184,7 +190,24 @@ summary AS (SELECT source, count(*) AS questions, count(*) FILTER (error) AS err
     list_sort(list(seconds) FILTER (NOT error)) AS s FROM r GROUP BY source),
 done AS (SELECT * EXCLUDE (s), s[len(s) // 2 + 1] AS seconds_p50, s[least(len(s), floor(len(s) * 0.95)::INT + 1)] AS seconds_p95 FROM summary)
 """
+CLAIMS = r"""
+a AS (SELECT conv_id || '-' || turn AS answer_id, regexp_replace(text, '\.(\s|$)', '. [' || turn || CASE WHEN turn % 3 = 0 THEN ', 99' ELSE '' END || ']\1', 'g') AS text FROM conversations WHERE role = 'assistant'),
+drawn AS (SELECT answer_id, string_split_regex(regexp_replace(text, '([.!?])((?:[ \t]*\[\d+(?:\s*,\s*\d+)*\])+)', '\2\1', 'g'), '\r\n|[\n\r]') AS l FROM a),
+lines AS (SELECT answer_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM drawn),
+cut AS (SELECT answer_id, line_no, string_split(regexp_replace(regexp_replace(regexp_replace(line, '^\s*(?:[-*•]|\d+[.)])\s+', ''), '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z0-9`*\[("''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM lines),
+said AS (SELECT answer_id, line_no, at_, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM (SELECT answer_id, line_no, unnest(s) AS s, generate_subscripts(s, 1) AS at_ FROM cut)),
+bared AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY line_no, at_) AS no, regexp_replace(regexp_replace(regexp_replace(s, '\[(\d+(?:\s*,\s*\d+)*)\]', '', 'g'), '^[ \t*]+|[ \t*]+$', '', 'g'), '\s+([.,;:!?])', '\1', 'g') AS bare,
+    flatten(list_transform(regexp_extract_all(s, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda g: list_transform(string_split_regex(g, '\s*,\s*'), lambda x: x::INT))) AS numbers FROM said WHERE s <> ''),
+numbered AS (SELECT *, regexp_matches(bare, '[\p{L}\p{M}\p{N}\p{Pc}]') AS worded, sum(regexp_matches(bare, '[\p{L}\p{M}\p{N}\p{Pc}]')::INT) OVER (PARTITION BY answer_id ORDER BY no) AS g FROM bared),
+stated AS (SELECT answer_id, g, max(bare) FILTER (worded) AS bare, list_sort(list_distinct(flatten(list(numbers)))) AS numbers FROM numbered WHERE g > 0 GROUP BY ALL),
+kinds AS (SELECT *, CASE WHEN len(numbers) > 0 THEN 'cited' WHEN regexp_matches(bare, '(?i)\b(documents?|passages?|sources?)\b[^.]*\b(do not|don''t|does not|doesn''t|did not|no)\b[^.]*\b(cover|mention|provide|contain|include|specify|say|state|information|details?)\b') THEN 'gap' ELSE 'uncited' END AS kind FROM stated),
+ended AS (SELECT *, first_value(CASE WHEN kind <> 'uncited' THEN g END IGNORE NULLS) OVER later AS end_, first_value(CASE WHEN kind <> 'uncited' THEN kind END IGNORE NULLS) OVER later AS end_kind FROM kinds
+    WINDOW later AS (PARTITION BY answer_id ORDER BY g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+merged AS (SELECT answer_id, CASE WHEN end_kind = 'cited' THEN end_ ELSE g END AS island, string_agg(bare, ' ' ORDER BY g) AS claim, arg_max(numbers, g) AS numbers, arg_max(kind, g) AS kind FROM ended GROUP BY ALL)
+"""
 SQL = {
+    "claims_split": f"WITH {CLAIMS} SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY island) - 1)::INTEGER AS claim_no, claim, array_to_string(numbers, ',') AS citations, kind FROM merged",
+    "judge_batches": f"WITH {VERIFIED} SELECT answer_id, claim_no::INTEGER AS claim_no, n::INTEGER AS n, ((row_number() OVER (PARTITION BY answer_id ORDER BY claim_no, n) - 1) // 8)::INTEGER AS call FROM cited",
     "parse_citations": r"""WITH a AS (SELECT conv_id || '-' || turn AS answer_id, regexp_replace(text, '\.(\s|$)', '. [' || turn || CASE WHEN turn % 3 = 0 THEN ', 99' ELSE '' END || ']\1', 'g') AS text FROM conversations WHERE role = 'assistant'),
         n AS (SELECT answer_id, list_distinct(flatten(list_transform(regexp_extract_all(text, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda g: list_transform(string_split_regex(g, '\s*,\s*'), lambda x: x::INT)))) AS n FROM a)
         SELECT answer_id, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 20), ',') AS valid, array_to_string(list_filter(n, lambda x: x < 1 OR x > 20), ',') AS invalid

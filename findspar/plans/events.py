@@ -9,6 +9,7 @@ from findspar.operators import limits
 from findspar.plans.texts import docs
 
 PER_HOUR, PER_DAY = 2, 300
+NOW = "2024-01-15 12:00:00"
 
 
 def events(spark, sf) -> DataFrame:
@@ -35,7 +36,7 @@ def answer_cache_hits(spark, sf):
 
 def live_uploads(spark, sf):
     e = events(spark, sf).select(F.col("event_id").alias("upload_id"), F.col("user_id").alias("visitor"), "ts")
-    return limits.live_uploads(e, F.lit("2099-01-01").cast("timestamp"), ttl=10**10)
+    return limits.live_uploads(e, F.lit(NOW).cast("timestamp"), ttl=6 * 3600, per_visitor=1)
 
 
 def upload_status(spark, sf):
@@ -61,6 +62,7 @@ SQL = {
         m AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY ALL UNION ALL SELECT e.user_id, e.event_type, min(e.t) FROM m JOIN e ON e.user_id = m.user_id AND e.event_type = m.event_type AND e.t > m.t + 86400000000 GROUP BY e.user_id, e.event_type),
         f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, t ORDER BY event_id) AS n FROM e)
         SELECT event_id, NOT (n = 1 AND m.t IS NOT NULL) AS hit FROM f LEFT JOIN m ON m.user_id = f.user_id AND m.event_type = f.event_type AND m.t = f.t""",
-    "live_uploads": """WITH u AS (SELECT event_id AS upload_id, user_id AS visitor, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT upload_id, visitor, ts FROM u WHERE n <= 3 ORDER BY ts DESC, upload_id DESC LIMIT 20""",
+    "live_uploads": f"""WITH f AS (SELECT event_id AS upload_id, user_id AS visitor, ts FROM events WHERE ts <= TIMESTAMP '{NOW}' AND ts > TIMESTAMP '{NOW}' - INTERVAL 6 HOUR),
+        u AS (SELECT *, row_number() OVER (PARTITION BY visitor ORDER BY ts DESC, upload_id DESC) AS n FROM f) SELECT upload_id, visitor, ts FROM u WHERE n <= 1 ORDER BY ts DESC, upload_id DESC LIMIT 20""",
     "upload_status": """SELECT doc_id, CASE WHEN lang = 'fr' THEN 415 WHEN octet_length(encode(text)) > 5242880 THEN 413 WHEN lang = 'de' AND ceil(length(text) / 200) > 50 THEN 422 WHEN length(text) // 10 = 0 THEN 422 WHEN length(text) // 10 > 400 THEN 413 ELSE 201 END AS status FROM documents""",
 }

@@ -81,10 +81,11 @@ def stored_vectors(spark, sf):
 
 
 def also_appears_in(spark, sf):
-    """Documents that repeat an earlier one's text, by the document they repeat."""
+    """Documents that repeat the text of an earlier one that is shown (all but one source's), by that document."""
     d = docs(spark, sf).select("doc_id", "source", F.md5(F.encode("text", "UTF-8")).alias("h"))
     first = d.groupBy("h").agg(F.min("doc_id").alias("duplicate_of"))
-    return d.join(first, "h").where("doc_id <> duplicate_of").select("duplicate_of", "doc_id", "source")
+    copies = d.join(first, "h").where("doc_id <> duplicate_of").select("duplicate_of", "doc_id", "source")
+    return index.also_appears_in(copies, d.where("source <> 'src0'").select(F.col("doc_id").alias("chunk_id")))
 
 
 def rewrite_trigger(spark, sf):
@@ -119,6 +120,6 @@ SQL = {
     "stored_vectors": """WITH c AS (SELECT text, arg_min(embedding, vec_id) AS v FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang = 'en' GROUP BY text)
         SELECT doc_id AS chunk_id, CASE WHEN c.v IS NOT NULL THEN 'cache' WHEN e.embedding IS NOT NULL THEN 'store' ELSE 'missing' END AS origin, round(coalesce(c.v, e.embedding)[1]::DOUBLE, 6) AS first
         FROM documents d LEFT JOIN c ON c.text = d.text LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
-    "also_appears_in": "SELECT duplicate_of, doc_id, source FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents) WHERE doc_id <> duplicate_of",
+    "also_appears_in": "SELECT duplicate_of, doc_id, source FROM (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents) WHERE doc_id <> duplicate_of AND duplicate_of IN (SELECT doc_id FROM documents WHERE source <> 'src0')",
     "rewrite_trigger": _rewrite_sql(),
 }

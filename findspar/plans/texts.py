@@ -117,7 +117,15 @@ SQL = {
         round(quantile_cont(char_count::DOUBLE, 0.95), 4) AS p95_chars, max(char_count) AS max_chars, count(*) FILTER (char_count < 100) AS tiny FROM chunks GROUP BY source""",
     "repeated_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL HAVING count(*) > 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line) AS rank FROM c) SELECT * FROM r WHERE rank <= 5""",
-    "safe_text": r"""WITH a AS (SELECT *, regexp_replace(regexp_replace(text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '!\[([^\]]*)\]\[[^\]]*\]', '\1', 'g') AS t FROM conversations)
-        SELECT conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(t, '\[([^\]]+)\]\([^#)][^)]*\)', '\1', 'g'), '(?m)^\s*\[[^\]]+\]:\s*\S+.*$', '', 'g'), '</?[A-Za-z][^<>]*>', '', 'g')) AS shown,
-        md5(lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) AS key FROM a""",
+    "html_sections": r"""WITH s AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[ \t\r\n]+', ' ', 'g'), '<script.*?</script>', '', 'g'), '<style.*?</style>', '', 'g'), '<nav.*?</nav>', '', 'g'), '<footer.*?</footer>', '', 'g'), '<!--.*?-->', '', 'g') AS x FROM pages),
+        t AS (SELECT page_id, coalesce(nullif(trim(regexp_extract(x, '<title>(.*?)</title>', 1)), ''), url) AS title, trim(regexp_extract(x, '<h1[^>]*>(.*?)</h1>', 1)) AS h, string_split_regex(regexp_replace(x, '<title>.*?</title>', ''), '<h1[^>]*>.*?</h1>') AS parts FROM s),
+        u AS (SELECT page_id, no, CASE WHEN no = 1 THEN title ELSE h END AS heading, regexp_replace(regexp_replace(part, '</?(p|div|ul|ol|li|table|tr|td|th|br|hr|article|section|main|blockquote)[^a-z>]*>|<div [^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text
+            FROM (SELECT page_id, title, h, unnest(parts) AS part, generate_subscripts(parts, 1) AS no FROM t)),
+        l AS (SELECT page_id, no, heading, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM u),
+        e AS (SELECT page_id, no, replace(replace(replace(replace(heading, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS heading, replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM l WHERE text <> '')
+        SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY no) - 1)::INTEGER AS section_no, heading, text FROM e""",
+    "safe_text": r"""WITH a AS (SELECT *, regexp_replace(regexp_replace(text, '(?m)^[ \t]{0,3}\[[^\]]+\]:[ \t]*\S+.*$', '', 'g'), '!\[([^\]]*)\]\[[^\]]*\]', '\1', 'g') AS t FROM conversations),
+        b AS (SELECT *, regexp_replace(regexp_replace(t, '!\[\]\([^)]*\)', '[image removed: no description]', 'g'), '!\[([^\]]+)\]\([^)]*\)', '[image removed: \1]', 'g') AS u FROM a)
+        SELECT conv_id, turn, md5(regexp_replace(regexp_replace(u, '\[([^\]]+)\]\((?:[^#)][^)]*)?\)', '\1', 'g'), '\[(\d+)\]', '[\\[\1\\]](#source-\1)', 'g')) AS shown,
+        md5(lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) AS key FROM b""",
 }

@@ -147,12 +147,33 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(r["id"] for r in t.read().collect()) == [0, 1, 2, 3, 4]
 
 
-def test_claims():
-    got = answers.claims_of("Restart it. Then wait [1]. The documents do not mention the cost.\n- Call us.\n[2]\nDone. [3] Bye.")
-    assert [(c["text"], c["citations"], c["kind"]) for c in got] == [
+def test_claims(spark):
+    text = "Restart it. Then wait [1]. The documents do not mention the cost.\n- Call us.\n[2]\nDone. [3] Bye."
+    more = "[7]\nOne, two. Three [2, 1] . The sources say no details. Four! Five?\n1. Six [2][2]\n**Seven** [4]\nEight"
+    got = {}
+    for r in answers.claims(spark.createDataFrame([(1, text), (2, more), (2, more), (2, "Nine."), (3, None), (4, "[1] * [2]")], "answer_id int, text string")).orderBy("answer_id", "claim_no").collect():
+        got.setdefault(r["answer_id"], []).append((r["claim"], r["citations"], r["kind"]))
+    assert got[1] == [
         ("Restart it. Then wait.", [1], "cited"), ("The documents do not mention the cost.", [], "gap"), ("Call us.", [2], "cited"), ("Done.", [3], "cited"), ("Bye.", [], "uncited"),
     ]
-    assert answers.claims_of(None) == []
+    assert sorted(got[2], key=str) == sorted([("One, two. Three.", [2, 1], "cited"), ("The sources say no details.", [], "gap"), ("Four! Five? Six", [2], "cited"), ("Seven", [4], "cited"), ("Eight", [], "uncited"), ("Nine.", [], "uncited")], key=str)
+    assert set(got) == {1, 2}
+
+
+def test_only_partial_claims_are_judged_again(spark):
+    asked = []
+
+    def judge(claim, passage):
+        asked.append(passage._jc.toString())
+        return answers.overlap_judge(claim, passage)
+
+    claimed = spark.createDataFrame([("a", 0, "red fox jumps", [1, 2], "cited"), ("a", 1, "red fox", [1, 2], "cited")], "answer_id string, claim_no int, claim string, citations array<int>, kind string")
+    passages = spark.createDataFrame([("a", 1, "the red fox"), ("a", 2, "jumps")], "answer_id string, n int, text string")
+    checked = answers.verify(claimed, passages, judge)
+    assert {r["claim_no"]: r["status"] for r in checked.collect()} == {0: "supported", 1: "supported"} and len(asked) == 2
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("any_partial") < len(plan)  # the second call reads filtered rows only
+    assert plan.count("Filter") > 1
 
 
 def test_partial_support_is_checked_against_all_passages(spark):
@@ -195,7 +216,7 @@ def test_empty_tables(spark):
     s = chunking.whole_text_sections(docs)
     assert chunking.fixed(s).count() == chunking.structure(s).count() == 0
     q = spark.createDataFrame([], "query_id bigint, text string")
-    assert search.sparse(q, search.postings(docs, "doc_id", "text"), search.corpus_statistics(docs, "text")).count() == 0
+    assert search.sparse(q, search.postings(search.tokenised(docs, "doc_id", "text")), search.corpus_statistics(search.tokenised(docs, "doc_id", "text"))).count() == 0
     signed = dedup.signatures(docs, "doc_id", "text")
     assert dedup.admit(signed, dedup.class_pairs(signed)).count() == 0
 
@@ -223,3 +244,51 @@ def test_repair_and_model_guard(spark):
     assert index.same_model(vectors, "m").count() == 2
     with pytest.raises(ValueError):
         index.same_model(vectors, "other")
+
+
+def test_terms_are_sought_within_words_too(spark):
+    texts = spark.createDataFrame([("Support is C++ only", "a"), (None, "a"), ("Backup", "b")], "text string, collection string")
+    terms = spark.createDataFrame([("port", "a"), ("++", "a"), ("backup", "a"), ("BACK", "b"), ("", "b"), (None, "b")], "term string, collection string")
+    assert {(r["term"], r["collection"]) for r in evaluation.absent_terms(terms, texts).collect()} == {("backup", "a")}
+    assert [r["term"] for r in evaluation.absent_terms(terms.select("term"), texts.select("text"), block=1).collect()] == []
+    assert evaluation.absent_terms(terms.select("term"), texts.limit(0).select("text")).count() == 5
+
+
+def test_leaks_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(["the", "of", *[f"w{x}" for x in rng.integers(12, size=rng.integers(1, 9))]])) for i in range(80)] + [(90, None), (91, ""), (92, "!")]
+    sets = {i: set(t.split()) for i, t in rows if t and t != "!"}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    got = evaluation.leaks(spark.createDataFrame(rows, "query_id int, text string"), 0.6)
+    assert {(r["id_a"], r["id_b"]) for r in got.collect()} == want and want
+
+
+def test_vectors_of_any_kind(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [None, 1.0]), ("d", []), ("e", None), ("f", [float("nan"), 1.0]), ("g", [0.0, 0.0]), ("h", [1.0, 1.0]), ("i", [float("inf"), 1.0])]
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0])], "query_id int, vector array<double>")
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    for size in (search.QUERY_BYTES, 16):
+        got = search.dense(asked, vectors, query_bytes=size).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["chunk_id"], round(r["score"], 6)) for r in got] == [(1, "a", 1.0), (1, "h", 0.707107), (2, "b", 0.0)]
+    assert search.dense(asked.limit(0), vectors).count() == search.dense(asked, vectors.limit(0)).count() == 0
+
+
+def test_shown_markdown_loads_nothing(spark):
+    text = "![](https://x/?q) ![cat](y.png) ![z][ref] [out](https://x) [in](#a) [1][2]\n[ref]: https://x y\n<b>raw</b>"
+    want = "[image removed: no description] [image removed: cat] z out [in](#a) [\\[1\\]](#k-source-1)[\\[2\\]](#k-source-2)\n\n<b>raw</b>"
+    assert value(spark, T.safe_markdown(F.lit(text), "k-")) == want
+
+
+def test_boilerplate_brings_no_pairs_together(spark):
+    """A long passage in every document, and pairs as by brute force."""
+    rng = np.random.default_rng(2)
+    common = " ".join(f"legal{x}" for x in "abcdefghijklmnopqrstuvwxyz" * 2)
+    texts = [f"{common} " + " ".join(f"own{x}q" for x in rng.choice(list("abcdefgh"), 30)) for _ in range(40)]
+    texts += [texts[0] + " more", texts[1][:-1], common, common + " tail"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    signed = dedup.signatures(d, "doc_id", "text")
+    heads = {r["class"]: r["id"] for r in signed.groupBy("class").agg(F.min("chunk_id").alias("id")).collect()}
+    got = {tuple(sorted((heads[r["class_a"]], heads[r["class_b"]]))) for r in dedup.class_pairs(signed).collect()}
+    runs = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in enumerate(texts)}
+    assert got == {(a, b) for a in runs for b in runs if a < b and runs[a] != runs[b] and 10 * len(runs[a] & runs[b]) >= 9 * len(runs[a] | runs[b])} and got
+    assert len(dedup.frequent_buckets(signed)) >= 26
