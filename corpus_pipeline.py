@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from findspar.llm import decontaminate, jaccard, language, mixing, toxicity
-from findspar.llm._frames import table, written
+from findspar.llm._frames import made, release, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,11 @@ STAGES = [("toxicity", toxic), ("language", languages), ("near duplicates", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages before wrote is deleted as soon as the next one's documents are complete."""
+    docs, since = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CHECKPOINTS = "/tmp/findspar-checkpoints"
@@ -10,10 +12,21 @@ LOCAL_CHECKPOINTS = "/tmp/findspar-checkpoints"
 SMALL_FILE = 64 << 20
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir or the context names.  Only a single local JVM may go without; there one is chosen here."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = own.get() if own.isDefined() else None
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or LOCAL_CHECKPOINTS).rstrip("/")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only where nothing is set (local runs) a folder is chosen here."""
+    """Checkpoints go below `checkpoint_root`."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
 
 
 def build(app: str = "findspar", master: str | None = None) -> SparkSession:
