@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findspar.session import LOCAL_CHECKPOINTS, spread_small
+from findspar.session import checkpoint_root, spread_small
 
 _made: list[str] = []  # folders that this process made, oldest first
 
@@ -43,20 +43,12 @@ def add_struct(df: DataFrame, text: str, fields: str, fn: Callable[[pa.Array], l
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; another root only where that is unset, as in local runs.
+    """A new folder below `checkpoint_root`.
 
     Results are lazy, so the tables that they read must outlive the call; what is no
     longer read goes through `discard` or `release`.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = LOCAL_CHECKPOINTS
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"
     _made.append(path)
     return path
 
