@@ -1,11 +1,12 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Two layers.  The base layer finds three fixed phrases by their words.  The method
-layer is an ordered list of some hundreds of signature regexes, generated below
-from families, versions and wordings.  A rule runs on a text only if the
-lower-cased text contains all its keywords, which every match of its regex contains
-(as parts of words too: "“MIT", "FreeBSD", "©2019"), so that most regexes don't run.  Every
-match is an interval; matches are taken in order of priority, then length, then
+layer is an ordered list of signature regexes: sentences of license texts and notices,
+written one by one, and titles, notices, addresses and identifiers, which families,
+versions and wordings expand to some hundreds.  A rule runs on a text only if, of each of
+its keyword groups, the lower-cased text contains one, which every match of its regex
+does (as parts of words too: "“MIT", "FreeBSD", "©2019"), so that most regexes don't
+run.  Every match is an interval; matches are taken in order of priority, then length, then
 position, and a match inside an interval that is already taken is suppressed, so
 "GNU Lesser General Public License v3" doesn't count as a plain mention of the GPL
 too.  Labels of the base layer always stay.
@@ -40,7 +41,7 @@ PRIORITY = {kind: i for i, kind in enumerate(("spdx", "url", "notice", "title",
 class Rule:
     label: str
     kind: str
-    keywords: frozenset[str]
+    keywords: tuple[frozenset[str], ...]  # of each group one must be there
     regex: re.Pattern
 
 
@@ -77,7 +78,7 @@ FAMILIES = (
     ("cc-by-nd", "cc-by-nd", r"(?:cc|creative commons)[ -](?:by|attribution)[ -]n(?:d|o-?deriv\w*)", "cc|commons", ("2.0", "2.5", "3.0", "4.0"), r"creativecommons\.org/licenses/by-nd"),
     ("cc-by-sa", "cc-by-sa", r"(?:cc|creative commons)[ -](?:by|attribution)[ -]s(?:a|hare-?alike)", "cc|commons", ("2.0", "2.5", "3.0", "4.0"), r"creativecommons\.org/licenses/by-sa"),
     ("cc-by", "cc-by", r"(?:cc|creative commons)[ -](?:by|attribution)", "cc|commons", ("2.0", "2.5", "3.0", "4.0"), r"creativecommons\.org/licenses/by"),
-    ("commercial", "licenseref-commercial", r"(?:commercial|proprietary) licen[sc]e", "commercial|proprietary", (), r"example\.invalid/commercial"),
+    ("commercial", "licenseref-commercial", r"(?:commercial|proprietary) licen[sc]e", "commercial|proprietary", (), ""),
 )
 
 # Wordings of a notice around a license's name.
@@ -88,14 +89,64 @@ NOTICES = (
     r"subject to (?:the )?(?:terms of )?(?:the )?{}",
 )
 
-# Statements that name no license family.
+# Sentences and statements of licenses and notices (label, kind, regex, the strings it needs).
 STATEMENTS = (
     ("reserved", "notice", r"all rights (?:are )?reserved", "rights reserved"),
+    ("reserved", "notice", r"no part of this (?:publication|book|document|work|site) may be", "part publication|book|document|work|site"),
+    ("reserved", "notice", r"unauthori[sz]ed (?:copying|reproduction|distribution|use)(?: of this \w+)? is (?:strictly )?prohibited", "unauthori prohibited"),
     ("copyright", "mention", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?(?:19|20)\d\d", "copyright|(c)|©"),
+    ("copyright", "mention", r"copyright by [\w.]+", "copyright"),
     ("no-redistribution", "notice", r"(?:may|must) not be (?:reproduced|copied|redistributed)", "not reproduced|copied|redistributed"),
+    ("no-redistribution", "notice", r"redistribution (?:is )?(?:not permitted|prohibited|forbidden)", "redistribution permitted|prohibited|forbidden"),
+    ("no-commercial-use", "notice", r"(?:for )?non-?commercial (?:use|purposes) only", "commercial only"),
+    ("no-commercial-use", "notice", r"(?:not|no) (?:be used )?for commercial (?:use|purposes)", "commercial"),
+    ("no-commercial-use", "notice", r"for (?:personal|private|educational|research) use only", "personal|private|educational|research only"),
     ("permissive", "notice", r"permission is hereby granted,? free of charge", "permission hereby granted"),
     ("permissive", "notice", r"redistribution and use in source and binary forms", "redistribution source binary"),
-)
+    ("permissive", "notice", r"the above copyright notice and this permission notice shall be included in all copies", "copyright permission included"),
+    ("permissive", "notice", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright", "redistributions must copyright"),
+    ("bsd-3-clause", "notice", r"neither the name of .{1,120}? nor the names of (?:its|their) contributors may be used to endorse", "neither contributors endorse"),
+    ("bsd-4-clause", "notice", r"all advertising materials mentioning features or use of this software must display", "advertising display"),
+    ("bsd", "notice", r"this software is provided by the (?:copyright holders|regents|authors?) and contributors", "software provided contributors"),
+    ("mit", "notice", r"the software is provided [\"“'‘]{0,2}as is[\"”'’]{0,2},? without warranty of any kind", "software provided warranty"),
+    ("isc", "notice", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose", "permission copy modify software"),
+    ("zlib", "notice", r"this software is provided ['‘\"]?as-is['’\"]?,? without any express or implied warranty", "software as-is implied"),
+    ("zlib", "notice", r"altered source versions must be plainly marked as such", "altered plainly marked"),
+    ("boost", "notice", r"to use, reproduce, display, distribute, execute,? and transmit the software", "reproduce transmit software"),
+    ("apache", "notice", r"you may not use this file except in compliance with the licen[sc]e", "file except compliance"),
+    ("apache", "notice", r"distributed on an [\"“]as is[\"”] basis, without warranties or conditions of any kind", "basis warranties conditions"),
+    ("apache", "notice", r"licensed to the apache software foundation", "apache foundation"),
+    ("gpl", "notice", r"this (?:program|library) is free software[:;,]? you can redistribute it", "free software redistribute"),
+    ("gpl", "notice", r"either version \d(?:\.\d)? of the licen[sc]e,? or \(at your option\) any later version", "version option later"),
+    ("gpl", "notice", r"you should have received a copy of the gnu (?:lesser |affero |library )?general public licen[sc]e", "received gnu general public"),
+    ("gpl", "notice", r"without even the implied warranty of merchantability or fitness for a particular purpose", "implied merchantability fitness"),
+    ("gfdl", "notice", r"with no invariant sections,? (?:with )?no front-cover texts", "invariant front-cover"),
+    ("mpl", "notice", r"this source code form is subject to the terms of the mozilla public licen[sc]e", "source subject mozilla"),
+    ("mpl", "notice", r"if a copy of the mpl was not distributed with this file", "mpl distributed file"),
+    ("epl", "notice", r"this program and the accompanying materials are made available under the terms of the eclipse", "accompanying eclipse"),
+    ("cddl", "notice", r"you may not use this file except in compliance with the common development and distribution", "compliance development distribution"),
+    ("artistic", "notice", r"this is free software;? you can redistribute it (?:and/or modify it )?under the same terms as perl", "free redistribute perl"),
+    ("unlicense", "notice", r"this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("wtfpl", "notice", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document", "verbatim modified document"),
+    ("fsf-verbatim", "notice", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document", "verbatim copies document"),
+    ("cc0", "notice", r"to the extent possible under law,? .{1,160}? waived all copyright", "extent law waived"),
+    ("cc0", "notice", r"no rights reserved", "no rights reserved"),
+    ("public-domain", "notice", r"(?:this work|the author) (?:is|has been|hereby) (?:dedicated|dedicates|released|placed)[\w ]{0,40}? public domain", "public domain"),
+    ("cc-by", "notice", r"this (?:work|article|page|content|text|photo) is licen[sc]ed under a creative commons attribution", "creative commons attribution"),
+    ("creative-commons", "notice", r"some rights reserved", "some rights reserved"),
+    ("creative-commons", "mention", r"creative commons licen[sc]es?", "creative commons"),
+    ("ofl", "notice", r"the fonts and derivatives,? however,? cannot be released under any other type of licen[sc]e", "fonts derivatives released"),
+    ("odbl", "notice", r"contents of this database are licensed under", "contents database"),
+    ("crown-copyright", "notice", r"(?:©|\(c\)|\bcontains)? ?crown copyright", "crown copyright"),
+    ("open-government", "title", r"open government licen[sc]e(?:,? v?\.? ?\d(?:\.\d)?)?", "open government"),
+    ("gnu-all-permissive", "notice", r"copying and distribution of this file, with or without modification, are permitted in any medium", "copying modification medium"),
+    ("beerware", "notice", r"if we meet some day,? and you think this stuff is worth it", "some day stuff"),
+    ("trademark", "mention", r"(?:is a|are) (?:registered )?trademarks? of", "trademark"),
+    ("patent-pending", "mention", r"patents? pending", "patent pending"),
+    ("eula", "title", r"end[- ]user licen[sc]e agreement", "user agreement"),
+    ("terms-of-use", "mention", r"(?:by using this (?:site|website|service|software),? you agree to|subject to our terms of (?:use|service))", "agree|terms"),
+    ("public-license", "mention", r"\bpublic licen[sc]e", "public licen"),
+)
 
 
 def rules() -> list[Rule]:
@@ -103,16 +154,16 @@ def rules() -> list[Rule]:
     out = []
 
     def add(label: str, kind: str, pattern: str, needs: str) -> None:
-        flexible = _any_blanks(pattern)
-        # a|b in `needs` means that either string will do: one rule for each
-        for one in _alternatives(needs):
-            out.append(Rule(label, kind, frozenset(one), re.compile(rf"(?<!\w){flexible}")))
+        # a|b in `needs` means that either string will do
+        groups = tuple(frozenset(x.split("|")) for x in needs.split())
+        out.append(Rule(label, kind, groups, re.compile(rf"(?<!\w){_any_blanks(pattern)}")))
 
     for label, spdx, name, needs, versions, url in FAMILIES:
         for version in versions or ("",):
             tail = re.escape(f"-{version}") if version else ""
             add(label, "spdx", rf"spdx-license-identifier: ?{re.escape(spdx)}{tail}(?:-only|-or-later|\+)?(?![\w.-])", "spdx license")
-        add(label, "url", rf"(?:https?://)?(?:www\.)?{url}[\w./-]*", re.sub(r"\\?\..*", "", url.split("(?:joinup")[-1]).strip("(?:)") and _host_word(url))
+        if url:
+            add(label, "url", rf"(?:https?://)?(?:www\.)?{url}[\w./-]*", _host_word(url))
         for wording in NOTICES:
             for version in (*versions, ""):
                 number = rf",? (?:version |v\.? ?)?{re.escape(version).removesuffix(re.escape('.0'))}(?:\.0)?(?![\d.]*\d)" if version else ""
@@ -141,13 +192,6 @@ def _host_word(url: str) -> str:
     return host[-2] if len(host) > 1 else host[0]
 
 
-def _alternatives(needs: str) -> list[list[str]]:
-    out: list[list[str]] = [[]]
-    for word in needs.split():
-        out = [[*done, x] for done in out for x in word.split("|")]
-    return out
-
-
 def _hash(word: str) -> np.uint64:
     data = np.frombuffer(word.encode(), np.uint8)
     return w.hashes(data, np.array([0]), np.array([len(data)]))[0]
@@ -160,7 +204,7 @@ class Scanner:
 
     def __init__(self) -> None:
         self.rules = rules()
-        self.words = sorted({k for r in self.rules for k in r.keywords})
+        self.words = sorted({k for r in self.rules for group in r.keywords for k in group})
         self.chosen: dict[tuple[str, ...], list[int]] = {}  # rules by the keywords that a text contains
         self.phrases = [(label, [_hash(x) for x in phrase.split()]) for phrase, label in BASE.items()]
 
@@ -175,7 +219,7 @@ class Scanner:
         if present not in self.chosen:
             if len(self.chosen) > 5000:
                 self.chosen.clear()
-            self.chosen[present] = [i for i, r in enumerate(self.rules) if r.keywords <= set(present)]
+            self.chosen[present] = [i for i, r in enumerate(self.rules) if all(not group.isdisjoint(present) for group in r.keywords)]
         found = []
         for i in self.chosen[present]:
             r = self.rules[i]

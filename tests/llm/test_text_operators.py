@@ -130,6 +130,50 @@ def test_keywords_of_licenses_lose_no_match(spark):
         assert [(own.rules[i].label, a, b) for i, a, b in own.detect(text)] == [(own.rules[i].label, a, b) for i, a, b in every]
 
 
+#: A sentence for every rule that is written out, and the label it must bring.
+SENTENCES = {
+    "No part of this publication may be copied.": "reserved", "Unauthorised copying of this file is strictly prohibited.": "reserved", "Copyright by ACME": "copyright", "Redistribution is not permitted": "no-redistribution",
+    "for non-commercial use only": "no-commercial-use", "not for commercial purposes": "no-commercial-use", "for personal use only": "no-commercial-use",
+    "The above copyright notice and this permission notice shall be included in all copies": "permissive", "Redistributions of source code must retain the above copyright notice": "permissive",
+    "Neither the name of the University nor the names of its contributors may be used to endorse": "bsd-3-clause", "All advertising materials mentioning features or use of this software must display": "bsd-4-clause",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS": "bsd", "THE SOFTWARE IS PROVIDED “AS IS”, WITHOUT WARRANTY OF ANY KIND": "mit", "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+    "This software is provided 'as-is', without any express or implied warranty": "zlib", "Altered source versions must be plainly marked as such": "zlib", "to use, reproduce, display, distribute, execute, and transmit the Software": "boost",
+    "you may not use this file except in compliance with the License.": "apache", "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND": "apache", "Licensed to the Apache Software Foundation": "apache",
+    "This program is free software: you can redistribute it": "gpl", "either version 3 of the License, or (at your option) any later version": "gpl", "You should have received a copy of the GNU Affero General Public License": "gpl",
+    "without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE": "gpl", "with no Invariant Sections, no Front-Cover Texts": "gfdl", "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
+    "If a copy of the MPL was not distributed with this file": "mpl", "This program and the accompanying materials are made available under the terms of the Eclipse": "epl", "you can use; this is free software; you can redistribute it under the same terms as Perl": "artistic",
+    "This is free and unencumbered software released into the public domain": "unlicense", "Everyone is permitted to copy and distribute verbatim copies of this license document": "fsf-verbatim", "To the extent possible under law, the author has waived all copyright": "cc0",
+    "no rights reserved": "cc0", "This work is dedicated to the public domain": "public-domain", "This article is licensed under a Creative Commons Attribution": "cc-by", "some rights reserved": "creative-commons",
+    "The fonts and derivatives, however, cannot be released under any other type of license": "ofl", "contents of this database are licensed under": "odbl", "© Crown copyright": "crown-copyright", "Open Government Licence v3.0": "open-government",
+    "Copying and distribution of this file, with or without modification, are permitted in any medium": "gnu-all-permissive", "If we meet some day, and you think this stuff is worth it": "beerware", "X is a registered trademark of Y": "trademark",
+    "patents pending": "patent-pending", "End-User License Agreement": "eula", "By using this site, you agree to": "terms-of-use", "some Public Licence": "public-license", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl", "see www.apache.org/licenses/LICENSE-2.0": "apache",
+}
+
+
+def test_license_labels_and_score_are_those_of_brute_force(spark, sf):
+    """All regexes on all texts, each match against all others, and the score's formula."""
+    own = licenses.Scanner.get()
+    texts = [*SENTENCES, "Under the MIT License or GPL v2; all rights reserved. CC BY-SA 4.0, (c) 2020, general public license", "CC BY " * 50, None]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    got = {r["doc_id"]: r for r in licenses.digest(docs(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        found = [(licenses.PRIORITY[r.kind], m.start(), m.end(), r) for r in own.rules for m in r.regex.finditer((text or "").lower())]
+        stand = [x for x in found if not any(y[1] <= x[1] and y[2] >= x[2] and (y[0] < x[0] or (y[0] == x[0] and (y[1], y[2]) != (x[1], x[2]))) for y in found)]
+        spans = {}
+        for p, a, b, r in stand:  # of equal spans the first rule's
+            spans.setdefault((a, b), (p, r))
+        best = {}
+        for _, r in spans.values():
+            best[r.label] = max(best.get(r.label, 0), licenses.CERTAINTY[r.kind])
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        doubt = 0.5 ** len(base)
+        for c in best.values():
+            doubt *= 1 - c
+        assert got[i]["labels"] == ",".join(sorted(base | set(best))) and got[i]["score"] == pytest.approx(1 - doubt), text
+        if text in SENTENCES:
+            assert SENTENCES[text] in best, text
+
+
 def test_license_base_is_that_of_brute_force(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: tuple(r[1:6]) for r in licenses.digest(table).collect()}
