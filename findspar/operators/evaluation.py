@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,35 @@ def grade_facts(facts: DataFrame, replies: DataFrame, extra_wrong: DataFrame) ->
     return graded.select("query_id", score.alias("score"), (score == 1.0).alias("correct"))
 
 
+UNRELATED, UNSURE = "The weather is nice today.", "I don't know."
+
+
+def check_cases(items: DataFrame) -> DataFrame:
+    """Answers whose grade is known, to check a grader with: (query_id, case, answer, expected) from items (query_id, answer, facts).
+
+    The reference answer has all facts, an unrelated one and "I don't know" have none,
+    and the first fact alone has its share.
+    """
+    n = F.size("facts")
+    cases = F.array(
+        F.struct(F.lit("reference").alias("case"), F.col("answer").alias("answer"), F.lit(1.0).alias("expected")),
+        F.struct(F.lit("unrelated").alias("case"), F.lit(UNRELATED).alias("answer"), F.lit(0.0).alias("expected")),
+        F.struct(F.lit("unsure").alias("case"), F.lit(UNSURE).alias("answer"), F.lit(0.0).alias("expected")),
+        F.struct(F.lit("first_fact").alias("case"), F.get("facts", F.lit(0)).alias("answer"), (1.0 / n).alias("expected")),
+    )
+    return items.where(n > 0).select("query_id", "facts", F.explode(cases).alias("c")).select("query_id", "facts", "c.*")
+
+
+def grader_check(items: DataFrame, grade: Callable[[Column, Column], Column]) -> DataFrame:
+    """(case, cases, agreed): how often a grader gives the answers of `check_cases` the share of facts that they have.
+
+    `grade` maps an answer and a fact to `present`, `missing` or `contradicted`.
+    """
+    each = check_cases(items).select("query_id", "case", "answer", "expected", F.explode("facts").alias("fact")).withColumn("status", grade(F.col("answer"), F.col("fact")))
+    graded = each.groupBy("query_id", "case", "expected").agg(F.when(F.bool_or(F.col("status") == "contradicted"), 0.0).otherwise(F.avg((F.col("status") == "present").cast("double"))).alias("score"))
+    return graded.groupBy("case").agg(F.count("*").alias("cases"), F.count_if(F.abs(F.col("score") - F.col("expected")) < 1e-9).alias("agreed"))
+
+
 def confusion(judged: DataFrame) -> DataFrame:
     """Counts of (label, verdict)."""
     return judged.groupBy("label", "verdict").agg(F.count("*").alias("n"))
@@ -108,18 +139,31 @@ def judge_errors(judged: DataFrame) -> DataFrame:
 
 
 def summary(records: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Metrics over questions (expected, shown, correct, faithfulness, seconds, error, tokens); nulls don't count."""
+    """The metrics of a run over its questions; nulls don't count.
+
+    records: expected (answer, not_found or clarify_or_cover), shown, error, correct,
+    fact_score, wrong_fact, faithfulness, citation_accuracy, acceptable, tokens, seconds,
+    and how many pieces of evidence there are (evidence), in the first five hits (in5)
+    and in the first twenty (in20).
+    """
 
     def mean(value: Column, on: Column) -> Column:
         return F.round(F.avg(F.when(on, value.cast("double"))), 3)
 
     answerable, shown = F.col("expected") == "answer", F.col("shown")
+
+    def share(found: str) -> Column:
+        return F.try_divide(F.sum(F.when(answerable, F.col(found))), F.sum(F.when(answerable, F.col("evidence"))))
+
     seconds = F.sort_array(F.collect_list(F.when(~F.col("error"), F.col("seconds"))))
     return records.groupBy(*(by or [])).agg(
-        F.count("*").alias("questions"), F.count_if(F.col("error")).alias("errors"), mean(shown, answerable).alias("answer_rate"),
-        mean(shown & F.coalesce("correct", F.lit(False)), answerable).alias("fully_correct"), mean(F.col("faithfulness"), answerable & shown).alias("faithfulness"),
+        F.count("*").alias("questions"), F.count_if(F.col("error")).alias("errors"),
+        F.round(share("in5"), 3).alias("evidence_recall_top5"), F.round(share("in20"), 3).alias("evidence_recall_top20"), mean(F.col("in5") > 0, answerable).alias("hit_top5"),
+        mean(shown, answerable).alias("answer_rate"), mean(shown & F.coalesce("correct", F.lit(False)), answerable).alias("fully_correct"),
+        mean(F.col("fact_score"), answerable & shown).alias("fact_coverage"), mean(F.col("wrong_fact"), answerable & shown).alias("wrong_fact_rate"),
+        mean(F.col("faithfulness"), answerable & shown).alias("faithfulness"), mean(F.col("citation_accuracy"), answerable & shown).alias("citation_accuracy"),
         mean(~shown & ~F.col("error"), answerable).alias("withheld_rate"), F.count_if(answerable & ~shown & ~F.col("error") & F.coalesce("correct", F.lit(False))).alias("withheld_but_correct"),
-        mean(F.col("acceptable"), F.col("expected") == "not_found").alias("no_answer_handled"), F.round(F.avg("tokens"), 3).alias("tokens_per_question"),
+        mean(F.col("acceptable"), F.col("expected") == "not_found").alias("no_answer_handled"), mean(F.col("acceptable"), F.col("expected") == "clarify_or_cover").alias("ambiguous_handled"), F.round(F.avg("tokens"), 3).alias("tokens_per_question"),
         F.element_at(seconds, (F.floor(F.size(seconds) / 2) + 1).cast("int")).alias("seconds_p50"),
         F.element_at(seconds, F.least(F.size(seconds), F.floor(F.size(seconds) * 0.95) + 1).cast("int")).alias("seconds_p95"),
     )

@@ -62,6 +62,16 @@ def sync_plan(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return have.join(want, ["doc_id", "chunk_id"], "full").select("doc_id", "chunk_id", action.alias("action"))
 
 
+def to_remove(indexed: DataFrame, keep: DataFrame) -> DataFrame:
+    """(doc_id): indexed documents that a seed's list doesn't name."""
+    return indexed.select("doc_id").distinct().join(keep.select("doc_id"), "doc_id", "left_anti")
+
+
+def missing_passages(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits whose passage isn't in the table any more: they are left out of results, and reported."""
+    return hits.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+
+
 def orphans(duplicates: DataFrame, removed: DataFrame) -> DataFrame:
     """Skipped copies of passages that go: they are candidates again."""
     return duplicates.join(removed.select(F.col("chunk_id").alias("duplicate_of")), "duplicate_of", "left_semi")
@@ -131,6 +141,11 @@ def embed_misses(texts: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
     return keyed.groupBy("key").agg(F.first("text").alias("text")).join(cache.select("key"), "key", "left_anti")
 
 
+def cached(cache: DataFrame, made: DataFrame) -> DataFrame:
+    """The embedding cache with the vectors (key, vector) of what it lacked."""
+    return cache.unionByName(made.select(*cache.columns).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti"))
+
+
 def also_appears_in(duplicates: DataFrame, shown: DataFrame) -> DataFrame:
     """Where else the texts of shown passages (chunk_id) occur: the copies that were skipped for them, by duplicate_of."""
     return duplicates.join(shown.select(F.col("chunk_id").alias("duplicate_of")).distinct(), "duplicate_of", "left_semi")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,42 +43,66 @@ def daily_counts(events: DataFrame, per_day: int, ts: str = "ts", slot: int = 30
 def admit(events: DataFrame, per_hour: int, visitor: str = "user_id", event_id: str = "event_id", ts: str = "ts") -> DataFrame:
     """(event_id, admitted, retry_after): only admitted events count against the limit, so a visitor's are walked in order.
 
-    A group is one visitor's events.
+    They stream through one task, sorted by the shuffle; what is held are the times of
+    the visitor's admitted events of the last hour, `per_hour` at most.
     """
+    kind = dict(events.dtypes)[event_id]
+    rows = events.select(F.col(event_id).alias("event_id"), F.col(visitor).alias("visitor"), micros(ts).alias("t")).repartition("visitor").sortWithinPartitions("visitor", "t", "event_id")
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "event_id"])
-        taken: deque[int] = deque()
-        out = []
-        for event, t in zip(rows["event_id"], rows["t"], strict=True):
-            while taken and taken[0] <= t - HOUR * 1_000_000:
-                taken.popleft()
-            ok = len(taken) < per_hour
-            out.append((event, ok, None if ok else (taken[0] + HOUR * 1_000_000 - t) // 1_000_000 + 1))
-            if ok:
-                taken.append(t)
-        return pd.DataFrame(out, columns=["event_id", "admitted", "retry_after"]).astype({"retry_after": "Int64"})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, taken = object(), deque()
+        for batch in batches:
+            admitted, wait = [], []
+            for who, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if who != own:
+                    own, taken = who, deque()
+                while taken and taken[0] <= t - HOUR * 1_000_000:
+                    taken.popleft()
+                ok = len(taken) < per_hour
+                admitted.append(ok)
+                wait.append(None if ok else (taken[0] + HOUR * 1_000_000 - t) // 1_000_000 + 1)
+                if ok:
+                    taken.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(admitted, pa.bool_()), pa.array(wait, pa.int64())], names=["event_id", "admitted", "retry_after"])
+
+    return rows.mapInArrow(walk, f"event_id {kind}, admitted boolean, retry_after bigint")
 
-    kind = dict(events.dtypes)[event_id]
-    rows = events.select(F.col(event_id).alias("event_id"), F.col(visitor).alias("visitor"), micros(ts).alias("t"))
-    return rows.groupBy("visitor").applyInPandas(walk, f"event_id {kind}, admitted boolean, retry_after bigint")
+
+#: Statuses of answers that are worth keeping.
+CACHEABLE = ("answered", "partial", "not_found")
 
 
 def cache_hits(requests: DataFrame, key: list[str], ttl: int = HOUR, ts: str = "ts", unique: str = "event_id") -> DataFrame:
     """requests with `hit`: whether an answer stored in the last `ttl` seconds is there; a miss stores one, a hit doesn't renew it.
 
     A stored answer serves until it's older than the ttl, so misses follow each other by
-    more than it: an iteration over a key's times, done as a fold over the sorted array.
+    more than it.  With a column `status` only answers of the `CACHEABLE` ones are
+    stored, and the version of the index belongs into the key.  A key's requests stream
+    through one task in order of time, sorted by the shuffle: what is held is the time
+    of the last stored answer, however many requests there are.
     """
-    rows = requests.withColumn("_t", micros(ts))
-    stored = F.aggregate(
-        F.col("times"), F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("misses")),
-        lambda s, t: F.when(s["at"].isNull() | (t - s["at"] > ttl * 1_000_000), F.struct(t.alias("at"), F.concat(s["misses"], F.array(t)).alias("misses"))).otherwise(s),
-    )
-    misses = rows.groupBy(*key).agg(F.array_sort(F.array_distinct(F.collect_list("_t"))).alias("times")).select(*key, F.explode(stored["misses"]).alias("_t"))
-    first = F.row_number().over(Window.partitionBy(*key, "_t").orderBy(unique)) == 1
-    joined = rows.withColumn("_first", first).join(misses.withColumn("_miss", F.lit(True)), [*key, "_t"], "left")
-    return joined.withColumn("hit", ~(F.coalesce("_miss", F.lit(False)) & F.col("_first"))).drop("_t", "_miss", "_first")
+    names = [*key, ts, unique, *(["status"] if "status" in requests.columns else [])]
+    rows = requests.select(*dict.fromkeys(names)).withColumn("_t", micros(ts)).repartition(*key).sortWithinPartitions(*key, "_t", unique)
+    kind = dict(requests.dtypes)[unique]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, stored = None, None
+        for batch in batches:
+            keys = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in key], strict=True))
+            times = batch.column(batch.schema.get_field_index("_t")).to_pylist()
+            keep = [s in CACHEABLE for s in batch.column(batch.schema.get_field_index("status")).to_pylist()] if "status" in names else [True] * len(times)
+            hits = []
+            for k, t, ok in zip(keys, times, keep, strict=True):
+                if k != own:
+                    own, stored = k, None
+                hit = stored is not None and t is not None and t - stored <= ttl * 1_000_000
+                if not hit and ok:
+                    stored = t
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(unique)), pa.array(hits, pa.bool_())], names=["_unique", "hit"])
+
+    found = rows.mapInArrow(walk, f"_unique {kind}, hit boolean")
+    return requests.join(found, requests[unique] == found["_unique"]).drop("_unique")
 
 
 def live_uploads(uploads: DataFrame, now: Column, ttl: int = HOUR, per_visitor: int = 3, total: int = 20, ts: str = "ts") -> DataFrame:

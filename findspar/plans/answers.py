@@ -67,6 +67,10 @@ def claim_status(spark, sf):
     return _verified(spark, sf).select("answer_id", "claim_no", "kind", "status")
 
 
+def flagged_claims(spark, sf):
+    return A.flagged(_verified(spark, sf)).select("answer_id", "claim_no", "status")
+
+
 def claim_counts(spark, sf):
     return A.claim_counts(_verified(spark, sf)).withColumn("coverage", F.round("coverage", 6))
 
@@ -103,12 +107,14 @@ def _records(spark, sf) -> DataFrame:
     d = F.col("doc_id")
     rows = spark.read.parquet(f"{sf}/labels.parquet").join(docs(spark, sf).select("doc_id", "source", "n_chars"), "doc_id")
     return rows.select(
-        "source", F.when(F.col("toxic") == 1, "not_found").otherwise("answer").alias("expected"), (d % 4 > 0).alias("shown"), (F.col("quality") == 1).alias("correct"), F.when(d % 3 > 0, (d % 10) / 10.0).alias("faithfulness"),
+        "source", F.when(F.col("toxic") == 1, "not_found").when(d % 13 == 0, "clarify_or_cover").otherwise("answer").alias("expected"), (d % 4 > 0).alias("shown"), (F.col("quality") == 1).alias("correct"), F.when(d % 3 > 0, (d % 10) / 10.0).alias("faithfulness"),
         (F.col("n_chars") / 1000.0).alias("seconds"), (d % 17 == 0).alias("error"), F.when(d % 2 == 0, F.col("n_chars").cast("double")).alias("tokens"), F.when(d % 5 > 0, d % 5 > 1).alias("acceptable"),
+        F.when(d % 4 > 1, (d % 7) / 7.0).alias("fact_score"), F.when(d % 4 > 1, d % 7 == 3).alias("wrong_fact"), F.when(d % 6 > 0, (d % 6) / 6.0).alias("citation_accuracy"),
+        (d % 3 + 1).alias("evidence"), (d % 3).alias("in5"), F.greatest(d % 3, F.lit(1)).alias("in20"),
     )
 
 
-METRICS = ["answer_rate", "fully_correct", "faithfulness", "withheld_rate", "no_answer_handled", "seconds_p50", "seconds_p95"]
+METRICS = ["evidence_recall_top5", "hit_top5", "fact_coverage", "wrong_fact_rate", "citation_accuracy", "ambiguous_handled", "answer_rate", "fully_correct", "faithfulness", "withheld_rate", "no_answer_handled", "seconds_p50", "seconds_p95"]
 
 
 def eval_summary(spark, sf):
@@ -146,6 +152,13 @@ def grade_facts(spark, sf):
     return evaluation.grade_facts(facts, replies.union(again), wrong).withColumn("score", F.round("score", 6))
 
 
+def grader_self_check(spark, sf):
+    """Conversations' opening turns as reference answers, their first words as key facts; the grader looks for the words themselves."""
+    t = turns(spark, sf).where("turn = 0")
+    items = t.select(F.col("conv_id").alias("query_id"), F.col("text").alias("answer"), F.slice(F.split("text", " "), 1, 3).alias("facts"))
+    return evaluation.grader_check(items, lambda answer, fact: F.when(F.contains(answer, fact), "present").otherwise("missing"))
+
+
 def stratified_split(spark, sf):
     return evaluation.split(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "quality").select("doc_id", "quality", "split")
 
@@ -164,7 +177,7 @@ def snapshot_diff(spark, sf):
     return evaluation.snapshot_diff(before, after, "doc_id", "digest")
 
 
-QUERIES = {f.__name__: f for f in (parse_citations, claims_split, judge_batches, claim_status, claim_counts, quote_in_passage, confidence_score, status_ladder, eval_summary, spread, judge_confusion, judge_errors, grade_facts, stratified_split, seeded_sample, snapshot_diff)}
+QUERIES = {f.__name__: f for f in (parse_citations, claims_split, judge_batches, claim_status, flagged_claims, claim_counts, quote_in_passage, confidence_score, status_ladder, eval_summary, spread, judge_confusion, judge_errors, grade_facts, grader_self_check, stratified_split, seeded_sample, snapshot_diff)}
 
 VERIFIED = f"""
 a AS (SELECT conv_id || '-' || turn AS answer_id, conv_id, turn, string_split(text, chr(10)) AS l FROM conversations WHERE role = 'assistant'),
@@ -182,9 +195,13 @@ l AS (SELECT doc_id AS d, quality, toxic, CASE WHEN doc_id % 5 > 0 THEN (doc_id
 o AS (SELECT *, coalesce(1 / (1 + exp(-(logit + 3.0) / 1.4)), 1 / (1 + exp(-(dense - 0.77) / 0.015)), 0) AS relevance, CASE WHEN logit IS NOT NULL THEN 'rerank' WHEN dense IS NOT NULL THEN 'dense' ELSE 'none' END AS signal FROM l)
 """
 RECORDS = """
-r AS (SELECT d.source, CASE WHEN toxic = 1 THEN 'not_found' ELSE 'answer' END AS expected, doc_id % 4 > 0 AS shown, quality = 1 AS correct, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS faithfulness,
-    n_chars / 1000.0::DOUBLE AS seconds, doc_id % 17 = 0 AS error, CASE WHEN doc_id % 2 = 0 THEN n_chars::DOUBLE END AS tokens, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 > 1 END AS acceptable FROM labels JOIN documents d USING (doc_id)),
-summary AS (SELECT source, count(*) AS questions, count(*) FILTER (error) AS errors, round(avg(shown::INT) FILTER (expected = 'answer'), 3) AS answer_rate, round(avg((shown AND correct)::INT) FILTER (expected = 'answer'), 3) AS fully_correct,
+r AS (SELECT d.source, CASE WHEN toxic = 1 THEN 'not_found' WHEN doc_id % 13 = 0 THEN 'clarify_or_cover' ELSE 'answer' END AS expected, doc_id % 4 > 0 AS shown, quality = 1 AS correct, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS faithfulness,
+    n_chars / 1000.0::DOUBLE AS seconds, doc_id % 17 = 0 AS error, CASE WHEN doc_id % 2 = 0 THEN n_chars::DOUBLE END AS tokens, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 > 1 END AS acceptable,
+    CASE WHEN doc_id % 4 > 1 THEN (doc_id % 7) / 7.0::DOUBLE END AS fact_score, CASE WHEN doc_id % 4 > 1 THEN doc_id % 7 = 3 END AS wrong_fact, CASE WHEN doc_id % 6 > 0 THEN (doc_id % 6) / 6.0::DOUBLE END AS citation_accuracy,
+    doc_id % 3 + 1 AS evidence, doc_id % 3 AS in5, greatest(doc_id % 3, 1) AS in20 FROM labels JOIN documents d USING (doc_id)),
+summary AS (SELECT source, count(*) AS questions, count(*) FILTER (error) AS errors, round(sum(in5) FILTER (expected = 'answer') / sum(evidence) FILTER (expected = 'answer'), 3) AS evidence_recall_top5, round(sum(in20) FILTER (expected = 'answer') / sum(evidence) FILTER (expected = 'answer'), 3) AS evidence_recall_top20,
+    round(avg((in5 > 0)::INT) FILTER (expected = 'answer'), 3) AS hit_top5, round(avg(fact_score) FILTER (expected = 'answer' AND shown), 3) AS fact_coverage, round(avg(wrong_fact::INT) FILTER (expected = 'answer' AND shown), 3) AS wrong_fact_rate,
+    round(avg(citation_accuracy) FILTER (expected = 'answer' AND shown), 3) AS citation_accuracy, round(avg(acceptable::INT) FILTER (expected = 'clarify_or_cover'), 3) AS ambiguous_handled, round(avg(shown::INT) FILTER (expected = 'answer'), 3) AS answer_rate, round(avg((shown AND correct)::INT) FILTER (expected = 'answer'), 3) AS fully_correct,
     round(avg(faithfulness) FILTER (expected = 'answer' AND shown), 3) AS faithfulness, round(avg((NOT shown AND NOT error)::INT) FILTER (expected = 'answer'), 3) AS withheld_rate,
     count(*) FILTER (expected = 'answer' AND NOT shown AND NOT error AND correct) AS withheld_but_correct, round(avg(acceptable::INT) FILTER (expected = 'not_found'), 3) AS no_answer_handled, round(avg(tokens), 3) AS tokens_per_question,
     list_sort(list(seconds) FILTER (NOT error)) AS s FROM r GROUP BY source),
@@ -213,6 +230,11 @@ SQL = {
         SELECT answer_id, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 20), ',') AS valid, array_to_string(list_filter(n, lambda x: x < 1 OR x > 20), ',') AS invalid
         FROM (SELECT answer_id, list_sort(n) AS n FROM n)""",
     "claim_status": f"WITH {VERIFIED} SELECT * FROM verified",
+    "flagged_claims": f"WITH {VERIFIED} SELECT answer_id, claim_no, status FROM verified WHERE status IN ('partial', 'unsupported', 'uncited', 'unchecked')",
+    "grader_self_check": """WITH i AS (SELECT conv_id, text, string_split(text, ' ')[1 : 3] AS f FROM conversations WHERE turn = 0),
+        c AS (SELECT conv_id, f, unnest(['reference', 'unrelated', 'unsure', 'first_fact']) AS "case", unnest([text, 'The weather is nice today.', 'I don''t know.', f[1]]) AS answer, unnest([1.0::DOUBLE, 0.0, 0.0, 1.0::DOUBLE / len(f)]) AS expected FROM i),
+        g AS (SELECT *, len(list_filter(f, lambda x: contains(answer, x))) / len(f)::DOUBLE AS score FROM c)
+        SELECT "case", count(*) AS cases, count(*) FILTER (abs(score - expected) < 1e-9) AS agreed FROM g GROUP BY 1""",
     "claim_counts": f"""WITH {VERIFIED} SELECT answer_id, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("supported", "partial", "unsupported", "uncited", "gap", "unchecked"))},
         round((count(*) FILTER (status = 'supported') + 0.5::DOUBLE * count(*) FILTER (status = 'partial')) / count(*), 6) AS coverage FROM verified GROUP BY answer_id""",
     "quote_in_passage": rf"""WITH q AS (SELECT conv_id, list_filter(list_transform(string_split_regex(regexp_replace({S.folded("text")}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\.\.\.|…'), lambda p: array_to_string(regexp_extract_all(p, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+'), ' ')), lambda p: p <> '') AS parts FROM conversations WHERE turn = 0)

@@ -16,6 +16,7 @@ from findspar.operators import dedup, index
 from findspar.plans import _sql as S
 from findspar.plans.texts import docs, fixed_chunks
 from findspar.session import ensure_checkpoints
+from findspar.sources import corpus
 
 
 def _signed(spark, sf) -> DataFrame:
@@ -94,7 +95,35 @@ def embed_misses(spark, sf):
     return index.embed_misses(d.select("text"), cache, key).select("key", F.length("text").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (shingle_pairs, duplicate_classes, dedup_admission, index_sync_plan, document_listing, documents_page, collection_sizes, check_sync, embed_misses)}
+def store_refresh(spark, sf):
+    """A store of three languages' documents meets an ingest of two: some files fail by rule, one source's are deleted."""
+    d = docs(spark, sf)
+
+    def parsed(rows: DataFrame, text: F.Column, bad: F.Column) -> DataFrame:
+        name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+        made = F.struct(text.alias("text"), F.col("source").alias("heading"), F.lit(None).cast("int").alias("page"))
+        return rows.select(name.alias("source"), F.col("doc_id").cast("string").alias("doc_id"), F.sha2(text, 256).alias("sha256"), F.when(~bad, F.array(made)).alias("sections"), F.when(bad, "ValueError: no text").alias("error"))
+
+    before = parsed(d.where("lang in ('en', 'de', 'fr')"), F.col("text"), F.col("doc_id") % 11 == 0)
+    fresh = parsed(d.where("lang in ('de', 'es')"), F.concat(F.lit("new "), "text"), F.col("doc_id") % 7 == 0)
+    gone = before.where("source like 'src0/%'").select("source")
+    now = corpus.stored(before, fresh, gone)
+    return now.select("source", "doc_id", "sha256", F.md5(F.encode(F.get("sections", F.lit(0))["text"], "UTF-8")).alias("text"), "error")
+
+
+def kept_documents(spark, sf):
+    """Documents that go when a seed names the English ones only."""
+    d = docs(spark, sf)
+    return index.to_remove(d.select("doc_id"), d.where("lang = 'en'").select("doc_id"))
+
+
+def missing_passages(spark, sf):
+    """Vectors as hits, documents as the table."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select((F.col("vec_id") * 3).alias("chunk_id"), F.col("label").alias("query_id"))
+    return index.missing_passages(v, docs(spark, sf).select(F.col("doc_id").alias("chunk_id"))).select("query_id", "chunk_id")
+
+
+QUERIES = {f.__name__: f for f in (shingle_pairs, duplicate_classes, dedup_admission, index_sync_plan, document_listing, documents_page, collection_sizes, check_sync, embed_misses, store_refresh, kept_documents, missing_passages)}
 
 CLASSES = f"""
 w AS (SELECT doc_id, {S.words("text")} AS w, {S.facts("text")} AS f FROM documents WHERE length(text) >= 120),
@@ -111,6 +140,12 @@ LISTED = f"""{TABLES}, ids AS (SELECT doc_id, source FROM main UNION SELECT doc_
 listed AS (SELECT i.doc_id, min(i.source) AS source, coalesce(any_value(m.n), 0) AS chunks, coalesce(any_value(d.n), 0) AS duplicates FROM ids i
     LEFT JOIN (SELECT doc_id, count(*) AS n FROM main GROUP BY doc_id) m ON m.doc_id = i.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM copies GROUP BY doc_id) d ON d.doc_id = i.doc_id GROUP BY i.doc_id)"""
 SQL = {
+    "store_refresh": """WITH b AS (SELECT source || '/' || doc_id AS s, doc_id, text, doc_id % 11 = 0 AS bad FROM documents WHERE lang IN ('en', 'de', 'fr')), f AS (SELECT source || '/' || doc_id AS s, doc_id, 'new ' || text AS text, doc_id % 7 = 0 AS bad FROM documents WHERE lang IN ('de', 'es')),
+        j AS (SELECT coalesce(f.s, b.s) AS source, coalesce(f.doc_id, b.doc_id)::VARCHAR AS doc_id, f.s IS NOT NULL AND NOT (f.bad AND b.s IS NOT NULL AND NOT b.bad) AS new, f.text AS ft, b.text AS bt, f.bad AS fb, b.bad AS bb, f.s IS NOT NULL AS seen FROM f FULL JOIN b ON f.s = b.s)
+        SELECT source, doc_id, sha256(CASE WHEN new THEN ft ELSE bt END) AS sha256, md5(CASE WHEN new THEN CASE WHEN NOT fb THEN ft END WHEN NOT bb THEN bt END) AS text, CASE WHEN CASE WHEN seen THEN fb ELSE bb END THEN 'ValueError: no text' END AS error FROM j
+        WHERE source NOT LIKE 'src0/%' OR source NOT IN (SELECT s FROM b)""",
+    "kept_documents": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "missing_passages": "SELECT label AS query_id, vec_id * 3 AS chunk_id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)",
     "shingle_pairs": f"WITH {PAIRS} SELECT id_a, id_b, round(similarity, 6) AS similarity FROM pairs",
     "duplicate_classes": f"""WITH {CLASSES} SELECT doc_id, head AS class_id, members FROM (SELECT doc_id, md5(array_to_string(s, '|') || '#' || array_to_string(f, ' ')) AS class FROM s) JOIN c USING (class)""",
     "dedup_admission": f"""WITH RECURSIVE {PAIRS},

@@ -99,6 +99,36 @@ def hybrid_degraded(spark, sf):
     return found.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("bigint").alias("rank"), F.array_join("degraded", ",").alias("degraded"))
 
 
+def _halves(q: DataFrame) -> DataFrame:
+    """Each question's two halves as its rewritten queries."""
+    words = F.split("text", " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    parts = F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))
+    return q.select("query_id", F.posexplode(parts).alias("part", "query")).select("query_id", F.col("part"), "query")
+
+
+WEAK = 6.0
+
+
+def search_rewritten(spark, sf):
+    """Keyword search and reranking; questions whose best hit is below WEAK are searched again by their halves, but every fifth has no rewrite."""
+    tokens = search.tokenised(docs(spark, sf), "doc_id", "text", None, search.asked_tokens(questions(spark, sf)))
+    posted, stats = search.postings(tokens), search.corpus_statistics(tokens)
+    passages = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("passage"))
+
+    def retrieve(asked: DataFrame) -> DataFrame:
+        return search.hybrid(asked, None, search.sparse(asked, posted, stats), passages)
+
+    found = search.searched(questions(spark, sf), retrieve, lambda q: _halves(q.where("query_id % 5 <> 0")), WEAK)
+    return found.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("bigint").alias("rank"), F.array_join("degraded", ",").alias("degraded"), F.size("queries").cast("bigint").alias("queries"))
+
+
+def question_problems(spark, sf):
+    """Conversation turns as questions, some blank by rule."""
+    t = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("text", F.when(F.col("turn") % 9 == 8, F.lit("  ")).when(F.col("turn") % 7 == 6, F.lit(None)).when(F.col("turn") % 5 == 4, F.repeat("text", 20)).otherwise(F.col("text")))
+    return t.select("conv_id", "turn", search.problem(F.col("text")).alias("problem")).where("problem is not null")
+
+
 def merge_rewritten(spark, sf):
     """Each question's two halves as rewritten queries; their hits scored against the whole question."""
     q = questions(spark, sf)
@@ -134,7 +164,7 @@ def retrieval_metrics(spark, sf):
 
 
 def leakage_pairs(spark, sf):
-    return evaluation.leaks(questions(spark, sf), 0.2)
+    return evaluation.leaks(questions(spark, sf), 0.11)
 
 
 def absence_check(spark, sf):
@@ -144,7 +174,7 @@ def absence_check(spark, sf):
     return evaluation.absent_terms(terms, docs(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (bm25_stats, sparse_topk, sparse_topk_collection, dense_topk, dense_topk_collection, rrf_hybrid, rrf_dense_only, rrf_sparse_only, rerank_topn, hybrid_degraded, merge_rewritten, passages_confidence, evidence_rank, retrieval_metrics, leakage_pairs, absence_check)}
+QUERIES = {f.__name__: f for f in (bm25_stats, sparse_topk, sparse_topk_collection, dense_topk, dense_topk_collection, rrf_hybrid, rrf_dense_only, rrf_sparse_only, rerank_topn, hybrid_degraded, search_rewritten, question_problems, merge_rewritten, passages_confidence, evidence_rank, retrieval_metrics, leakage_pairs, absence_check)}
 
 BOTH = S.SPARSE + "," + S.DENSE + "," + S.fused(("dense", 0.7), ("sparse", 0.3))
 OVERLAP = f"""
@@ -178,6 +208,24 @@ SQL = {
     "rrf_sparse_only": f"WITH {S.SPARSE},{S.fused(('sparse', 1.0))} SELECT query_id, chunk_id, round(score, 9) AS score, sparse_rank, fused_rank FROM fused",
     "rerank_topn": f"WITH {BOTH},{OVERLAP} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, rank FROM reranked",
     "hybrid_degraded": f"WITH {S.SPARSE},{S.fused(('sparse', 0.3))},{OVERLAP} SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, rank, 'dense_search_unavailable' AS degraded FROM reranked",
+    "question_problems": """SELECT conv_id, turn, CASE WHEN turn % 9 = 8 OR turn % 7 = 6 THEN 'empty query' ELSE 'query too long' END AS problem FROM conversations
+        WHERE turn % 9 = 8 OR turn % 7 = 6 OR length(CASE WHEN turn % 5 = 4 THEN repeat(text, 20) ELSE text END) > 2000""",
+    "search_rewritten": "WITH " + S.SPARSE.split("asked AS")[0] + f"""
+        halves AS (SELECT item_id, string_split(text, ' ') AS w, text FROM benchmark),
+        queries AS (SELECT item_id, 0 AS part, array_to_string(w[1 : len(w) // 2], ' ') AS t FROM halves UNION ALL SELECT item_id, 1, array_to_string(w[len(w) // 2 + 1 :], ' ') FROM halves UNION ALL SELECT item_id, 2, text FROM halves),
+        asked AS (SELECT item_id, part, token, count(*) AS times FROM (SELECT item_id, part, unnest({S.tokens("t")}) AS token FROM queries) GROUP BY ALL),
+        stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks), freq AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+        scored AS (SELECT item_id, part, post.doc_id AS chunk_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM asked JOIN post USING (token) JOIN freq USING (token), stats GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id, part ORDER BY round(score, 9) DESC, chunk_id) AS fused_rank FROM scored),
+        bag AS (SELECT doc_id, list_distinct({S.words("text")}) AS w FROM documents), ask AS (SELECT item_id, part, list_distinct({S.words("t")}) AS w FROM queries),
+        marked AS (SELECT r.item_id, r.part, r.chunk_id, r.fused_rank, 12.0::DOUBLE * len(list_intersect(ask.w, bag.w)) / greatest(len(ask.w), 1) - 6.0 AS x FROM r JOIN bag ON bag.doc_id = r.chunk_id JOIN ask ON ask.item_id = r.item_id AND ask.part = r.part WHERE fused_rank <= 10),
+        reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, part ORDER BY round(x, 9) DESC, fused_rank) AS rank FROM marked) WHERE rank <= 5),
+        weak AS (SELECT item_id FROM reranked WHERE part = 2 AND rank = 1 AND x < {WEAK}),
+        m AS (SELECT item_id, chunk_id, max(x) AS x, bool_or(rank = 1 AND part < 2) AS leads FROM reranked WHERE item_id IN (SELECT item_id FROM weak) AND item_id % 5 <> 0 GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY leads DESC, round(x, 9) DESC, chunk_id) AS rank FROM m)
+        SELECT item_id AS query_id, chunk_id, round(x, 6) AS rerank_score, rank, 'dense_search_unavailable' AS degraded, 2 AS queries FROM o WHERE rank <= 5
+        UNION ALL SELECT item_id, chunk_id, round(x, 6), rank, 'dense_search_unavailable' || CASE WHEN item_id IN (SELECT item_id FROM weak) THEN ',query_rewrite_failed' ELSE '' END, 0 FROM reranked
+        WHERE part = 2 AND (item_id NOT IN (SELECT item_id FROM weak) OR item_id % 5 = 0)""",
     "merge_rewritten": "WITH " + S.SPARSE.split("asked AS")[0] + f"""
         halves AS (SELECT item_id, string_split(text, ' ') AS w, text FROM benchmark),
         queries AS (SELECT item_id, 0 AS part, array_to_string(w[1 : len(w) // 2], ' ') AS t FROM halves UNION ALL SELECT item_id, 1, array_to_string(w[len(w) // 2 + 1 :], ' ') FROM halves UNION ALL SELECT item_id, 2, text FROM halves),
@@ -193,6 +241,6 @@ SQL = {
     "retrieval_metrics": f"""WITH {S.SPARSE},{EVIDENCE} SELECT count(*) AS questions, round(avg((coalesce(evidence_rank, 99) <= 5)::INT), 4) AS recall_at_5, round(avg((coalesce(evidence_rank, 99) <= 5)::INT), 4) AS hit_at_5,
         round(avg((coalesce(evidence_rank, 99) <= 5)::INT), 4) AS all_at_5, round(avg((coalesce(evidence_rank, 99) <= 20)::INT), 4) AS recall_at_20, round(avg(coalesce(1.0::DOUBLE / evidence_rank, 0)), 4) AS mrr FROM ranked""",
     "leakage_pairs": f"""WITH w AS (SELECT item_id, list_distinct({S.words("text")}) AS w FROM benchmark), p AS (SELECT a.item_id AS id_a, b.item_id AS id_b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM w a JOIN w b ON a.item_id < b.item_id)
-        SELECT id_a, id_b, round(k::DOUBLE / (na + nb - k), 4) AS similarity FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.2""",
+        SELECT id_a, id_b, round(k::DOUBLE / (na + nb - k), 4) AS similarity FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.11""",
     "absence_check": "WITH t AS (SELECT DISTINCT unnest([array_to_string(string_split(text, ' ')[1 : 3], ' '), substr(string_split(text, ' ')[2], 2, 4), '++', '%%']) AS term FROM benchmark) SELECT term FROM t WHERE term IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(t.term)))",
 }

@@ -22,12 +22,14 @@ PARSER_VERSION = "1"
 
 
 def listed(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
-    """(source, content, length) of the supported files below root; with a manifest (path), of those it names.
+    """(source, content, length) of the supported files below root; with a manifest (path), of those it names.  Files over MAX_BYTES have null content.
 
     `source` is the path below root.  A manifest entry without a file is an error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
-    files = files.withColumn("source", below(root)).select("source", "content", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/")).withColumn("source", below(root))
+    # the length is known from the listing: the bytes of too long files are never read
+    files = found.where(F.col("length") <= MAX_BYTES).select("source", "content", "length")
+    files = files.union(found.where(F.col("length") > MAX_BYTES).select("source", F.lit(None).cast("binary"), "length"))
     if manifest is None:
         return files.where(F.lower("source").rlike(r"\.(md|mdx|txt|html|htm|pdf)$"))
     missing = manifest.select(F.col("path").alias("source")).join(files.select("source"), "source", "left_anti").limit(5).collect()
@@ -51,13 +53,13 @@ def decoded(data: bytes) -> str:
     return "\n".join(text.replace("\r\n", "\n").split("\r"))
 
 
-def parse(source: str, data: bytes) -> list[dict]:
+def parse(source: str, data: bytes | None) -> list[dict]:
     name = source.rsplit("/", 1)[-1]
     stem, _, suffix = name.rpartition(".")
     suffix = f".{suffix.lower()}"
     if suffix not in SUFFIXES:
         raise ValueError(f"unsupported type {suffix}")
-    if len(data) > MAX_BYTES:
+    if data is None or len(data) > MAX_BYTES:
         raise ValueError("file too large")
     if suffix == ".pdf":
         raise ValueError("no PDF reader is bundled; give lines to sources.pdf")
@@ -99,9 +101,27 @@ def changed(files: DataFrame, parsed: DataFrame, version: str = PARSER_VERSION)
     return files.withColumn("sha256", F.sha2("content", 256)).join(parsed.where(F.col("parser_version") == version).select("source", "sha256"), ["source", "sha256"], "left_anti")
 
 
+def stored(before: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The store (source, doc_id, sha256, sections, error) after another ingest: parsed documents replace their source's, deleted sources (`gone`: source) go.
+
+    A document that can't be parsed any more keeps its last good sections, with the new
+    error beside them; so does its hash, and the file is tried again next time.
+    """
+    columns = ["source", "doc_id", "sha256", "sections", "error"]
+    old = before.select("source", *[F.col(c).alias(f"_{c}") for c in columns[1:]])
+    both = fresh.select(*columns).join(old, "source", "full")
+    failed = F.col("error").isNotNull() & F.col("_sections").isNotNull()
+    seen = F.col("doc_id").isNotNull()
+    out = both.select(
+        "source", F.coalesce("doc_id", "_doc_id").alias("doc_id"), F.when(seen & ~failed, F.col("sha256")).otherwise(F.col("_sha256")).alias("sha256"),
+        F.when(seen & ~failed, F.col("sections")).otherwise(F.col("_sections")).alias("sections"), F.when(seen, F.col("error")).otherwise(F.col("_error")).alias("error"),
+    )
+    return out if gone is None else out.join(gone.select("source"), "source", "left_anti")
+
+
 def section_rows(parsed: DataFrame) -> DataFrame:
     """(doc_id, source, section_no, text, heading, page) of parsed documents."""
-    return parsed.where("error is null").select("doc_id", "source", F.posexplode("sections").alias("section_no", "s")).select("doc_id", "source", "section_no", "s.text", "s.heading", "s.page")
+    return parsed.where("sections is not null").select("doc_id", "source", F.posexplode("sections").alias("section_no", "s")).select("doc_id", "source", "section_no", "s.text", "s.heading", "s.page")
 
 
 def utf8(content: Column) -> Column:

@@ -292,3 +292,52 @@ def test_boilerplate_brings_no_pairs_together(spark):
     runs = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in enumerate(texts)}
     assert got == {(a, b) for a in runs for b in runs if a < b and runs[a] != runs[b] and 10 * len(runs[a] & runs[b]) >= 9 * len(runs[a] | runs[b])} and got
     assert len(dedup.frequent_buckets(signed)) >= 26
+
+
+def test_ask_with_outcomes(spark):
+    q = spark.createDataFrame([(i, "how to renew?") for i in range(1, 6)], "query_id int, question string")
+    kind = "query_id int, rank int, source string, page int, heading string, text string, rerank_score double, dense_score double"
+    hits = spark.createDataFrame([(i, 1, "vpn.md", None, "Renew", "run the renew command", 3.0, 0.8) for i in range(1, 6)], kind)
+    parts = spark.createDataFrame([(1, 1.0, False, False), (2, 0.5, True, False), (3, 0.5, False, True), (4, 1.0, False, False)], "query_id int, completeness double, incomplete boolean, missing_part boolean")
+    failures = spark.createDataFrame([(4, "timeout", False), (1, None, True)], "query_id int, failed string, truncated boolean")
+    got = {r["query_id"]: r for r in answers.ask(q, hits, lambda p: F.lit("Run the renew command [1]."), parts=parts, failures=failures).collect()}
+    assert {i: r["code"] for i, r in got.items()} == {1: "answered", 2: "partial", 3: "answered", 4: "error.timeout", 5: "answered"}
+    assert "truncated" in got[1]["flags"] and got[1]["score"] <= 0.5 and "incomplete" in got[2]["flags"] and "missing_part" in got[3]["flags"] and "missing_part" in got[5]["flags"] and got[4]["answer"] is None
+
+
+def test_sources_get_their_texts(spark):
+    hits = spark.createDataFrame([(1, 2, "a", "H", "later"), (1, 1, "a", "H", "text")], "query_id int, rank int, source string, heading string, text string")
+    got = answers.with_texts(spark.createDataFrame([(1, "a", "H"), (1, "b", "H")], "query_id int, source string, heading string"), hits)
+    assert {r["source"]: r["text"] for r in got.collect()} == {"a": "text", "b": None}
+
+
+def test_only_good_answers_are_kept(spark):
+    rows = [(1, "q", 0, "error"), (2, "q", 60, "answered"), (3, "q", 120, "answered"), (4, "q", 3700, "unverified"), (5, "q", 3720, "answered"), (6, None, 0, "partial"), (7, None, 5, "error")]
+    e = spark.createDataFrame(rows, "event_id int, k string, s int, status string").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r["event_id"]: r["hit"] for r in limits.cache_hits(e, ["k"]).collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
+    assert limits.cache_hits(e.limit(0), ["k"]).count() == 0
+
+
+def test_search_without_an_index(spark):
+    q = spark.createDataFrame([(1,), (2,)], "query_id int")
+    assert [r["degraded"] for r in search.empty_index(q, q.limit(0)).collect()] == [["empty_index"]] * 2 and search.empty_index(q, q).count() == 0
+
+
+def test_cache_takes_each_key_once(spark):
+    kind = "key string, vector array<double>"
+    cache = spark.createDataFrame([("a", [1.0])], kind)
+    got = index.cached(cache, spark.createDataFrame([("a", [2.0]), ("b", [3.0]), ("b", [3.0])], kind))
+    assert sorted((r["key"], r["vector"]) for r in got.collect()) == [("a", [1.0]), ("b", [3.0])]
+
+
+def test_strategies(spark):
+    s = spark.createDataFrame([(1, "s", 0, "some text", "h", None)], "doc_id int, source string, section_no int, text string, heading string, page int")
+    assert chunking.chunked(s, "fixed").count() == 1
+    with pytest.raises(ValueError, match="unknown"):
+        chunking.chunked(s, "other")
+
+
+def test_metrics_by_strategy(spark):
+    rows = [("fixed", 1, 0, 3), ("fixed", 2, 0, None), ("whole", 1, 0, 1), ("whole", 2, 0, 7)]
+    got = {r["strategy"]: r for r in evaluation.retrieval_metrics(spark.createDataFrame(rows, "strategy string, query_id int, evidence_no int, evidence_rank int"), by=[F.col("strategy")]).collect()}
+    assert (got["fixed"]["recall_at_5"], got["whole"]["recall_at_20"], got["whole"]["mrr"]) == (0.5, 1.0, round((1 + 1 / 7) / 2, 4))

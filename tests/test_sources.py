@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from findspar.operators import index
@@ -161,3 +162,35 @@ def test_sinks(spark, tmp_path):
         raise AssertionError
     except ValueError as e:
         assert "root" in str(e)
+
+
+def test_json_records(spark, tmp_path):
+    from findspar.sources import records
+
+    (tmp_path / "a.json").write_text('[{"id": 1, "label": "x"},\n {"id": 2, "label": null}]')
+    assert [(r["id"], r["label"]) for r in records.json_table(spark, str(tmp_path / "a.json"), "id int, label string").orderBy("id").collect()] == [(1, "x"), (2, None)]
+    (tmp_path / "b.jsonl").write_text('{"commit": "c", "run": 1}\n\n{"id": 1}\n{"id": 2, "more": 3}\n')
+    assert [r["id"] for r in records.json_lines(spark, str(tmp_path / "b.jsonl"), "id int", "commit").orderBy("id").collect()] == [1, 2]
+    assert '"c"' in records.header_of(spark, str(tmp_path / "b.jsonl"), "commit") and records.header_of(spark, str(tmp_path / "b.jsonl"), "none") is None
+    (tmp_path / "c.jsonl").write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        records.json_lines(spark, str(tmp_path / "c.jsonl"), "id int").collect()
+
+
+def test_store_keeps_the_last_good_version(spark):
+    kind = f"source string, doc_id string, sha256 string, sections {html.SECTIONS_DDL}, error string"
+    good = [("t", "h", None)]
+    old = spark.createDataFrame([("a", "1", "s1", good, None), ("b", "2", "s2", good, None), ("c", "3", "s3", None, "bad"), ("d", "4", "s4", good, None)], kind)
+    new = spark.createDataFrame([("a", "1", "s9", None, "bad"), ("b", "2", "s8", [("u", "h", None)], None), ("c", "3", "s7", None, "worse"), ("e", "5", "s5", good, None)], kind)
+    got = {r["source"]: r for r in corpus.stored(old, new, spark.createDataFrame([("d",)], "source string")).collect()}
+    assert {k: (r["sha256"], r["error"], r["sections"] and r["sections"][0]["text"]) for k, r in got.items()} == {"a": ("s1", "bad", "t"), "b": ("s8", None, "u"), "c": ("s7", "worse", None), "e": ("s5", None, "t")}
+    assert sorted(r["source"] for r in corpus.section_rows(corpus.stored(old, new)).collect()) == ["a", "b", "d", "e"]
+
+
+def test_too_long_files_are_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "MAX_BYTES", 5)
+    (tmp_path / "x.txt").write_text("short")
+    (tmp_path / "y.txt").write_text("too long")
+    files = corpus.listed(spark, str(tmp_path))
+    assert {r["source"]: r["content"] is None for r in files.collect()} == {"x.txt": False, "y.txt": True}
+    assert {r["source"]: r["error"] for r in corpus.documents(files).collect()} == {"x.txt": None, "y.txt": "ValueError: file too large"}
