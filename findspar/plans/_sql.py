@@ -1,13 +1,16 @@
 """SQL fragments that several oracle queries share (DuckDB dialect)."""
 
-from findspar.functions.text import STOPWORDS
+from findspar.functions.text import FOLDED_FROM, FOLDED_TO, LIGATURES, STOPWORDS
 
-FOLD = "lower(translate({0}, '‘’“”–—', '''''\"\"--'))"
 STOP = "[" + ", ".join(f"'{x}'" for x in STOPWORDS) + "]"
 
 
 def folded(column: str) -> str:
-    return FOLD.format(column)
+    quoted = FOLDED_TO.replace("'", "''")
+    out = f"translate({column}, '{FOLDED_FROM}', '{quoted}')"
+    for ligature, letters in LIGATURES.items():
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return f"lower({out})"
 
 
 def words(column: str) -> str:

@@ -341,3 +341,14 @@ def test_metrics_by_strategy(spark):
     rows = [("fixed", 1, 0, 3), ("fixed", 2, 0, None), ("whole", 1, 0, 1), ("whole", 2, 0, 7)]
     got = {r["strategy"]: r for r in evaluation.retrieval_metrics(spark.createDataFrame(rows, "strategy string, query_id int, evidence_no int, evidence_rank int"), by=[F.col("strategy")]).collect()}
     assert (got["fixed"]["recall_at_5"], got["whole"]["recall_at_20"], got["whole"]["mrr"]) == (0.5, 1.0, round((1 + 1 / 7) / 2, 4))
+
+
+def test_compatibility_forms_are_folded(spark):
+    import unicodedata
+
+    assert value(spark, T.tokens(F.lit("ＥＲＲ＿４０１２ ﬁx x²"))) == ["err_4012", "err", "4012", "fix", "x2"]
+    assert value(spark, T.says_not_found(F.lit("I couldn’t ﬁnd this in the documents at all"), "I couldn't find this in the documents.")) is True
+    odd = [c for c in T.FORMS if c not in T.TYPOGRAPHIC]
+    rows = spark.createDataFrame([(c,) for c in [*odd, "é", "ß", "日", "plain", "naïve “x”"]], "t string")
+    got = {r["t"]: r["f"] for r in rows.select("t", T.folded(F.col("t")).alias("f")).collect()}
+    assert all(got[c] == unicodedata.normalize("NFKC", c).lower() for c in odd if len(c.lower()) == 1 and c not in "ſ") and got["é"] == "é" and got["naïve “x”"] == 'naïve "x"'
