@@ -18,7 +18,7 @@ def questions(spark, sf) -> DataFrame:
 def _posted(spark, sf, collection: str | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     only = None if asked is None else search.asked_tokens(asked)
     tokens = search.tokenised(docs(spark, sf), "doc_id", "text", None if collection is None else F.col(collection), only)
-    return search.postings(tokens, only), search.corpus_statistics(tokens)
+    return search.postings(tokens), search.corpus_statistics(tokens)
 
 
 def _sparse(spark, sf, collection: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from findspar.functions import text as T
 from findspar.operators import chunking
 from findspar.plans import _sql as S
 from findspar.session import spread_small
-from findspar.sources import html
+from findspar.sources import html, pdf
 
 NAMED = ("src0", "src1")
 
@@ -87,13 +87,31 @@ def html_sections(spark, sf):
     return found.select("page_id", F.posexplode("sections").alias("section_no", "s")).select("page_id", "section_no", "s.heading", "s.text")
 
 
+def _pdf_lines(spark, sf) -> DataFrame:
+    """Documents' lines set as pages of thirty, with running headers, numbered, plain and large headings by rule."""
+    d = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "raw"))
+    p = F.col("p")
+    number = F.concat((F.floor(p / 11) % 4 + 1).cast("string"), F.when(p % 22 == 0, ".1").otherwise(""), F.lit(" "), F.array_join(F.slice(F.split("raw", " "), 1, 3), " "))
+    page = (F.floor(p / 30) + 1).cast("int")
+    text = F.when(p % 30 == 0, F.concat(F.lit("Report "), page.cast("string"))).when(p % 11 == 0, number).when(p % 13 == 5, F.lit("Glossary")).when(p % 13 == 6, F.lit("Some term")).otherwise(F.col("raw"))
+    top = (60 + (p % 30) * 22 + F.when(p % 7 == 3, 6).otherwise(0) - F.when(p % 13 == 6, 11).otherwise(0)).cast("double")
+    size = F.when(p % 17 == 0, 14.0).otherwise(10.0)
+    rows = d.select("doc_id", p.alias("line_no"), page.alias("page"), F.lit(800.0).alias("page_height"), top.alias("top"), (top + size).alias("bottom"), F.least(F.lit(540), 60 + F.length("raw") * 5).cast("double").alias("x1"), text.alias("text"), size.alias("size"))
+    return rows.withColumn("bold", (F.col("line_no") % 11 == 0) | (F.col("line_no") % 17 == 0) | (F.col("line_no") % 13).isin(5, 6)).withColumn("segments", F.array("text"))
+
+
+def pdf_sections(spark, sf):
+    found = pdf.sections(_pdf_lines(spark, sf), docs(spark, sf).select("doc_id", F.col("source").alias("title")))
+    return found.select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), "heading", F.col("page").cast("bigint").alias("page"), F.md5(F.encode("text", "UTF-8")).alias("text"))
+
+
 def safe_text(spark, sf):
     """What rendering keeps of conversation turns, and the key under which a repeated question is found."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     return turns.select("conv_id", "turn", F.md5(F.encode(T.safe_markdown(F.col("text")), "UTF-8")).alias("shown"), F.md5(F.encode(T.question_key(F.col("text")), "UTF-8")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (doc_identity, clean_text, noise_signals, tokenize_counts, shingles_and_facts, chunk_fixed, chunk_fixed_sections, chunk_structure, chunk_semantic, chunk_size_stats, repeated_lines, html_sections, safe_text)}
+QUERIES = {f.__name__: f for f in (doc_identity, clean_text, noise_signals, tokenize_counts, shingles_and_facts, chunk_fixed, chunk_fixed_sections, chunk_structure, chunk_semantic, chunk_size_stats, repeated_lines, html_sections, pdf_sections, safe_text)}
 
 PATH = "source || '/' || doc_id || '.txt'"
 SQL = {
@@ -124,6 +142,31 @@ SQL = {
         l AS (SELECT page_id, no, heading, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM u),
         e AS (SELECT page_id, no, replace(replace(replace(replace(heading, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS heading, replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM l WHERE text <> '')
         SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY no) - 1)::INTEGER AS section_no, heading, text FROM e""",
+    "pdf_sections": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
+        lines AS (SELECT doc_id, p AS line_no, p // 30 + 1 AS page, (60 + (p % 30) * 22 + CASE WHEN p % 7 = 3 THEN 6 ELSE 0 END - CASE WHEN p % 13 = 6 THEN 11 ELSE 0 END)::DOUBLE AS top, CASE WHEN p % 17 = 0 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size, least(540, 60 + length(raw) * 5)::DOUBLE AS x1,
+            CASE WHEN p % 30 = 0 THEN 'Report ' || (p // 30 + 1) WHEN p % 11 = 0 THEN ((p // 11) % 4 + 1) || CASE WHEN p % 22 = 0 THEN '.1' ELSE '' END || ' ' || array_to_string(string_split(raw, ' ')[1 : 3], ' ') WHEN p % 13 = 5 THEN 'Glossary' WHEN p % 13 = 6 THEN 'Some term' ELSE raw END AS text,
+            p % 11 = 0 OR p % 17 = 0 OR p % 13 IN (5, 6) AS bold, max(p // 30 + 1) OVER (PARTITION BY doc_id) AS pages FROM l),
+        kept AS (SELECT *, top + size AS bottom FROM lines WHERE NOT (line_no % 30 = 0 AND pages >= 2)),
+        sizes AS (SELECT doc_id, size, sum(length(text)) AS n, min(line_no) AS first FROM kept GROUP BY ALL),
+        body AS (SELECT doc_id, arg_max(size, (n, -first)) AS body FROM sizes GROUP BY doc_id),
+        edges AS (SELECT doc_id, CASE WHEN n > 1 THEN x[low] + (x[low + 1] - x[low]) * (at_ - low) ELSE x[1] END AS right_edge FROM (SELECT *, greatest(1, least(floor(at_)::INT, n - 1)) AS low FROM (SELECT doc_id, list_sort(list(x1)) AS x, count(*)::INT AS n, (count(*) + 1) * 0.9::DOUBLE AS at_ FROM kept GROUP BY doc_id))),
+        gaps AS (SELECT doc_id, CASE WHEN lag(page) OVER o = page THEN top - lag(bottom) OVER o END AS gap FROM kept WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+        usual AS (SELECT g.doc_id, quantile_cont(gap, 0.5) AS usual FROM gaps g JOIN body b USING (doc_id) WHERE gap >= 0 AND gap < 2 * body GROUP BY g.doc_id),
+        m AS (SELECT b.doc_id, body, right_edge, greatest(coalesce(usual, 0) * 1.5::DOUBLE, coalesce(usual, 0) + 0.3::DOUBLE * body) AS pg FROM body b JOIN edges USING (doc_id) LEFT JOIN usual USING (doc_id)),
+        c AS (SELECT k.*, m.body, m.right_edge, m.pg, len(string_split_regex(trim(text), '\s+')) AS words, CASE WHEN regexp_matches(text, '^(\d+(?:\.\d+)*)\.?\s+\S') THEN len(string_split(regexp_extract(text, '^(\d+(?:\.\d+)*)', 1), '.')) WHEN regexp_matches(text, '^Appendix\s+[A-Z]\b\.?\s+\S') THEN 1 END AS number FROM kept k JOIN m USING (doc_id)),
+        r AS (SELECT *, CASE WHEN bold AND size >= body - 0.5::DOUBLE AND NOT regexp_matches(text, '(?:\.\s?){{5,}}') AND NOT regexp_matches(text, '(?i)^(?:Fig\.|Figure|Table)\s*\d') THEN
+            CASE WHEN number IS NOT NULL THEN CASE WHEN words <= 20 THEN number END WHEN NOT regexp_matches(text, '[.,;]$') AND words <= 8 THEN CASE WHEN lower(text) IN ({", ".join(f"'{x}'" for x in pdf.PARTS)}) OR size > body * 1.15::DOUBLE THEN 1 ELSE 0 END END END AS rank FROM c),
+        f AS (SELECT *, lag(page) OVER o AS b_page, lag(bottom) OVER o AS b_bottom, lag(rank) OVER o AS b_rank, lag(size) OVER o AS b_size, lag(x1) OVER o AS b_x1, lag(text) OVER o AS b_text, lag(line_no) OVER o AS b_line FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+        w AS (SELECT *, coalesce(rank IS NOT NULL AND number IS NULL AND b_rank IS NOT NULL AND b_page = page AND top - b_bottom < size AND abs(b_size - size) < 0.2 AND (b_x1 >= 0.9::DOUBLE * right_edge OR regexp_matches(text, '^\p{{Ll}}')), false) AS wrapped,
+            coalesce(rank IS NULL AND b_line IS NOT NULL AND b_rank IS NULL AND b_page <> page AND regexp_matches(rtrim(b_text), '[.!?:]$'), false) AS finished, coalesce(b_page = page AND top - b_bottom > pg, false) AS spaced FROM f),
+        n AS (SELECT *, sum((rank IS NOT NULL AND NOT wrapped)::INT) OVER o AS heading_no, sum(((rank IS NOT NULL AND NOT wrapped) OR finished)::INT) OVER o AS island FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+        h AS (SELECT doc_id, heading_no, CASE WHEN rank > 0 THEN rank ELSE coalesce(last_value(CASE WHEN number IS NOT NULL THEN number WHEN rank = 1 THEN (lower(text) IN ({", ".join(f"'{x}'" for x in pdf.ENTRY_LISTS)}))::INT END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 END AS level FROM n WHERE rank IS NOT NULL AND NOT wrapped),
+        hw AS (SELECT h.*, x.words FROM h JOIN (SELECT doc_id, heading_no, string_agg(text, ' ' ORDER BY line_no) AS words FROM n WHERE rank IS NOT NULL GROUP BY ALL) x ON x.doc_id = h.doc_id AND x.heading_no = h.heading_no),
+        path AS (SELECT h.doc_id, h.heading_no, string_agg(g.words, ' > ' ORDER BY g.heading_no) AS path FROM hw h JOIN hw g ON g.doc_id = h.doc_id AND g.heading_no <= h.heading_no
+            WHERE NOT EXISTS (SELECT 1 FROM hw x WHERE x.doc_id = h.doc_id AND x.heading_no > g.heading_no AND x.heading_no <= h.heading_no AND x.level <= g.level) GROUP BY ALL),
+        i AS (SELECT doc_id, heading_no, island, arg_min(page, line_no) AS page, string_agg(CASE WHEN spaced THEN chr(10) || text ELSE text END, chr(10) ORDER BY line_no) AS text FROM n WHERE rank IS NULL GROUP BY ALL),
+        t AS (SELECT *, {S.clean("text")} AS cleaned FROM i)
+        SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY island) - 1 AS section_no, coalesce(d.source, '') || coalesce(' > ' || path, '') AS heading, page, md5(cleaned) AS text FROM t LEFT JOIN path p ON p.doc_id = t.doc_id AND p.heading_no = t.heading_no JOIN documents d ON d.doc_id = t.doc_id WHERE cleaned <> ''""",
     "safe_text": r"""WITH a AS (SELECT *, regexp_replace(regexp_replace(text, '(?m)^[ \t]{0,3}\[[^\]]+\]:[ \t]*\S+.*$', '', 'g'), '!\[([^\]]*)\]\[[^\]]*\]', '\1', 'g') AS t FROM conversations),
         b AS (SELECT *, regexp_replace(regexp_replace(t, '!\[\]\([^)]*\)', '[image removed: no description]', 'g'), '!\[([^\]]+)\]\([^)]*\)', '[image removed: \1]', 'g') AS u FROM a)
         SELECT conv_id, turn, md5(regexp_replace(regexp_replace(u, '\[([^\]]+)\]\((?:[^#)][^)]*)?\)', '\1', 'g'), '\[(\d+)\]', '[\\[\1\\]](#source-\1)', 'g')) AS shown,
