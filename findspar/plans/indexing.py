@@ -95,6 +95,22 @@ def embed_misses(spark, sf):
     return index.embed_misses(d.select("text"), cache, key).select("key", F.length("text").alias("n_chars"))
 
 
+def index_sync(spark, sf):
+    """Documents as passages.  English and German ones are indexed and Spanish ones skipped as copies of their successors; odd German ones arrive revised, French ones anew."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("n"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "lang", "text")
+
+    def rows(part: DataFrame, version: str) -> DataFrame:
+        return part.select(F.concat("doc_id", F.lit(f":{version}")).alias("chunk_id"), "doc_id", "text", F.lit(0).alias("chunk_index"))
+
+    odd = d.where("lang = 'de' and n % 2 = 1").withColumn("text", F.concat("text", F.lit(" revised")))
+    fresh = rows(odd, "b").union(rows(d.where("lang = 'fr' or (lang = 'de' and n % 2 = 0)"), "a"))
+    skipped = d.where("lang = 'es'")
+    copies = rows(skipped, "a").join(skipped.select("doc_id", F.concat(F.lit("d"), (F.col("n") + 1).cast("string"), F.lit(":a")).alias("duplicate_of")), "doc_id").select("chunk_id", "doc_id", "text", "chunk_index", "duplicate_of", F.lit(1.0).alias("similarity"))
+    chunks, copies = index.sync(rows(d.where("lang in ('en', 'de')"), "a"), copies, fresh)
+    kept = chunks.select("chunk_id", F.md5(F.encode("text", "UTF-8")).alias("text"), F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("double").alias("similarity"))
+    return kept.union(copies.select("chunk_id", F.md5(F.encode("text", "UTF-8")), "duplicate_of", "similarity"))
+
+
 def store_refresh(spark, sf):
     """A store of three languages' documents meets an ingest of two: some files fail by rule, one source's are deleted."""
     d = docs(spark, sf)
@@ -123,7 +139,7 @@ def missing_passages(spark, sf):
     return index.missing_passages(v, docs(spark, sf).select(F.col("doc_id").alias("chunk_id"))).select("query_id", "chunk_id")
 
 
-QUERIES = {f.__name__: f for f in (shingle_pairs, duplicate_classes, dedup_admission, index_sync_plan, document_listing, documents_page, collection_sizes, check_sync, embed_misses, store_refresh, kept_documents, missing_passages)}
+QUERIES = {f.__name__: f for f in (shingle_pairs, duplicate_classes, dedup_admission, index_sync_plan, document_listing, documents_page, collection_sizes, check_sync, embed_misses, index_sync, store_refresh, kept_documents, missing_passages)}
 
 CLASSES = f"""
 w AS (SELECT doc_id, {S.words("text")} AS w, {S.facts("text")} AS f FROM documents WHERE length(text) >= 120),
@@ -139,7 +155,32 @@ TABLES = f"{S.FIXED}, main AS (SELECT * FROM chunks WHERE source <> 'src0'), cop
 LISTED = f"""{TABLES}, ids AS (SELECT doc_id, source FROM main UNION SELECT doc_id, source FROM copies),
 listed AS (SELECT i.doc_id, min(i.source) AS source, coalesce(any_value(m.n), 0) AS chunks, coalesce(any_value(d.n), 0) AS duplicates FROM ids i
     LEFT JOIN (SELECT doc_id, count(*) AS n FROM main GROUP BY doc_id) m ON m.doc_id = i.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM copies GROUP BY doc_id) d ON d.doc_id = i.doc_id GROUP BY i.doc_id)"""
+SYNC = f"""
+d AS (SELECT doc_id AS n, 'd' || doc_id AS doc, lang, text FROM documents),
+removed AS (SELECT doc || ':a' AS cid FROM d WHERE lang = 'de' AND n % 2 = 1),
+dup AS (SELECT doc || ':a' AS cid, doc, text, 'd' || (n + 1) || ':a' AS of_ FROM d WHERE lang = 'es'),
+rows_ AS (SELECT doc || ':a' AS cid, doc, text, 0 AS turn FROM d WHERE lang = 'en' OR (lang = 'de' AND n % 2 = 0)
+    UNION ALL SELECT doc || ':b', doc, text || ' revised', 1 FROM d WHERE lang = 'de' AND n % 2 = 1 UNION ALL SELECT doc || ':a', doc, text, 1 FROM d WHERE lang = 'fr'
+    UNION ALL SELECT cid, doc, text, 2 FROM dup WHERE of_ IN (SELECT cid FROM removed)),
+every AS (SELECT *, row_number() OVER (ORDER BY turn, CASE WHEN turn > 0 THEN doc END, cid) AS o FROM rows_),
+w AS (SELECT o, {S.words("text")} AS w, {S.facts("text")} AS f FROM every WHERE length(text) >= 120),
+s AS (SELECT o, list_sort({S.shingles("w")}) AS s, f FROM w WHERE len(w) > 0),
+c AS (SELECT md5(array_to_string(s, '|') || '#' || array_to_string(f, ' ')) AS class, min(o) AS head, any_value(s) AS s, md5(array_to_string(any_value(f), ' ')) AS f FROM s GROUP BY 1),
+x AS (SELECT head, f, len(s) AS n, unnest(s) AS t FROM c),
+p AS (SELECT a.head AS a, b.head AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.t = b.t AND a.f = b.f AND a.head < b.head GROUP BY ALL),
+pairs AS (SELECT a AS id_a, b AS id_b, k::DOUBLE / (na + nb - k) AS similarity FROM p WHERE 10 * k >= 9 * (na + nb - k)),
+walk AS (SELECT 0 AS i, (SELECT min(head) FROM c) AS head, CAST([] AS BIGINT[]) AS kept
+    UNION ALL
+    SELECT w.i + 1, (SELECT min(head) FROM c WHERE head > w.head), CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.id_b = w.head AND list_contains(w.kept, p.id_a)) THEN w.kept ELSE list_append(w.kept, w.head) END
+    FROM walk w WHERE w.head IS NOT NULL),
+kept AS (SELECT unnest(kept) AS id FROM walk WHERE head IS NULL),
+choice AS (SELECT id_b AS head, arg_min(e.cid, (-similarity, e.cid)) AS of_, max(similarity) AS similarity FROM pairs JOIN every e ON e.o = id_a WHERE id_a IN (SELECT id FROM kept) AND id_b NOT IN (SELECT id FROM kept) GROUP BY id_b),
+m AS (SELECT o, head FROM (SELECT o, md5(array_to_string(s, '|') || '#' || array_to_string(f, ' ')) AS class FROM s) JOIN c USING (class)),
+decided AS (SELECT m.o, coalesce(of_, CASE WHEN m.o <> m.head THEN h.cid END) AS of_, CASE WHEN of_ IS NOT NULL THEN similarity ELSE 1.0 END AS similarity FROM m JOIN every h ON h.o = m.head LEFT JOIN choice ON choice.head = m.head)
+"""
 SQL = {
+    "index_sync": f"""WITH RECURSIVE {SYNC} SELECT cid AS chunk_id, md5(text) AS text, CASE WHEN turn > 0 THEN of_ END AS duplicate_of, CASE WHEN turn > 0 AND of_ IS NOT NULL THEN round(similarity, 4) END AS similarity FROM every LEFT JOIN decided USING (o)
+        UNION ALL SELECT cid, md5(text), of_, 1.0 FROM dup WHERE of_ NOT IN (SELECT cid FROM removed)""",
     "store_refresh": """WITH b AS (SELECT source || '/' || doc_id AS s, doc_id, text, doc_id % 11 = 0 AS bad FROM documents WHERE lang IN ('en', 'de', 'fr')), f AS (SELECT source || '/' || doc_id AS s, doc_id, 'new ' || text AS text, doc_id % 7 = 0 AS bad FROM documents WHERE lang IN ('de', 'es')),
         j AS (SELECT coalesce(f.s, b.s) AS source, coalesce(f.doc_id, b.doc_id)::VARCHAR AS doc_id, f.s IS NOT NULL AND NOT (f.bad AND b.s IS NOT NULL AND NOT b.bad) AS new, f.text AS ft, b.text AS bt, f.bad AS fb, b.bad AS bb, f.s IS NOT NULL AS seen FROM f FULL JOIN b ON f.s = b.s)
         SELECT source, doc_id, sha256(CASE WHEN new THEN ft ELSE bt END) AS sha256, md5(CASE WHEN new THEN CASE WHEN NOT fb THEN ft END WHEN NOT bb THEN bt END) AS text, CASE WHEN CASE WHEN seen THEN fb ELSE bb END THEN 'ValueError: no text' END AS error FROM j
