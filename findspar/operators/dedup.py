@@ -38,8 +38,11 @@ def signatures(passages: DataFrame, chunk_id: str = "chunk_id", text: str = "tex
     long = passages.where(F.length(text) >= min_chars)
     hashes = T.shingle_hashes(F.col(text))
     facts_key = F.xxhash64(F.array_join(T.facts(F.col(text)), " "))
-    rows = long.select(F.col(chunk_id).alias("chunk_id"), (F.col(chunk_id) if order is None else order).alias("ord"), hashes.alias("hashes"), facts_key.alias("facts_key"))
-    return rows.withColumn("n", F.size("hashes")).withColumn("class", F.sha2(F.concat_ws(",", F.col("facts_key").cast("string"), F.transform("hashes", lambda h: h.cast("string"))), 256)).where("n > 0")
+    # inline() keeps the hashes from being computed again for each use
+    found = F.inline(F.array(F.struct(hashes.alias("hashes"), facts_key.alias("facts_key"))))
+    rows = long.select(F.col(chunk_id).alias("chunk_id"), (F.col(chunk_id) if order is None else order).alias("ord"), found)
+    name = F.concat_ws("-", F.hex(F.xxhash64("hashes", "facts_key")), F.hex(F.xxhash64(F.lit(1), "facts_key", "hashes")), F.size("hashes").cast("string"))
+    return rows.withColumn("n", F.size("hashes")).withColumn("class", name).where("n > 0")
 
 
 def _bucket(h: Column) -> Column:
