@@ -95,47 +95,52 @@ def selected(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """
     once = {(hash(row.tobytes()), label): i for i, (row, label) in enumerate(zip(rows, labels.tolist(), strict=True))}
     kept = sorted(once.values())
-    rows, labels = [rows[i] for i in kept], labels[kept]
-    n, positive = len(rows), float(labels.sum())
-    term = np.concatenate(rows).astype(np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    support = np.bincount(term, minlength=BUCKETS)
+    labels = labels[kept]
+    n, positive = len(kept), float(labels.sum())
+    # everything goes row by row: the driver holds no copy of all terms but the list `own`
+    support, toxic_support = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i, label in zip(kept, labels.tolist(), strict=True):
+        support[rows[i]] += 1
+        if label:
+            toxic_support[rows[i]] += 1
     names = np.flatnonzero(support >= MIN_ROWS)
     if not len(names):
         return names
     local = np.full(BUCKETS, -1, np.int32)
     local[names] = np.arange(len(names))
-    term = local[term]
-    term, row = term[term >= 0], row[term >= 0]
-    first = np.searchsorted(row, np.arange(n + 1))
-    m, have = len(names), support[names].astype(np.float64)
-    alone = g2(np.bincount(term[(labels > 0)[row]], minlength=m), have, positive, n)
+    own = [x[x >= 0] for x in (local[rows[i]] for i in kept)]
+    m, have = len(names), support[names]
+    alone = g2(toxic_support[names], have, positive, n)
     keep = alone >= MIN_G2
 
-    by_term = row[np.argsort(term)]
-    at = np.concatenate([[0], np.cumsum(support[names])])
-    for lead in np.argsort(-alone, kind="stable")[:LEADING].tolist():
-        holders = by_term[at[lead] : at[lead + 1]]
-        if not keep[lead] or len(holders) < 2 * MIN_ROWS:
-            continue
+    leading = [i for i in np.argsort(-alone, kind="stable")[:LEADING].tolist() if keep[i] and have[i] >= 2 * MIN_ROWS]
+    is_leading = np.zeros(m, bool)
+    is_leading[leading] = True
+    holders_of: dict[int, list[int]] = {i: [] for i in leading}
+    for r, terms_ in enumerate(own):
+        for lead in terms_[is_leading[terms_]].tolist():
+            holders_of[lead].append(r)
+    for holders in holders_of.values():
         seen, toxic = np.zeros(m), np.zeros(m)
-        for group in np.array_split(holders, 1 + len(holders) // 500):  # bounds what is held at a time
-            beside = np.concatenate([term[first[r] : first[r + 1]] for r in group.tolist()])
-            seen += np.bincount(beside, minlength=m)
-            toxic += np.bincount(beside, np.repeat(labels[group], first[group + 1] - first[group]), m)
-        keep |= (seen >= MIN_ROWS) & (g2(toxic, seen, labels[holders].sum(), len(holders)) >= MIN_PAIR_G2)
+        for r in holders:
+            seen[own[r]] += 1
+            if labels[r]:
+                toxic[own[r]] += 1
+        keep |= (seen >= MIN_ROWS) & (g2(toxic, seen, float(labels[holders].sum()), len(holders)) >= MIN_PAIR_G2)
 
     common = np.argsort(-have, kind="stable")[:FREQUENT]
     place = np.full(m, -1, np.int32)
     place[common] = np.arange(len(common))
-    on = place[term] >= 0
     holds = np.zeros((n, len(common)), np.float32)
-    holds[row[on], place[term[on]]] = 1
+    for r, terms_ in enumerate(own):
+        at = place[terms_]
+        holds[r, at[at >= 0]] = 1
     together = holds.T @ holds
-    holds[labels == 0] = 0
+    holds = holds[labels > 0]
     toxic = holds.T @ holds
-    pair = g2(toxic, together, np.diag(toxic)[:, None], np.diag(together)[:, None])
-    keep[common] |= ((pair >= MIN_PAIR_G2) & (np.diag(together)[:, None] >= 2 * MIN_ROWS)).any(0)
+    for i in range(len(common)):  # a row at a time: the statistics of all pairs at once are many matrices of their size
+        if together[i, i] >= 2 * MIN_ROWS:
+            keep[common] |= g2(toxic[i].astype(float), together[i].astype(float), float(toxic[i, i]), float(together[i, i])) >= MIN_PAIR_G2
     return names[keep]
 
 
