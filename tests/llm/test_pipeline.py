@@ -76,8 +76,10 @@ def test_stages_take_nulls(spark):
     sf = "/root/testdata/sf0.001"
     kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     docs = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, 0), (2, "", None, None, 0), (3, "some words here " * 50, None, None, None)], kind)
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, sf).count()
+    kept = [sorted(((r["doc_id"], r["text"] or "") for r in stage(spark, docs, sf).select("doc_id", "text").collect()), key=repr) for _, stage in corpus_pipeline.STAGES]
+    every = sorted([(None, ""), (1, ""), (2, ""), (2, ""), (3, "some words here " * 50)], key=repr)
+    # nothing toxic; no text of a known language, so no language at all; no two texts with words; no passage; one text with words to mix
+    assert kept == [every, [], every, every, [(3, "some words here " * 50)]]
 
 
 def test_queries_are_registered():
