@@ -564,19 +564,33 @@ def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent
     id_type = dict(base.dtypes)["doc_id"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, rows = np.zeros(BUCKETS, np.int32), 0, 0
+        seen, total, rows = np.zeros(BUCKETS, np.int64), 0, 0
+        held: list[np.ndarray] = []
+        n_held = 0
+
+        def tally() -> None:
+            nonlocal seen, n_held
+            if held:
+                seen += np.bincount(bucket_of(np.concatenate(held) >> np.uint64(64 - BITS)), minlength=BUCKETS)
+                held.clear()
+                n_held = 0
+
         for batch in batches:
             own = []
             for s in sets(batch.column("text")):
                 own.append((len(s), node_of(s) if len(s) else None))
-                np.add.at(seen, bucket_of(s >> np.uint64(64 - BITS)), 1)
+                held.append(s)
+                n_held += len(s)
                 total += len(s)
+                if n_held > FLUSH // 2:
+                    tally()
             rows, kind = rows + len(own), batch.schema.field("doc_id").type
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64()), pa.nulls(len(own), pa.int64())], names=["doc_id", "n_shingles", "node", "bucket"])
+        tally()
         # buckets that stand out in this task: a frequent shingle does in most
         often = np.flatnonzero(seen >= max(locally, 4 * total / BUCKETS, rows * FREQUENT_SHARE))
         if len(often):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.array(seen[often].astype(np.int64)), pa.nulls(len(often), pa.int64()), pa.array(often)], names=["doc_id", "n_shingles", "node", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.array(seen[often]), pa.nulls(len(often), pa.int64()), pa.array(often)], names=["doc_id", "n_shingles", "node", "bucket"])
 
     passed = written(base.mapInArrow(name, f"doc_id {id_type}, n_shingles bigint, node bigint, bucket bigint"), "jaccard-docs")
     named = passed.where("bucket is null").select("doc_id", "n_shingles", "node")
