@@ -203,6 +203,15 @@ def test_evidence_and_metrics(spark):
     assert (m["recall_at_5"], m["hit_at_5"], m["all_at_5"], m["recall_at_20"], m["mrr"]) == (0.3333, 0.5, 0.0, 0.6667, round((1 / 2 + 1 / 7) / 2, 4))
 
 
+def test_summary_rounds_halves_up_in_any_order_of_the_rows(spark):
+    """Sevenths whose mean is 0.4375: added in this order they give 0.43749999999999994."""
+    sevenths = [0, 3, 3, 1, 1, 4, 6, 3, 4, 2, 6, 5, 0, 4, 2, 5]
+    kind = "expected string, shown boolean, error boolean, correct boolean, fact_score double, wrong_fact boolean, faithfulness double, citation_accuracy double, acceptable boolean, tokens double, seconds double, evidence int, in5 int, in20 int"
+    for order in (sevenths, sorted(sevenths)):
+        rows = [("answer", True, False, True, k / 7.0, False, 1.0, 1.0, True, 5.0, 1.0, 2, 1, 1) for k in order]
+        assert evaluation.summary(spark.createDataFrame(rows, kind).coalesce(1)).first()["fact_coverage"] == 0.438
+
+
 def test_limiter_counts_only_admitted_events(spark):
     rows = [(i, 1, i * 600) for i in range(9)]
     e = spark.createDataFrame(rows, "event_id int, user_id int, s int").withColumn("ts", F.timestamp_seconds("s"))
