@@ -212,6 +212,14 @@ def test_summary_rounds_halves_up_in_any_order_of_the_rows(spark):
         assert evaluation.summary(spark.createDataFrame(rows, kind).coalesce(1)).first()["fact_coverage"] == 0.438
 
 
+def test_spread_rounds_halves_up_in_any_order_of_the_runs(spark):
+    """Values whose mean is 0.4465: added in this order they give 0.44649999999999995."""
+    runs = [0.577, 0.304, 0.495, 0.41]
+    for order in (runs, sorted(runs)):
+        got = evaluation.spread(spark.createDataFrame([(x,) for x in order], "hit_top5 double").coalesce(1), ["hit_top5"]).first()
+        assert (got["mean"], got["min"], got["max"]) == (0.447, 0.304, 0.577)
+
+
 def test_limiter_counts_only_admitted_events(spark):
     rows = [(i, 1, i * 600) for i in range(9)]
     e = spark.createDataFrame(rows, "event_id int, user_id int, s int").withColumn("ts", F.timestamp_seconds("s"))
