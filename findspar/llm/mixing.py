@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from findspar.llm._frames import narrow, written
+from findspar.llm._frames import made, narrow, release, written
 
 CAP = 3
 TILT = 0.8
@@ -74,11 +74,8 @@ def position(words: F.Column) -> F.Column:
     return F.when(F.abs(a) < 1e-9, y).otherwise(2 * y / (b + F.sqrt(b * b + 4 * a * y)))
 
 
-def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document row: doc_id, size, source_size, target, taken, positions (training time of each pass that takes words of it).
-
-    `keep`: further columns of docs to carry along.
-    """
+def _assigned(docs: DataFrame, doc_id: str, text: str, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: doc_id, source, start (its first word's place in its source's sequence), size, source_size, target, taken, positions, partial_words, kept0, ..."""
     base = narrow(docs, doc_id=doc_id, source=source, text=text, **{f"kept{i}": c for i, c in enumerate(keep)})
     sized = base.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")).withColumn("key", _order_key()).drop("text")
     measured = written(sized.select("doc_id", "source", "size", "key"), "mixing-sizes")  # ids and numbers only: texts are counted once for all that follows
@@ -104,14 +101,39 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     count = F.col("passes") + F.when(F.col("partial") > 0, 1).otherwise(0)
     starts = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: position(F.least(i * F.col("source_size") + F.col("start"), F.col("target"))))
     return placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("partial")).cast("bigint").alias("taken"),
+        "doc_id", "source", "start", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("partial")).cast("bigint").alias("taken"),
         F.when(count > 0, starts).otherwise(F.array().cast("array<double>")).alias("positions"), F.col("partial").alias("partial_words"),
-        *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)],
+        *[f"kept{i}" for i in range(len(keep))],
     )
 
 
+def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: doc_id, size, source_size, target, taken, positions (training time of each pass that takes words of it).
+
+    `keep`: further columns of docs to carry along.
+    """
+    kept = [F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)]
+    return _assigned(docs, doc_id, text, source, keep).select("doc_id", "size", "source_size", "target", "taken", "positions", "partial_words", *kept)
+
+
+def _order(mixed: DataFrame, *columns: str) -> DataFrame:
+    """A row for each time a document of `_assigned` is taken, range-sorted by position: position, pass, words, and the columns named."""
+    passes = mixed.select("*", F.posexplode("positions").alias("pass", "position"), F.size("positions").alias("times"))
+    words = F.when((F.col("pass") == F.col("times") - 1) & (F.col("partial_words") > 0), F.col("partial_words")).otherwise(F.col("size"))
+    return passes.select("position", "pass", words.alias("words"), *columns).orderBy("position", "doc_id", "pass")
+
+
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return assign(docs, doc_id, text, source).select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position"))
+    """doc_id, size, source_size, target, taken, first_position of every document row, counted from the training order of `schedule` without its texts."""
+    since = made()
+    mixed = written(_assigned(docs, doc_id, text, source), "mixing-documents")
+    whole = ("doc_id", "size", "source_size", "target")
+    order = written(_order(mixed, "source", "start", *whole), "mixing-order")  # in files by position
+    release(docs.sparkSession, since, mixed, order)
+    # a source's words are numbered, so what is taken has a start of its own, whatever its id
+    taken = order.groupBy("source", "start", *whole).agg(F.sum("words").alias("taken"), F.round(F.min("position"), 9).alias("first_position"))
+    left = mixed.where(F.size("positions") == 0).select(*whole, F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("double").alias("first_position"))
+    return taken.select(*whole, "taken", "first_position").union(left)
 
 
 def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -119,10 +141,8 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     Documents of which nothing is taken don't occur.
     """
-    mixed = assign(docs, doc_id, text, source, keep=(text, source)).withColumnsRenamed({text: "text", source: "source"})
-    passes = mixed.select("doc_id", "source", "text", "size", "partial_words", F.posexplode("positions").alias("pass", "position"), F.size("positions").alias("times"))
-    words = F.when((F.col("pass") == F.col("times") - 1) & (F.col("partial_words") > 0), F.col("partial_words")).otherwise(F.col("size"))
-    return passes.select("position", "doc_id", "source", "pass", words.alias("words"), "text").orderBy("position", "doc_id", "pass")
+    mixed = _assigned(docs, doc_id, text, source, keep=(text,)).withColumnRenamed("kept0", "text")
+    return _order(mixed, "doc_id", "source", "text").select("position", "doc_id", "source", "pass", "words", "text")
 
 
 # For DuckDB; {docs} is the table.

@@ -112,6 +112,25 @@ def test_mixing_edges(spark):
     assert (one["taken"], one["target"]) == (100_000, 100_000.0)
 
 
+def test_mixing_is_counted_from_the_range_sorted_order(spark, monkeypatch):
+    """The query's rows come from the training order, whose files hold one range of positions each; equal rows and null ids stay apart."""
+    made = []
+    monkeypatch.setattr(mixing, "written", lambda df, what, f=mixing.written: made.append((what, f(df, what))) or made[-1][1])
+    rows = [(i, words(1 + i % 40), ["a", "b", "c", None][i % 4] if i % 7 else "a") for i in range(300)] + [(None, "p q", "c")] * 3 + [(5, "", "b")] * 2 + [(6, "x y z", "b")] * 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(repr, mixing.digest(spark.createDataFrame(rows, DOCS)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = dict(made)["mixing-order"]
+    files = order.select("*", F.input_file_name().alias("file")).collect()
+    by_file = [[r["position"] for r in files if r["file"] == f] for f in sorted({r["file"] for r in files})]
+    assert len(by_file) > 1 and [p for own in by_file for p in own] == sorted(r["position"] for r in files)
+    assert sum(r["words"] for r in files) == sum(r["taken"] for r in mixing.assign(spark.createDataFrame(rows, DOCS)).collect())
+    want = mixing.assign(spark.createDataFrame(rows, DOCS)).select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position"))
+    assert len(got) == len(rows) and got == sorted(map(repr, want.collect()))
+
+
 PAGES = "page_id bigint, url string, html string"
 
 
