@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -87,6 +89,14 @@ def release(spark: SparkSession, since: int, *kept: DataFrame) -> None:
         _made.remove(path)
 
 
+def return_memory() -> None:
+    """Freed memory of this process goes back to the system; what the driver once gathered for a fit would else stay with it through all later steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:  # glibc has it
+        trim(0)
+
+
 def crc_residue(column: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo `modulus`; null ids give null."""
     return F.crc32(F.col(f"`{column}`").cast("string").cast("binary")) % modulus

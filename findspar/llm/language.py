@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findspar.llm import _words as w
-from findspar.llm._frames import add_struct, crc_residue, fresh, narrow, written
+from findspar.llm._frames import add_struct, crc_residue, fresh, narrow, return_memory, written
 
 ORDER = 4
 PART_CELLS = 8_000_000  # grams x languages of a part
@@ -357,6 +357,7 @@ def score(docs: DataFrame, model: Learned, text: str = "text", name: str = "lang
         return docs.withColumn(name, F.struct(F.array().cast("array<double>").alias("total"), F.lit(0).cast("bigint").alias("n"))), name
     for p in range(model.parts):
         sent = docs.sparkSession.sparkContext.broadcast(model.part(p))
+        return_memory()
 
         def run(column: pa.Array, sent=sent) -> list[pa.Array]:
             total, n = sent.value.sums(column)

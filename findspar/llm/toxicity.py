@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findspar.llm import _words as w
-from findspar.llm._frames import add_struct, crc_residue, fresh, narrow
+from findspar.llm._frames import add_struct, crc_residue, fresh, narrow, return_memory
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -208,7 +208,10 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     id_type = dict(joined.dtypes)["id"]
     # one row for each id, so that repeated documents don't go beyond the sample's bound
     rows = joined.select("id", "y", "text").mapInArrow(features, f"id {id_type}, y int, terms binary").groupBy("id", "y").agg(F.min("terms").alias("terms")).orderBy("id").select("y", "terms").toArrow()
-    return fit([np.frombuffer(r.as_buffer(), np.int32) for r in rows["terms"]], rows["y"].to_numpy().astype(np.float64))
+    model = fit([np.frombuffer(r.as_buffer(), np.int32) for r in rows["terms"]], rows["y"].to_numpy().astype(np.float64))
+    del rows
+    return_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", name: str = "toxicity") -> tuple[DataFrame, str]:

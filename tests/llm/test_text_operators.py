@@ -234,6 +234,22 @@ def test_factorization_machine_score_is_its_formula():
     assert got == pytest.approx(np.array(want), rel=1e-5)
 
 
+def test_toxicity_fit_leaves_no_memory_with_the_driver(spark):
+    """Training takes well over 100 MB of the driver's Python for a moment; pipelines go on with what is left."""
+
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) / 1024 for line in f if line.startswith("RssAnon"))
+
+    words_ = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.hex(F.abs(F.xxhash64("doc_id", i)) % (1 << 32)))
+    docs = spark.range(0, 5000, 1, 4).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", words_))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    toxicity.learn(docs.limit(50), labels)
+    before = held()
+    model = toxicity.learn(docs, labels)
+    assert model.weight.any() and held() - before < 40
+
+
 def test_toxicity_edges(spark, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = [(1, None), (2, ""), (3, LONG), (None, "x"), (5, "a"), (5, "a")]
