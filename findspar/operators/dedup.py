@@ -4,12 +4,14 @@ Two passages are near duplicates if both have at least `MIN_CHARS` characters, t
 same facts (numbers and identifiers), and 3-word shingle sets with a Jaccard
 similarity of 0.9 or more.
 
-Pairs: equal (shingles, facts) form one class first.  Classes meet only by a
-prefix of their hashed shingles (n - ceil(0.9 n) + 1 of them) together with the
-hash of their facts, within the length filter; the overlap is then counted on the
-full sets.  The prefix takes the frequent hashes last (those of buckets that far more
-classes hold than the mean, such as boilerplate's), so that they bring no pairs
-together; any order will do that is the same for all.
+Pairs: equal (shingles, facts) form one class first.  Sets that are as similar as
+that differ in at most (n_a + n_b) / 19 shingles, so if shingles are dealt over one
+part more than that by their hashes, one part at least is the same in both.  Classes
+meet by a hash of such a part, some eight shingles, together with that of their facts:
+single shingles recur in unrelated texts, the more the larger the corpus is; whole parts
+hardly do.  Numbers of parts go by levels of size; a set is dealt out for its own level
+and for the one below.  The overlap is then counted on the full sets, which are made
+again for the classes that met, and travel once for each pair of blocks that need them.
 
 Admission is sequential by definition: a passage is kept unless it nearly
 repeats one that was kept before it.  On the pairs' graph, directed from earlier to
@@ -20,8 +22,13 @@ near duplicates of near duplicates.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
 from findspar.functions import text as T
@@ -29,6 +36,8 @@ from findspar.session import ensure_checkpoints
 
 THRESHOLD = (9, 10)
 MIN_CHARS = 120
+MANY_IDS = 2_000_000  # so many ids are broadcast to the texts, beyond that texts go to the ids
+BLOCK_HASHES, CELL_PAIRS = 2_000_000, 100_000  # what one task verifies at a time, about
 BUCKETS = 1 << 18
 FREQUENT, FREQUENT_SHARE = 20, 0.001
 
@@ -50,32 +59,122 @@ def _bucket(h: Column) -> Column:
 
 
 def frequent_buckets(classes: DataFrame) -> list[int]:
-    """Buckets of hashes that far more classes hold than the mean: those of boilerplate.  At most a quarter of BUCKETS, whatever the corpus."""
+    """Buckets of hashes that far more classes hold than the mean: those of boilerplate.  At most a quarter of BUCKETS, whatever the corpus.  For looking at a corpus; pairs don't need them."""
     each = classes.select(F.explode(F.transform("hashes", _bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     size = classes.agg(F.sum("n").alias("entries"), F.count("*").alias("classes")).first()
     least = max(FREQUENT, 4 * (size["entries"] or 0) / BUCKETS, FREQUENT_SHARE * size["classes"])
     return sorted(r["bucket"] for r in each.where(F.col("n") >= least).collect())
 
 
-def class_pairs(signed: DataFrame) -> DataFrame:
-    """(class_a, class_b, similarity) of different classes that are near duplicates."""
+def _levels(most: int) -> np.ndarray:
+    """The smallest size of each level up to that of `most`: similar sets are of one level or of neighbouring ones."""
+    up, low = THRESHOLD[1], THRESHOLD[0]
+    starts = [1]
+    while starts[-1] <= most:
+        starts.append(starts[-1] * up // low + 1)
+    return np.array(starts)
+
+
+def part_keys(offsets: np.ndarray, hashes: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of keys of each set, keys): a set's hashes are dealt over parts, more than similar sets of its level differ in, and each part is hashed."""
+    up, low = THRESHOLD[1], THRESHOLD[0]
+    n, hashes = np.diff(offsets), hashes.astype(np.uint64)
+    starts = _levels(int(n.max(initial=1)))
+    own = np.searchsorted(starts, n, "right") - 1
+    largest = np.append(starts[1:], starts[-1] * up // low + 1) - 1
+    parts = (largest + largest * up // low) * (up - low) // (up + low) + 1
+    parts[parts == 1] = 0  # such sets are similar if they are equal
+    made, counts = [], []
+    for level in (own, own - 1):
+        k = np.where(level >= 0, parts[level], 0)
+        first = np.cumsum(k) - k
+        of = np.repeat(np.arange(len(n)), n)
+        dealt = k[of] > 0
+        of, h = of[dealt], hashes[dealt]
+        sums = np.zeros(int(k.sum()), np.uint64)
+        np.add.at(sums, first[of] + ((h >> np.uint64(32)) % k[of].astype(np.uint64)).astype(np.int64), h)
+        owner = np.repeat(np.arange(len(n)), k)
+        place = (level[owner] * 1_000_003 + np.arange(len(owner)) - first[owner]).astype(np.uint64)
+        key = (sums ^ (place * np.uint64(0x9E3779B97F4A7C15))) + salt.astype(np.uint64)[owner]
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        made.append((owner, (key ^ (key >> np.uint64(29))).astype(np.int64)))
+        counts.append(k)
+    owner, keys = (np.concatenate(x) for x in zip(*made, strict=True))
+    return counts[0] + counts[1], keys[np.argsort(owner, kind="stable")]
+
+
+def compact(signed: DataFrame) -> DataFrame:
+    """`signatures` with the keys by which classes meet in place of their hashes, checkpointed: a fifth of their size."""
+    ensure_checkpoints(signed.sparkSession)
+    schema = StructType([f for f in signed.schema.fields if f.name != "hashes"]).add("keys", ArrayType(LongType(), False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).combine_chunks()
+            held = rows["hashes"].chunk(0)
+            offsets = held.offsets.to_numpy()
+            flat = held.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            k, keys = part_keys(offsets - offsets[0], flat, rows["facts_key"].to_numpy())
+            out = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), out], names=schema.names)
+
+    return signed.mapInArrow(run, schema).checkpoint()
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """rows.join(ids, key, how) of large rows: ids are counted, and broadcast if there are few enough."""
+    ids = ids.select(key)
+    return rows.join(F.broadcast(ids) if ids.count() <= MANY_IDS else ids, key, how)
+
+
+def _verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """(class_a, class_b, similarity) of the pairs of a cell that are similar; sets (of, class, hashes)."""
     up, low = THRESHOLD[1], THRESHOLD[0]
+    sets = sets.combine_chunks()
+    at = {c: i for i, c in enumerate(sets["class"].to_pylist())}
+    held = sets["hashes"].chunk(0) if len(sets) else None
+    a, b, found = [], [], []
+    for x, y in zip(pairs["class_a"].to_pylist(), pairs["class_b"].to_pylist(), strict=True):
+        left, right = (held[at[c]].values.to_numpy(zero_copy_only=False) for c in (x, y))
+        where = np.minimum(np.searchsorted(right, left), len(right) - 1)
+        shared = int((right[where] == left).sum())
+        if shared * (low + up) >= low * (len(left) + len(right)):
+            a.append(x)
+            b.append(y)
+            found.append(shared / (len(left) + len(right) - shared))
+    return pa.table({"class_a": pa.array(a, pa.string()), "class_b": pa.array(b, pa.string()), "similarity": pa.array(found, pa.float64())})
+
+
+def class_pairs(signed: DataFrame, small: DataFrame | None = None, chosen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(class_a, class_b, similarity) of different classes that are near duplicates.
+
+    `small` is the `compact` form, if it was made before; `chosen` gives the signatures
+    of the passages of a table (chunk_id), if that takes less than making all again.
+    """
     ensure_checkpoints(signed.sparkSession)
-    classes = signed.groupBy("class").agg(F.first("facts_key").alias("facts_key"), F.first("n").alias("n"), F.first("hashes").alias("hashes")).checkpoint()
-    prefix = F.col("n") - F.ceil(F.col("n") * low / up).cast("int") + 1
-    frequent = frequent_buckets(classes)
-    common = lambda h: _bucket(h).isin(frequent)
-    ordered = F.concat(F.filter("hashes", lambda h: ~common(h)), F.filter("hashes", common)) if frequent else F.col("hashes")
-    entries = classes.select("class", "facts_key", "n", F.explode(F.slice(ordered, F.lit(1), prefix)).alias("h"))
-    left, right = entries.alias("a"), entries.alias("b")
-    near = (F.col("a.n") * up >= F.col("b.n") * low) & (F.col("b.n") * up >= F.col("a.n") * low)
-    met = left.join(right, (F.col("a.h") == F.col("b.h")) & (F.col("a.facts_key") == F.col("b.facts_key")) & (F.col("a.class") < F.col("b.class")) & near)
-    pairs = met.select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
-    full = classes.select("class", "hashes", "n")
-    joined = pairs.join(full.toDF("class_a", "ha", "na"), "class_a").join(full.toDF("class_b", "hb", "nb"), "class_b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    joined = joined.withColumn("shared", shared).where(F.col("shared") * (low + up) >= low * (F.col("na") + F.col("nb")))
-    return joined.select("class_a", "class_b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity"))
+    small = compact(signed) if small is None else small
+    up, low = THRESHOLD[1], THRESHOLD[0]
+    # a class is named by 64 bits here: two of one name would both be compared
+    entries = small.select(F.explode("keys").alias("key"), F.xxhash64("class").alias("c")).repartition("key").dropDuplicates(["key", "c"])
+    met = entries.alias("a").join(entries.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
+    met = met.select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct().checkpoint()
+    named = small.select(F.xxhash64("class").alias("c"), "class", "chunk_id", "n", "facts_key")
+    ids = met.select(F.col("ca").alias("c")).union(met.select("cb")).distinct()
+    heads = with_ids(named, ids, "c").groupBy("c", "class", "n", "facts_key").agg(F.min("chunk_id").alias("chunk_id")).checkpoint()
+    a, b = (heads.select(F.col("c").alias(f"c{x}"), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n{x}"), F.col("facts_key").alias(f"f{x}")) for x in "ab")
+    near = (F.col("na") * up >= F.col("nb") * low) & (F.col("nb") * up >= F.col("na") * low)
+    pairs = met.join(a, "ca").join(b, "cb").where((F.col("fa") == F.col("fb")) & near)
+    pairs = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).checkpoint()
+    hashes = heads.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-hashes // BLOCK_HASHES), int(np.ceil(np.sqrt(2 * pairs.count() / CELL_PAIRS))))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(blocks))
+    cell = lambda x, y: F.least(x, y) * blocks + F.greatest(x, y)
+    dealt = pairs.withColumn("cell", cell(block("class_a"), block("class_b")))
+    needed = dealt.select("cell", F.col("class_a").alias("class")).union(dealt.select("cell", "class_b")).distinct()
+    chosen = chosen or (lambda ids: with_ids(signed, ids, "chunk_id"))
+    full = chosen(heads.select("chunk_id")).groupBy("class").agg(F.first("hashes").alias("hashes"))
+    sets = needed.join(full, "class").select(F.col("cell").alias("of"), "class", "hashes")
+    return dealt.groupBy("cell").cogroup(sets.groupBy("of")).applyInArrow(_verified, "class_a string, class_b string, similarity double")
 
 
 def admit(signed: DataFrame, pairs: DataFrame) -> DataFrame:

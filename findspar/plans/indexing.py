@@ -19,30 +19,33 @@ from findspar.session import ensure_checkpoints
 from findspar.sources import corpus
 
 
-def _signed(spark, sf) -> DataFrame:
-    ensure_checkpoints(spark)
-    return dedup.signatures(docs(spark, sf), "doc_id", "text").checkpoint()  # used several times
+def _signed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents' compact signatures, and their classes' pairs."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+    signed = dedup.signatures(d)
+    small = dedup.compact(signed)
+    return small, dedup.class_pairs(signed, small, lambda ids: dedup.signatures(dedup.with_ids(d, ids, "chunk_id")))
 
 
 def shingle_pairs(spark, sf):
     """Pairs of different classes of near duplicates, by their smallest documents."""
-    signed = _signed(spark, sf)
-    heads = signed.groupBy("class").agg(F.min("chunk_id").alias("head"))
-    pairs = dedup.class_pairs(signed).join(heads.toDF("class_a", "a"), "class_a").join(heads.toDF("class_b", "b"), "class_b")
+    small, pairs = _signed(spark, sf)
+    heads = small.groupBy("class").agg(F.min("chunk_id").alias("head"))
+    pairs = pairs.join(heads.toDF("class_a", "a"), "class_a").join(heads.toDF("class_b", "b"), "class_b")
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 
 def duplicate_classes(spark, sf):
     """Every document's class of equal shingles and facts, by its smallest document."""
-    signed = _signed(spark, sf)
-    heads = signed.groupBy("class").agg(F.min("chunk_id").alias("class_id"), F.count("*").alias("members"))
-    return signed.join(heads, "class").select(F.col("chunk_id").alias("doc_id"), "class_id", "members")
+    ensure_checkpoints(spark)
+    named = dedup.signatures(docs(spark, sf), "doc_id", "text").select("chunk_id", "class").checkpoint()  # used twice
+    heads = named.groupBy("class").agg(F.min("chunk_id").alias("class_id"), F.count("*").alias("members"))
+    return named.join(heads, "class").select(F.col("chunk_id").alias("doc_id"), "class_id", "members")
 
 
 def dedup_admission(spark, sf):
     """Which documents are admitted in order of id, and what the others repeat."""
-    signed = _signed(spark, sf)
-    return dedup.admit(signed, dedup.class_pairs(signed)).select(F.col("chunk_id").alias("doc_id"), "duplicate_of", F.round("similarity", 6).alias("similarity"))
+    return dedup.admit(*_signed(spark, sf)).select(F.col("chunk_id").alias("doc_id"), "duplicate_of", F.round("similarity", 6).alias("similarity"))
 
 
 def _chunks(spark, sf) -> DataFrame:

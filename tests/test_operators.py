@@ -1,3 +1,6 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -369,3 +372,26 @@ def test_compatibility_forms_are_folded(spark):
     rows = spark.createDataFrame([(c,) for c in [*odd, "é", "ß", "日", "plain", "naïve “x”"]], "t string")
     got = {r["t"]: r["f"] for r in rows.select("t", T.folded(F.col("t")).alias("f")).collect()}
     assert all(got[c] == unicodedata.normalize("NFKC", c).lower() for c in odd if len(c.lower()) == 1 and c not in "ſ") and got["é"] == "é" and got["naïve “x”"] == 'naïve "x"'
+
+
+def test_near_duplicates_need_little_disk(spark, tmp_path):
+    """Recurring shingles bring no texts together, and sets of shingles aren't stored; pairs as by brute force over many sizes."""
+    rng = np.random.default_rng(5)
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "abc"]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(30, 400, 300)]
+    for t in texts[:60]:
+        own = t.split()
+        for at in rng.integers(0, len(own), rng.integers(1, 3)):
+            own[at] = "other"
+        texts.append(" ".join(own))
+    d = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").where("length(text) >= 120")
+    signed = dedup.signatures(d)
+    heads = {r["class"]: r["id"] for r in signed.groupBy("class").agg(F.min("chunk_id").alias("id")).collect()}
+    runs = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in enumerate(texts) if len(t) >= 120}
+    want = {(a, b) for a in runs for b in runs if a < b and runs[a] != runs[b] and 10 * len(runs[a] & runs[b]) >= 9 * len(runs[a] | runs[b])}
+    root = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    stored = lambda: sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+    before = stored()
+    got = {tuple(sorted((heads[r["class_a"]], heads[r["class_b"]]))) for r in dedup.class_pairs(signed).collect()}
+    assert got == want and len(want) > 20
+    assert stored() - before < 0.7 * 8 * sum(map(len, runs.values()))
