@@ -77,33 +77,41 @@ def orphans(duplicates: DataFrame, removed: DataFrame) -> DataFrame:
     return duplicates.join(removed.select(F.col("chunk_id").alias("duplicate_of")), "duplicate_of", "left_semi")
 
 
-def sync(chunks: DataFrame, duplicates: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sync(chunks: DataFrame, duplicates: DataFrame, fresh: DataFrame, cut: bool = True) -> tuple[DataFrame, DataFrame]:
     """The chunks and duplicates tables after `fresh` has replaced its documents' passages.
 
     Kept passages stand before all candidates; a document's new passages come
     next, in their order, then orphaned copies in other documents.
+
+    Texts stay where they lie: what happens to them is decided by ids.  With `cut` the
+    results are checkpointed, since a sync often follows another one; a caller that stores
+    them can do without.
     """
     ensure_checkpoints(chunks.sparkSession)
     plan = sync_plan(chunks, fresh).checkpoint()
     ids = {a: plan.where(F.col("action") == a).select("chunk_id") for a in ("add", "keep", "remove")}
     columns = chunks.columns
-    stay = delete(chunks, ids["remove"], "chunk_id")
-    refreshed = upsert(stay, fresh.join(ids["keep"], "chunk_id", "left_semi").select(*columns), "chunk_id")
-    homeless = orphans(duplicates, ids["remove"]).join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").select(*columns)
-    new = fresh.join(ids["add"], "chunk_id", "left_semi").select(*columns)
+    synced = fresh.select("doc_id").distinct().checkpoint()
+    stay = dedup.with_ids(dedup.with_ids(chunks, ids["remove"], "chunk_id", "left_anti"), ids["keep"], "chunk_id", "left_anti")
+    refreshed = stay.unionByName(dedup.with_ids(fresh, ids["keep"], "chunk_id").select(*columns))
+    orphaned = orphans(duplicates.select("chunk_id", "doc_id", "duplicate_of"), ids["remove"]).join(synced, "doc_id", "left_anti").select("chunk_id").checkpoint()
+    homeless = dedup.with_ids(duplicates, orphaned, "chunk_id").select(*columns)
+    new = dedup.with_ids(fresh, ids["add"], "chunk_id").select(*columns)
     order = [F.lit(0), F.lit(1), F.lit(2)]
     every = refreshed.withColumn("_turn", order[0]).unionByName(new.withColumn("_turn", order[1])).unionByName(homeless.withColumn("_turn", order[2]))
-    every = every.checkpoint()
     turn = F.struct(F.col("_turn"), F.when(F.col("_turn") > 0, F.col("doc_id").cast("string")), F.when(F.col("_turn") > 0, F.col("chunk_index")))
     signed = dedup.signatures(every, order=turn)
-    decided = dedup.admit(signed, dedup.class_pairs(signed)).where("duplicate_of is not null").checkpoint()
-    candidates = every.where("_turn > 0").drop("_turn")
-    skipped = candidates.join(decided, "chunk_id")
-    added = candidates.join(decided.select("chunk_id"), "chunk_id", "left_anti")
-    old = duplicates.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").join(homeless.select("chunk_id"), "chunk_id", "left_anti")
-    kept = every.where("_turn = 0").select(*columns).unionByName(added.select(*columns))
-    # checkpoints cut the lineage: a sync often follows another one
-    return kept.checkpoint(), old.unionByName(skipped.select(*columns, "duplicate_of", F.round("similarity", 4).alias("similarity"))).checkpoint()
+    small = dedup.compact(signed)
+    pairs = dedup.class_pairs(signed, small, lambda ids: dedup.signatures(dedup.with_ids(every, ids, "chunk_id"), order=turn))
+    decided = dedup.admit(small, pairs).where("duplicate_of is not null").checkpoint()
+    candidates = new.unionByName(homeless)
+    few = decided.count() <= dedup.MANY_IDS
+    skipped = candidates.join(F.broadcast(decided) if few else decided, "chunk_id")
+    added = dedup.with_ids(candidates, decided, "chunk_id", "left_anti")
+    old = dedup.with_ids(dedup.with_ids(duplicates, synced, "doc_id", "left_anti"), orphaned, "chunk_id", "left_anti")
+    kept = refreshed.unionByName(added.select(*columns))
+    copies = old.unionByName(skipped.select(*columns, "duplicate_of", F.round("similarity", 4).alias("similarity")))
+    return (kept.checkpoint(), copies.checkpoint()) if cut else (kept, copies)
 
 
 def check(chunks: DataFrame, vectors: DataFrame, duplicates: DataFrame) -> DataFrame:

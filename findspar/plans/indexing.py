@@ -108,8 +108,8 @@ def index_sync(spark, sf):
     odd = d.where("lang = 'de' and n % 2 = 1").withColumn("text", F.concat("text", F.lit(" revised")))
     fresh = rows(odd, "b").union(rows(d.where("lang = 'fr' or (lang = 'de' and n % 2 = 0)"), "a"))
     skipped = d.where("lang = 'es'")
-    copies = rows(skipped, "a").join(skipped.select("doc_id", F.concat(F.lit("d"), (F.col("n") + 1).cast("string"), F.lit(":a")).alias("duplicate_of")), "doc_id").select("chunk_id", "doc_id", "text", "chunk_index", "duplicate_of", F.lit(1.0).alias("similarity"))
-    chunks, copies = index.sync(rows(d.where("lang in ('en', 'de')"), "a"), copies, fresh)
+    copies = skipped.select(F.concat("doc_id", F.lit(":a")).alias("chunk_id"), "doc_id", "text", F.lit(0).alias("chunk_index"), F.concat(F.lit("d"), (F.col("n") + 1).cast("string"), F.lit(":a")).alias("duplicate_of"), F.lit(1.0).alias("similarity"))
+    chunks, copies = index.sync(rows(d.where("lang in ('en', 'de')"), "a"), copies, fresh, cut=False)
     kept = chunks.select("chunk_id", F.md5(F.encode("text", "UTF-8")).alias("text"), F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("double").alias("similarity"))
     return kept.union(copies.select("chunk_id", F.md5(F.encode("text", "UTF-8")), "duplicate_of", "similarity"))
 
