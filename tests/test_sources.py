@@ -194,3 +194,9 @@ def test_too_long_files_are_not_read(spark, tmp_path, monkeypatch):
     files = corpus.listed(spark, str(tmp_path))
     assert {r["source"]: r["content"] is None for r in files.collect()} == {"x.txt": False, "y.txt": True}
     assert {r["source"]: r["error"] for r in corpus.documents(files).collect()} == {"x.txt": None, "y.txt": "ValueError: file too large"}
+
+
+def test_references_that_nothing_closes_stay(spark):
+    page = "<title>a &amp; b&amp</title><h1>a &amp;&amp; b&amp</h1><p class='x&y'>R&D &lt;c&gt &#65; &#65 &amp;lt;</p>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string")
+    assert html.sections(rows).first()["sections"][0].asDict() == {"text": "R&D <c&gt A &#65 &lt;", "heading": "a && b&amp", "page": None}
