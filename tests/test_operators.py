@@ -395,3 +395,31 @@ def test_near_duplicates_need_little_disk(spark, tmp_path):
     got = {tuple(sorted((heads[r["class_a"]], heads[r["class_b"]]))) for r in dedup.class_pairs(signed).collect()}
     assert got == want and len(want) > 20
     assert stored() - before < 0.7 * 8 * sum(map(len, runs.values()))
+
+
+def test_keyword_scores_in_bounded_memory(spark):
+    """No task holds (question, passage) rows in an aggregate; blocks of questions change nothing; ranks as by the formula."""
+    rng = np.random.default_rng(3)
+    words = [f"w{x}q" for x in "abcdefghijklmnopqrst"]
+    passages = [(i, "ab"[i % 2] if i % 7 else None, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(2500)]
+    asks = [(i, " ".join(rng.choice(words, 4))) for i in range(6)]
+    d = spark.createDataFrame(passages, "doc_id int, lang string, text string").repartition(3)
+    q = spark.createDataFrame(asks, "query_id int, text string")
+    for by in (False, True):
+        tokens = search.tokenised(d, "doc_id", "text", F.col("lang") if by else None, search.asked_tokens(q))
+        got = search.sparse(q, search.postings(tokens), search.corpus_statistics(tokens), by_collection=by)
+        assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        again = search.sparse(q, search.postings(tokens), search.corpus_statistics(tokens), by_collection=by, small=10)
+        want = set()
+        for group in ([c for c in "ab"] if by else [None]):
+            own = [(i, t.split()) for i, c, t in passages if not by or c == group]
+            mean = sum(len(t) for _, t in own) / len(own)
+            df = {w: sum(w in t for _, t in own) for w in words}
+            for n, text in asks:
+                scores = []
+                for i, t in own:
+                    score = sum(np.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in text.split())
+                    scores += [(-round(score, 9), i)] if score > 0 else []
+                want |= {(n, i, rank, group) for rank, (_, i) in enumerate(sorted(scores)[:10], 1)}
+        for found in (got, again):
+            assert {(r["query_id"], r["chunk_id"], r["rank"], r["collection"] if by else None) for r in found.collect()} == want
