@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -423,3 +424,12 @@ def test_keyword_scores_in_bounded_memory(spark):
                 want |= {(n, i, rank, group) for rank, (_, i) in enumerate(sorted(scores)[:10], 1)}
         for found in (got, again):
             assert {(r["query_id"], r["chunk_id"], r["rank"], r["collection"] if by else None) for r in found.collect()} == want
+
+
+def test_folded_characters_are_found_in_few_steps(spark):
+    """The class holds exactly its characters, and no list of ranges that is tried one by one is long."""
+    listed = set(T.FOLDED_FROM + "".join(T.LIGATURES))
+    pattern = T._char_class("".join(listed))
+    rows = [(chr(c),) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + [("\U0001d400",)]
+    assert {r["c"] for r in spark.createDataFrame(rows, "c string").where(F.col("c").rlike(pattern)).collect()} == listed
+    assert max(flat.count("-") for flat in re.findall(r"\[([^\[\]&]*)\]", pattern)) <= 4
