@@ -3,6 +3,7 @@ from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -433,3 +434,32 @@ def test_folded_characters_are_found_in_few_steps(spark):
     rows = [(chr(c),) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + [("\U0001d400",)]
     assert {r["c"] for r in spark.createDataFrame(rows, "c string").where(F.col("c").rlike(pattern)).collect()} == listed
     assert max(flat.count("-") for flat in re.findall(r"\[([^\[\]&]*)\]", pattern)) <= 4
+
+
+def test_chunks_are_made_some_at_a_time(spark):
+    """Whatever a batch holds, its chunks are made of some rows at a time."""
+    text = "one two three. " * 200
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": [text] * 5000})
+    made = list(chunking._cutter(lambda t: chunking.pieces(t, 800, 120))(iter([batch])))
+    each = len([x for x in chunking.pieces(text, 800, 120) if x.strip()])
+    assert sum(b.num_rows for b in made) == 5000 * each and max(b.num_rows for b in made) <= chunking.CUT_ROWS * each
+
+
+def test_semantic_chunks_of_many_documents_at_once(spark):
+    """Only units with neighbours are embedded, for many documents in one call, and no document has a Python call of its own."""
+    calls = []
+
+    def embed(texts):
+        calls.append(len(texts))
+        return chunking.hashed_words(texts)
+
+    long = "\n\n".join(f"{w} " * 40 for w in ("alpha", "bravo", "delta", "gamma", "omega"))
+    sections = [[{"section_no": n, "source": "s", "heading": "h", "page": None, "text": t} for n, t in enumerate(["a line", long, "a line"])]] * 100
+    kind = pa.list_(pa.struct([("section_no", pa.int32()), ("source", pa.string()), ("heading", pa.string()), ("page", pa.int32()), ("text", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(sections, kind)], names=["doc_id", "sections"])
+    made = pa.Table.from_batches(chunking._semantic(embed, ".md", 800, 25, 250)(iter([batch])))
+    assert calls == [500]
+    first = [r for r in made.to_pylist() if r["doc_id"] == 0]
+    assert [r["chunk_index"] for r in first] == list(range(len(first))) and [r["_repeat"] for r in first if r["text"] == "a line"] == [1, 2]
+    s = chunking.line_sections(spark.createDataFrame([(1, "a\nb", "s")], "doc_id int, text string, source string"))
+    assert "InPandas" not in chunking.semantic(s, chunking.hashed_words)._jdf.queryExecution().executedPlan().toString()
