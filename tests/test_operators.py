@@ -463,3 +463,14 @@ def test_semantic_chunks_of_many_documents_at_once(spark):
     assert [r["chunk_index"] for r in first] == list(range(len(first))) and [r["_repeat"] for r in first if r["text"] == "a line"] == [1, 2]
     s = chunking.line_sections(spark.createDataFrame([(1, "a\nb", "s")], "doc_id int, text string, source string"))
     assert "InPandas" not in chunking.semantic(s, chunking.hashed_words)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_within_one_text_only(spark):
+    """What begins in one text and ends in the next is not held; a term that was found is not sought again."""
+    texts, ends = evaluation._joined(pa.array(["ab", "", "céd", "xab"]))
+    assert [evaluation._within(texts, ends, x.encode()) for x in ("ab", "bc", "bcé", "éd", "dx", "b", "abx", "xab")] == [True, False, False, True, False, True, False, True]
+    d = spark.createDataFrame([("Ab",), ("cd",), (None,), ("xBc",)], "text string").coalesce(1)
+    terms = spark.createDataFrame([("bc",), ("bcd",), ("",), ("CD",), ("zz",), (None,)], "term string")
+    got = evaluation.absent_terms(terms, d)
+    assert sorted(r["term"] for r in got.collect()) == ["bcd", "zz"]
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
