@@ -127,10 +127,9 @@ def check(chunks: DataFrame, vectors: DataFrame, duplicates: DataFrame) -> DataF
 
 def listing(chunks: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Every document of either table with its numbers of passages and skipped copies."""
-    docs = chunks.select("doc_id", "source").union(duplicates.select("doc_id", "source")).groupBy("doc_id").agg(F.min("source").alias("source"))
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    copies = duplicates.groupBy("doc_id").agg(F.count("*").alias("duplicates"))
-    return docs.join(counts, "doc_id", "left").join(copies, "doc_id", "left").fillna(0, ["chunks", "duplicates"])
+    one = chunks.select("doc_id", "source", F.lit(1).alias("chunks"), F.lit(0).alias("duplicates"))
+    every = one.union(duplicates.select("doc_id", "source", F.lit(0), F.lit(1)))
+    return every.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("chunks").alias("chunks"), F.sum("duplicates").alias("duplicates"))
 
 
 def page_of(listed: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -63,7 +63,7 @@ def index_sync_plan(spark, sf):
 
 
 def _tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    c = _chunks(spark, sf)
+    c = fixed_chunks(spark, sf)
     copies = c.where("source = 'src0'").withColumn("duplicate_of", F.concat(F.col("doc_id").cast("string"), F.lit("-original")))
     return c.where("source <> 'src0'"), copies
 

@@ -474,3 +474,12 @@ def test_terms_within_one_text_only(spark):
     got = evaluation.absent_terms(terms, d)
     assert sorted(r["term"] for r in got.collect()) == ["bcd", "zz"]
     assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_reads_its_tables_once(spark, tmp_path):
+    kind = "doc_id int, source string, chunk_id int"
+    spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 3)], kind).write.parquet(f"{tmp_path}/chunks")
+    spark.createDataFrame([(1, "z", 4), (3, "d", 5)], kind).write.parquet(f"{tmp_path}/copies")
+    listed = index.listing(spark.read.parquet(f"{tmp_path}/chunks"), spark.read.parquet(f"{tmp_path}/copies"))
+    assert sorted(tuple(r) for r in listed.collect()) == [(1, "a", 2, 1), (2, "c", 1, 0), (3, "d", 0, 1)]
+    assert listed._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
