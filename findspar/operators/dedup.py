@@ -9,7 +9,7 @@ that differ in at most (n_a + n_b) / 19 shingles, so if shingles are dealt over
 part more than that by their hashes, one part at least is the same in both.  Classes
 meet by a hash of such a part, some eight shingles, together with that of their facts:
 single shingles recur in unrelated texts, the more the larger the corpus is; whole parts
-hardly do.  Numbers of parts go by levels of size; a set is dealt out for its own level
+hardly do; what met is thinned out by bits of parity.  Numbers of parts go by levels of size; a set is dealt out for its own level
 and for the one below.  The overlap is then counted on the full sets, which are made
 again for the classes that met, and travel once for each pair of blocks that need them.
 
@@ -103,10 +103,19 @@ def part_keys(offsets: np.ndarray, hashes: np.ndarray, salt: np.ndarray) -> tupl
     return counts[0] + counts[1], keys[np.argsort(owner, kind="stable")]
 
 
+def parities(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """256 bits of each set, as four numbers: whether an even number of its hashes falls on each.  Sets differ in at least as many shingles as bits."""
+    n, hashes = np.diff(offsets), hashes.astype(np.uint64)
+    of = np.repeat(np.arange(len(n)), n) * 4 + ((hashes >> np.uint64(6)) & np.uint64(3)).astype(np.int64)
+    out = np.zeros(4 * len(n), np.uint64)
+    np.bitwise_xor.at(out, of, np.uint64(1) << (hashes & np.uint64(63)))
+    return out.astype(np.int64)
+
+
 def compact(signed: DataFrame) -> DataFrame:
-    """`signatures` with the keys by which classes meet in place of their hashes, checkpointed: a fifth of their size."""
+    """`signatures` with `parities`, and with the keys by which classes meet, in place of their hashes, checkpointed: a quarter of their size."""
     ensure_checkpoints(signed.sparkSession)
-    schema = StructType([f for f in signed.schema.fields if f.name != "hashes"]).add("keys", ArrayType(LongType(), False))
+    schema = StructType([f for f in signed.schema.fields if f.name != "hashes"]).add("parity", ArrayType(LongType(), False)).add("keys", ArrayType(LongType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +125,8 @@ def compact(signed: DataFrame) -> DataFrame:
             flat = held.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
             k, keys = part_keys(offsets - offsets[0], flat, rows["facts_key"].to_numpy())
             out = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), out], names=schema.names)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1) * 4, pa.int32()), pa.array(parities(offsets - offsets[0], flat)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-2]), bits, out], names=schema.names)
 
     return signed.mapInArrow(run, schema).checkpoint()
 
@@ -158,13 +168,16 @@ def class_pairs(signed: DataFrame, small: DataFrame | None = None, chosen: Calla
     entries = small.select(F.explode("keys").alias("key"), F.xxhash64("class").alias("c")).repartition("key").dropDuplicates(["key", "c"])
     met = entries.alias("a").join(entries.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
     met = met.select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct().checkpoint()
-    named = small.select(F.xxhash64("class").alias("c"), "class", "chunk_id", "n", "facts_key")
+    named = small.select(F.xxhash64("class").alias("c"), "class", "chunk_id", "n", "facts_key", "parity")
     ids = met.select(F.col("ca").alias("c")).union(met.select("cb")).distinct()
-    heads = with_ids(named, ids, "c").groupBy("c", "class", "n", "facts_key").agg(F.min("chunk_id").alias("chunk_id")).checkpoint()
-    a, b = (heads.select(F.col("c").alias(f"c{x}"), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n{x}"), F.col("facts_key").alias(f"f{x}")) for x in "ab")
+    heads = with_ids(named, ids, "c").groupBy("c", "class", "n", "facts_key", "parity").agg(F.min("chunk_id").alias("chunk_id")).checkpoint()
+    a, b = (heads.select(F.col("c").alias(f"c{x}"), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n{x}"), F.col("facts_key").alias(f"f{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    odd = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(4)), F.lit(0))
     near = (F.col("na") * up >= F.col("nb") * low) & (F.col("nb") * up >= F.col("na") * low)
-    pairs = met.join(a, "ca").join(b, "cb").where((F.col("fa") == F.col("fb")) & near)
+    pairs = met.join(a, "ca").join(b, "cb").where((F.col("fa") == F.col("fb")) & near & (odd * (low + up) <= (F.col("na") + F.col("nb")) * (up - low)))
     pairs = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).checkpoint()
+    left = pairs.select(F.col("class_a").alias("class")).union(pairs.select("class_b")).distinct()
+    heads = with_ids(heads, left, "class").checkpoint()
     hashes = heads.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-hashes // BLOCK_HASHES), int(np.ceil(np.sqrt(2 * pairs.count() / CELL_PAIRS))))
     block = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(blocks))
