@@ -37,6 +37,7 @@ from findspar.session import ensure_checkpoints
 THRESHOLD = (9, 10)
 MIN_CHARS = 120
 MANY_IDS = 2_000_000  # so many ids are broadcast to the texts, beyond that texts go to the ids
+TASK_KEYS = 500_000  # keys of parts that a task sorts, about
 BLOCK_HASHES, CELL_PAIRS = 2_000_000, 100_000  # what one task verifies at a time, about
 BUCKETS = 1 << 18
 FREQUENT, FREQUENT_SHARE = 20, 0.001
@@ -165,7 +166,9 @@ def class_pairs(signed: DataFrame, small: DataFrame | None = None, chosen: Calla
     small = compact(signed) if small is None else small
     up, low = THRESHOLD[1], THRESHOLD[0]
     # a class is named by 64 bits here: two of one name would both be compared
-    entries = small.select(F.explode("keys").alias("key"), F.xxhash64("class").alias("c")).repartition("key").dropDuplicates(["key", "c"])
+    keys = small.agg(F.sum(F.size("keys"))).first()[0] or 0
+    tasks = max(small.sparkSession.sparkContext.defaultParallelism, -(-keys // TASK_KEYS))
+    entries = small.select(F.explode("keys").alias("key"), F.xxhash64("class").alias("c")).repartition(tasks, "key").dropDuplicates(["key", "c"])
     met = entries.alias("a").join(entries.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
     met = met.select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct().checkpoint()
     named = small.select(F.xxhash64("class").alias("c"), "class", "chunk_id", "n", "facts_key", "parity")
